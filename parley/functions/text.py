@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 # Arabic letters and marks the folds act on.
 MARKS = "ًٌٍَُِّْ"
@@ -71,13 +72,13 @@ def fold_arabic(x: Column) -> Column:
     return collapse_blanks(x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Ty.StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Compatibility normalisation; the engine has no built-in for it."""
     return x.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(Ty.ArrayType(Ty.StringType()))
 def nfkc_tokens(x: pd.Series) -> pd.Series:
     """Tokens joined by U+001F, split and normalised one by one."""
     return x.map(

@@ -240,29 +240,31 @@ def merge_spans(text: Column, spans: Column) -> Column:
 
 def _cut(text: Column, merged: Column) -> Column:
     """The text with every merged span replaced by the gap marker."""
-    n = F.size(merged)
-    kept = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: _piece(
-            text,
-            F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["e"]),
-            F.when(i == n, F.length(text)).otherwise(F.get(merged, i)["s"]),
-        ),
-    )
-    return F.when(n == 0, text).otherwise(F.array_join(kept, GAP))
+    def kept(m: Column) -> Column:
+        n = F.size(m)
+        return F.transform(
+            F.sequence(F.lit(0), n),
+            lambda i: _piece(
+                text,
+                F.when(i == 0, 0).otherwise(F.get(m, i - 1)["e"]),
+                F.when(i == n, F.length(text)).otherwise(F.get(m, i)["s"]),
+            ),
+        )
+
+    return F.array_join(T.let(merged, kept), GAP)
 
 
 def tier2_flags(text: Column, merged: Column) -> Column:
     """Suspicious text that is kept, unless a removal already covers it."""
-    def outside(x: Column) -> Column:
+    def outside(x: Column, removed: Column) -> Column:
         return ~F.exists(
-            merged,
+            removed,
             lambda m: ((m["s"] <= x["s"]) & (x["s"] < m["e"])) | ((m["s"] < x["e"]) & (x["e"] <= m["e"])),
         )
 
     spans = F.concat(*[find(text, rx, pid) for pid, rx in FLAG_PATTERNS])
     return F.transform(
-        F.filter(spans, outside),
+        T.let(merged, lambda removed: F.filter(spans, lambda x: outside(x, removed))),
         lambda x: F.struct(
             x["pid"].alias("flag"), F.lit(None).cast("int").alias("run"),
             F.lit(None).cast("string").alias("token"),

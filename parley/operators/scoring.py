@@ -21,15 +21,23 @@ STAGE_ORDER = (
 
 
 def parsed(judgements: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
-    """Judgements with ``v`` (VARIANT), ``stage_reached``, ``items`` and ``cited``."""
-    v = F.try_parse_json("payload")
-    return judgements.withColumn("v", v).select(
-        *judgements.columns,
-        "v",
-        F.try_variant_get("v", "$.stage_reached", "string").alias("stage_reached"),
-        S.criteria(F.col("v"), rubric).alias("items"),
-        S.evidence(F.col("v")).alias("cited"),
+    """Judgements with their ``stage_reached``, ``modules``, ``items`` (one per rubric
+    criterion), ``cited`` evidence, ``behavior_flags`` and ``top_strength``."""
+    kept = [c for c in judgements.columns if c != "payload"]
+    read = judgements.select(*kept, S.read(F.col("payload")).alias("__j")).select(
+        *kept,
+        F.col("__j.stage_reached").alias("stage_reached"),
+        F.col("__j.modules").alias("modules"),
+        S.raw_answers(F.col("__j.modules"), rubric).alias("__raws"),
+        F.coalesce(F.col("__j.evidence"), _none("STRUCT<module STRING, criterion STRING, quote STRING>")).alias("cited"),
+        F.coalesce(F.col("__j.behavior_flags"), _none("STRING")).alias("behavior_flags"),
+        F.col("__j.summary.top_strength").alias("top_strength"),
     )
+    return read.withColumn("items", S.criteria(F.col("__raws"), rubric)).drop("__raws")
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"CAST(array() AS ARRAY<{kind}>)")
 
 
 def malformed(judgements: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ def module_scores(
 ) -> DataFrame:
     """``p`` with one score column per module."""
     return p.select(
-        "*", *[S.module_score(F.col("items"), m, absent_is_full).alias(m) for m in rubric.weights]
+        "*", *[S.module_score(F.col("items"), m, absent_is_full, rubric).alias(m) for m in rubric.weights]
     )
 
 
@@ -80,6 +88,16 @@ def final_scores(
     )
 
 
+def _usable(scored: DataFrame, *columns) -> DataFrame:
+    """The columns of the rows that were not rejected.
+
+    Rows are dropped by a generator: a filter would be pushed down to the scan and
+    repeat the whole parse there.
+    """
+    row = F.struct(*columns)
+    return scored.select(F.inline(F.when(~F.col("rejected"), F.array(row))))
+
+
 def rescore_history(judgements: DataFrame, rubric: R.Rubric) -> DataFrame:
     """Scores of stored judgements under another rubric; no model is called."""
     return final_scores(parsed(judgements, rubric), rubric).withColumn(
@@ -94,7 +112,7 @@ def stated_vs_derived(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
         *[
             F.struct(
                 F.lit(m).alias("module"),
-                F.try_variant_get("v", f"$.modules.{m}.score", "double").alias("stated"),
+                S.stated(F.col("modules"), m).alias("stated"),
                 F.col(m).alias("derived"),
             )
             for m in rubric.weights
@@ -131,10 +149,7 @@ def prompt_consistency(p: DataFrame) -> DataFrame:
         return F.exists("items", lambda c: c["criterion"].isin(*names) & c["value"].isNotNull())
 
     rank = F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("stage_reached"))
-    refused = F.coalesce(
-        F.array_contains(F.try_variant_get("v", "$.behavior_flags", "array<string>"), "service_refused"),
-        F.lit(False),
-    )
+    refused = F.array_contains("behavior_flags", "service_refused")
     early = rank < STAGE_ORDER.index("negotiation") + 1
     closing = F.col("stage_reached").isin("closing_attempted", "deal_closed")
     empty_closing = ~F.exists("items", lambda c: (c["module"] == "module5_closing") & c["value"].isNotNull())
@@ -174,7 +189,7 @@ def merge_warnings(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
                 F.lit(f"% of the rubric was exercised (minimum {rubric.min_weight * 100:.0f}%); not gradeable"),
             )
         ),
-    ).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
+    ).otherwise(_none("STRING"))
     items = F.col("items")
     contract = F.concat(
         S.nullability_violations(items), S.range_violations(items),
@@ -183,7 +198,7 @@ def merge_warnings(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
     return scored.select(
         KEY,
         F.concat(
-            S.stated_warnings(F.col("v"), modules), thin,
+            S.stated_warnings(F.col("modules"), modules), thin,
             S.evidence_problems(F.col("cited"), F.col("conversation")),
             S.uncited(F.col("cited"), modules),
             F.transform(contract, lambda m: F.concat(F.lit("UNRESOLVED after retry: "), m)),
@@ -205,16 +220,17 @@ def as_written_comparison(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFra
     """The older rule beside the present one: what did not arise gets full marks in
     the objection and follow-up modules, and an offer criterion scores zero."""
     def older(m: str) -> Column:
-        mine = S.module_score(F.col("items"), m, m in ("module3_objections", "module4_followup"))
+        mine = S.module_score(F.col("items"), m, m in ("module3_objections", "module4_followup"), rubric)
         return mine
 
-    both = final_scores(p, rubric).where(~F.col("rejected"))
+    both = final_scores(p, rubric)
     old = {m: older(m) for m in rubric.weights}
     both = both.withColumns({f"old_{m}": c for m, c in old.items()})
     columns = {m: F.col(f"old_{m}") for m in rubric.weights}
     both = both.withColumn("old_weight", S.weight_applied(columns, rubric))
     both = both.withColumn("as_written", S.final_score(columns, F.col("old_weight"), rubric))
-    return both.select(
+    return _usable(
+        both,
         KEY, "final_score", "as_written",
         F.bround(F.col("as_written") - F.col("final_score"), 1).alias("inflation"),
     )
@@ -256,8 +272,8 @@ def evaluation_report(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
             )
         )
         position += len(caps) + 1
-    scored = final_scores(p, rubric).where(~F.col("rejected"))
-    return scored.select(KEY, F.inline(F.flatten(F.array_compact(F.array(*rows)))))
+    report = F.flatten(F.array_compact(F.array(*rows)))
+    return final_scores(p, rubric).select(KEY, F.inline(F.when(~F.col("rejected"), report)))
 
 
 def stored_evaluations(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
@@ -267,15 +283,14 @@ def stored_evaluations(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
         "module3_objections": "m3_objections", "module4_followup": "m4_followup",
         "module5_closing": "m5_closing",
     }
-    scored = final_scores(p, rubric).where(~F.col("rejected"))
-    return scored.select(
+    return _usable(
+        final_scores(p, rubric),
         KEY, "input_type", F.lit(rubric.version).alias("rubric_version"),
         F.col("final_score").cast("decimal(5,2)").alias("final_score"), "performance_level",
         F.col("weight_applied").cast("decimal(4,3)").alias("weight_applied"),
         *[F.col(m).cast("decimal(5,2)").alias(s) for m, s in short.items()],
         F.nullif("stage_reached", F.lit("")).alias("stage_reached"),
-        F.coalesce(F.try_variant_get("v", "$.behavior_flags", "array<string>"), F.expr("CAST(array() AS ARRAY<STRING>)")).alias("behavior_flags"),
-        F.try_variant_get("v", "$.summary.top_strength", "string").alias("top_strength"),
+        "behavior_flags", "top_strength",
     )
 
 

@@ -18,6 +18,11 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # session windows merge inside each map task before the shuffle
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # HotSpot never compiles methods above 8000 bytecodes; such a stage is faster
+    # as split methods outside whole-stage code generation
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # the last of repeated keys wins, as JSON readers commonly have it
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -34,6 +39,7 @@ def local_session(app: str = "parley", cores: str = "*", partitions: int = 8) ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
