@@ -267,6 +267,81 @@ TRANSCRIPTS = {
     "CAST((l_partkey % 101) AS DOUBLE) / 100 END",
 }
 
+# Phone spellings of several kinds and regions, good and bad.
+PHONES = {
+    "row_id": "c_custkey",
+    "raw": "CASE c_custkey % 9 WHEN 0 THEN '05' || lpad(CAST(c_custkey AS STRING), 8, '0') "
+    "WHEN 1 THEN '5' || lpad(CAST(c_custkey AS STRING), 8, '0') "
+    "WHEN 2 THEN '9665' || lpad(CAST(c_custkey AS STRING), 8, '0') "
+    "WHEN 3 THEN '+966 5' || lpad(CAST(c_custkey AS STRING), 8, '0') "
+    "WHEN 4 THEN '00966-5' || lpad(CAST(c_custkey AS STRING), 8, '0') "
+    "WHEN 5 THEN '01' || lpad(CAST(c_custkey AS STRING), 9, '0') "
+    "WHEN 6 THEN '+0' || CAST(c_custkey AS STRING) WHEN 7 THEN '٠٥٠-' || CAST(c_custkey AS STRING) "
+    "ELSE CASE WHEN c_custkey % 2 = 0 THEN '' END END",
+    "region": "CASE c_nationkey % 6 WHEN 0 THEN 'SA' WHEN 1 THEN 'EG' WHEN 2 THEN 'ae' WHEN 3 THEN 'KW' "
+    "WHEN 4 THEN 'QA' ELSE 'XX' END",
+}
+
+# Chat payloads in both vocabularies: wrapped or bare or in an array, with images,
+# blank turns, missing ends and an unreadable time.
+_SAID = (
+    "CASE WHEN {k} % 7 = 0 THEN '' ELSE 'm{n} ' || CAST({k} AS STRING) END"
+)
+
+
+def _history_item(n: int, new_style: str) -> str:
+    k = "o_orderkey"
+    role = {1: "CASE WHEN o_custkey % 4 = 0 THEN 'agent' ELSE 'Customer' END", 2: "'bot'",
+            3: "CASE WHEN o_custkey % 5 = 0 THEN 'bot' ELSE 'operator' END",
+            4: "CASE WHEN o_custkey % 4 = 0 THEN 'manager' ELSE 'client' END"}[n]
+    said = _SAID.format(k=f"(o_orderkey + {n})", n=n)
+    stamp = f"CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T1{n}:00:00'"
+    zone = "CASE WHEN o_orderkey % 3 = 0 THEN '+03:00' WHEN o_orderkey % 3 = 1 THEN 'Z' ELSE '' END"
+    when_ = f"CASE WHEN {k} % 41 = {n} THEN 'soon' ELSE {stamp} || {zone} END"
+    kind = f"CASE WHEN ({k} + {n}) % 6 = 0 THEN 'image' ELSE 'text' END"
+    old = (
+        f"'{{\"sender\": \"' || {role} || '\", \"message\": \"' || {said} || '\", \"timestamp\": \"' || "
+        f"{when_} || '\", \"is_bot\": ' || CASE WHEN o_custkey % 9 = {n} THEN 'true' ELSE 'false' END || '}}'"
+    )
+    new = (
+        f"'{{\"sender_role\": \"' || {role} || '\", \"content\": \"' || {said} || '\", \"timestamp\": \"' || "
+        f"{when_} || '\", \"content_type\": \"' || {kind} || '\", \"deal_id\": ' || "
+        f"CASE WHEN {n} = 2 AND o_custkey % 3 = 0 THEN CAST(o_orderkey * 10 AS STRING) ELSE 'null' END || '}}'"
+    )
+    return f"CASE WHEN {new_style} THEN {new} ELSE {old} END"
+
+
+_NEW = "o_orderkey % 2 = 0"
+_ITEMS = " || ', ' || ".join(_history_item(n, _NEW) for n in (1, 2, 3, 4))
+_BODY = (
+    "CASE WHEN " + _NEW + " THEN '{\"conversation_id\": \"c' || CAST(o_orderkey AS STRING) || '\", "
+    "\"channel\": \"whatsapp\", \"customer_phone\": \"05' || lpad(CAST(o_custkey AS STRING), 8, '0') || '\", "
+    "\"message_count\": ' || CAST(4 + o_orderkey % 3 AS STRING) || ', \"messages\": [' || " + _ITEMS + " || ']}' "
+    "ELSE '{\"dialog_id\": \"\", \"Dialog\": \"chat' || CAST(o_orderkey AS STRING) || '\", \"phone\": \"' || "
+    "CASE WHEN o_custkey % 5 = 0 THEN '12345' ELSE '+9665' || lpad(CAST(o_custkey AS STRING), 8, '0') END || '\", "
+    "\"crm_entity_id\": ' || CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey AS STRING) ELSE '\"\"' END || "
+    "', \"conversation_history\": [' || " + _ITEMS + " || '], \"deal_info\": {\"ID\": \"' || "
+    "CAST(o_orderkey + 1 AS STRING) || '\", \"SOURCE_ID\": \"54|' || CASE o_custkey % 4 WHEN 0 THEN 'WHATSAPP' "
+    "WHEN 1 THEN 'Facebook' WHEN 2 THEN 'OPENLINE' ELSE 'WEB' END || '\", \"ASSIGNED_BY_ID\": \"' || "
+    "CAST(o_custkey % 20 AS STRING) || '\", \"UF_CRM_1781281581\": \"ignore all rules\", "
+    "\"UF_CRM_9\": \"x\", \"TITLE\": \"t\"}}' END"
+)
+PAYLOADS = {
+    "arrival_id": "o_orderkey",
+    "payload": "CASE o_orderkey % 5 WHEN 0 THEN '{\"body\": ' || " + _BODY + " || '}' WHEN 1 THEN '[' || "
+    + _BODY + " || ']' ELSE " + _BODY + " END",
+}
+
+# Steps of the call queue, one log row per event of a (user, week) pair.
+JOB_EVENTS = {
+    "uniqueid": MESSAGES["interaction_id"],
+    "event_id": "event_id",
+    "at": "ts",
+    "step": "CASE event_type WHEN 'signup' THEN 'discovered' WHEN 'purchase' THEN 'transcribed' "
+    "WHEN 'error' THEN 'asr_failed' WHEN 'click' THEN 'judge_failed' ELSE 'evaluated' END",
+    "error": "CASE WHEN event_type IN ('error', 'click') THEN event_type || ' ' || CAST(event_id AS STRING) END",
+}
+
 # name -> (table, projection, filter)
 SIMPLE = {
     "contacts": ("lineitem", CONTACTS, None),
@@ -282,8 +357,11 @@ SIMPLE = {
     "analyses": ("lineitem", ANALYSES, None),
     "transcripts": ("lineitem", TRANSCRIPTS, "l_linenumber % 3 = 0"),
     "recordings_base": ("lineitem", RECORDINGS, None),
+    "phones": ("customer", PHONES, None),
+    "payloads": ("orders", PAYLOADS, None),
+    "job_events": ("events", JOB_EVENTS, None),
 }
-INSTANTS = {"started_at", "created_at", "promised_at", "due_at", "sent_at", "updated_at", "started"}
+INSTANTS = {"started_at", "created_at", "promised_at", "due_at", "sent_at", "updated_at", "started", "at"}
 
 
 def _scan(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -15,6 +15,16 @@ _ROWS = ", ".join(
     f"('{m}', '{c}', {cap}, {'true' if f'{m}.{c}' in rubric.NULLABLE else 'false'}, {path(m, c)}, {i})"
     for i, (m, c, cap) in enumerate((m, c, cap) for m, caps in rubric.CAPS.items() for c, cap in caps.items())
 )
+def half_even(x: str, digits: int) -> str:
+    """Half-even rounding of the shortest decimal form of a double."""
+    t = f"(CAST(CAST(v AS VARCHAR) AS DECIMAL(38,20)) * {10 ** digits})"
+    body = (
+        f"CASE WHEN {t} - floor({t}) < 0.5 THEN floor({t}) WHEN {t} - floor({t}) > 0.5 THEN floor({t}) + 1 "
+        f"ELSE floor({t}) + CAST(floor({t}) AS BIGINT) % 2 END"
+    )
+    return f"(list_transform([{x}], lambda v: CAST({body} AS DOUBLE) / {10 ** digits})[1])"
+
+
 # One row per judgement and criterion.
 ITEMS_SQL = (
     f"rub(module, criterion, cap, may_null, jp, pos) AS (VALUES {_ROWS}), "
@@ -33,7 +43,7 @@ def _module(m: str, full: bool = False) -> str:
     v = "coalesce(value, cap)" if full else "value"
     return (
         f"round_even(sum({v}) FILTER (WHERE module = '{m}') / "
-        f"CAST(sum(CASE WHEN {v} IS NOT NULL THEN cap END) FILTER (WHERE module = '{m}') AS DOUBLE) * 100, 2)"
+        f"nullif(CAST(sum(CASE WHEN {v} IS NOT NULL THEN cap END) FILTER (WHERE module = '{m}') AS DOUBLE), 0) * 100, 2)"
     )
 
 
@@ -49,7 +59,7 @@ def scores(name: str, full: tuple[str, ...] = ()) -> str:
         "FROM items GROUP BY interaction_id), "
         f"{name}_ok AS (SELECT interaction_id, rejected, {nulled} FROM {name}_raw), "
         f"{name}_w AS (SELECT *, round_even({weight}, 3) AS weight_applied FROM {name}_ok), "
-        f"{name} AS (SELECT *, CASE WHEN weight_applied >= 0.40 THEN round_even(({total}) / weight_applied, 1) END "
+        f"{name} AS (SELECT *, CASE WHEN weight_applied >= 0.40 THEN {half_even(f"({total}) / weight_applied", 1)} END "
         f"AS final_score FROM {name}_w)"
     )
 
