@@ -219,13 +219,15 @@ def should_evaluate(bot_only: Column, no_customer: Column, score_bot_only: bool
 
 
 def settled_threads(messages: DataFrame, as_of: Column, gap: str = "30 minutes") -> DataFrame:
-    """Sessions of a thread closed by ``gap`` of silence before ``as_of``."""
+    """Sessions of a thread closed by ``gap`` of silence before ``as_of``.
+
+    The end is taken from the messages rather than from the session key: a filter
+    on the key would run before sessions are merged.
+    """
+    end = F.max("sent_at") + F.expr(f"INTERVAL {gap}")
     return (
         messages.groupBy(*THREAD, F.session_window("sent_at", gap).alias("session"))
-        .agg(F.count(F.lit(1)).alias("messages"))
-        .where(F.col("session.end") <= as_of)
-        .select(
-            *THREAD, F.col("session.start").alias("session_start"),
-            F.col("session.end").alias("settled_at"), "messages",
-        )
+        .agg(F.min("sent_at").alias("session_start"), end.alias("settled_at"), F.count(F.lit(1)).alias("messages"))
+        .where(F.col("settled_at") <= as_of)
+        .drop("session")
     )
