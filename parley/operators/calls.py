@@ -114,13 +114,13 @@ def job_state_fold(events: DataFrame, max_retries: int = MAX_RETRIES) -> DataFra
     number of failures and the last error: one aggregate that combines map-side
     and runs the same on a stream.
     """
-    order = F.struct("at", "event_id")
+    order = F.struct("logged_at", "event_id")
     failed = F.col("step").isin(*FAILURES)
     folded = events.groupBy("uniqueid").agg(
         F.max_by("step", order).alias("last_step"),
         F.count_if(failed).cast("int").alias("retries"),
         F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("last_error"),
-        F.max("at").alias("updated_at"),
+        F.max("logged_at").alias("updated_at"),
     )
     dead = F.col("last_step").isin(*FAILURES) & (F.col("retries") >= max_retries)
     return folded.select(

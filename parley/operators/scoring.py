@@ -241,6 +241,19 @@ def evaluation_report(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
     def band(x: Column) -> Column:
         return F.when(x >= 85, "hi").when(x >= 70, "mid").otherwise("lo")
 
+    def criterion_rows(module: str, at: int) -> Column:
+        mine = F.filter("items", lambda c: (c["module"] == module) & (c["state"] != "missing"))
+        return F.transform(
+            mine,
+            lambda c, i: F.struct(
+                (F.lit(at + 1) + i).alias("position"), c["module"].alias("module"),
+                c["criterion"].alias("criterion"), c["cap"].alias("cap"), c["value"].alias("value"),
+                F.when(c["value"].isNull(), "null").when(c["value"] == c["cap"], "full")
+                .when(c["value"] == 0, "zero").otherwise("part").alias("class"),
+                F.when(c["value"].isNull(), "not applicable").alias("reason"),
+            ),
+        )
+
     rows = []
     position = 0
     for module, caps in rubric.caps.items():
@@ -255,22 +268,7 @@ def evaluation_report(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
                 )
             )
         )
-        inner = F.filter("items", lambda c, m=module: (c["module"] == m) & (c["state"] != "missing"))
-        rows.append(
-            F.when(
-                F.col(module).isNotNull(),
-                F.transform(
-                    inner,
-                    lambda c, i, at=position: F.struct(
-                        (F.lit(at + 1) + i).alias("position"), c["module"].alias("module"),
-                        c["criterion"].alias("criterion"), c["cap"].alias("cap"), c["value"].alias("value"),
-                        F.when(c["value"].isNull(), "null").when(c["value"] == c["cap"], "full")
-                        .when(c["value"] == 0, "zero").otherwise("part").alias("class"),
-                        F.when(c["value"].isNull(), "not applicable").alias("reason"),
-                    ),
-                ),
-            )
-        )
+        rows.append(F.when(F.col(module).isNotNull(), criterion_rows(module, position)))
         position += len(caps) + 1
     report = F.flatten(F.array_compact(F.array(*rows)))
     return final_scores(p, rubric).select(KEY, F.inline(F.when(~F.col("rejected"), report)))

@@ -336,7 +336,7 @@ PAYLOADS = {
 JOB_EVENTS = {
     "uniqueid": MESSAGES["interaction_id"],
     "event_id": "event_id",
-    "at": "ts",
+    "logged_at": "ts",
     "step": "CASE event_type WHEN 'signup' THEN 'discovered' WHEN 'purchase' THEN 'transcribed' "
     "WHEN 'error' THEN 'asr_failed' WHEN 'click' THEN 'judge_failed' ELSE 'evaluated' END",
     "error": "CASE WHEN event_type IN ('error', 'click') THEN event_type || ' ' || CAST(event_id AS STRING) END",
@@ -361,7 +361,7 @@ SIMPLE = {
     "payloads": ("orders", PAYLOADS, None),
     "job_events": ("events", JOB_EVENTS, None),
 }
-INSTANTS = {"started_at", "created_at", "promised_at", "due_at", "sent_at", "updated_at", "started", "at"}
+INSTANTS = {"started_at", "created_at", "promised_at", "due_at", "sent_at", "updated_at", "started", "logged_at"}
 
 
 def _scan(spark: SparkSession, folder: str, name: str) -> DataFrame:

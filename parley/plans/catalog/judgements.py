@@ -15,9 +15,14 @@ _J = cte("judgements") + ", "
 _M = list(rubric.WEIGHTS)
 
 
-@query("explode_breakdown", _J + ITEMS_SQL + " SELECT interaction_id, module, criterion, cap, state, value FROM items")
+@query(
+    "explode_breakdown",
+    _J + ITEMS_SQL + " SELECT module, criterion, cap, state, count(*) AS n, sum(value) AS points FROM items GROUP BY ALL",
+)
 def explode_breakdown(t):
-    return sc.explode_breakdown(t.parsed)
+    return sc.explode_breakdown(t.parsed).groupBy("module", "criterion", "cap", "state").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("points")
+    )
 
 
 @query("module_scores", _J + SCORES_SQL + " SELECT interaction_id, " + ", ".join(_M) + " FROM scored_raw")
@@ -166,11 +171,11 @@ def as_written_comparison(t):
 @query(
     "refusals",
     "SELECT conv_id || '-' || turn AS interaction_id, CAST(NULL AS DOUBLE) AS final_score, 0.0::DOUBLE AS weight_applied, false AS gradeable "
-    "FROM conversations WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) < 20",
+    "FROM conversations WHERE turn % 3 = 0 OR length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) < 20",
 )
 def refusals(t):
     rows = t.scan("conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("interaction_id"), F.col("text").alias("transcript")
+        F.concat_ws("-", "conv_id", "turn").alias("interaction_id"), F.when(F.col("turn") % 3 == 0, "[00:00] AGENT: hello there").otherwise(F.col("text")).alias("transcript"),
     )
     return sc.refusals(rows).drop("reason")
 

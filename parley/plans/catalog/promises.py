@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import clock
+from parley.functions import text as T
 from parley.operators import calls as ca
 from parley.operators import identity as idn
 from parley.operators import promises as pr
@@ -156,7 +157,7 @@ def seed_jobs(t):
 @query(
     "job_state_fold",
     cte("job_events") + ", l AS (SELECT uniqueid, arg_max(step, event_id) AS step, count(*) FILTER (WHERE step IN ('asr_failed', 'judge_failed')) AS retries, "
-    "arg_max(error, event_id) FILTER (WHERE error IS NOT NULL) AS last_error, max(at) AS updated_at FROM job_events GROUP BY uniqueid) "
+    "arg_max(error, event_id) FILTER (WHERE error IS NOT NULL) AS last_error, max(logged_at) AS updated_at FROM job_events GROUP BY uniqueid) "
     "SELECT uniqueid, CASE WHEN step IN ('asr_failed', 'judge_failed') AND retries >= 5 THEN 'dead_letter' ELSE step END AS status, "
     "retries, last_error, updated_at FROM l",
 )
@@ -167,18 +168,17 @@ def job_state_fold(t):
 @query(
     "dedup_model_calls",
     cte("judgements") + ", w AS (SELECT 'score' AS purpose, sha256(conversation || chr(0)) AS input_hash, CASE WHEN length(interaction_id) % 2 = 0 "
-    "THEN 'v3' END AS prompt_version, interaction_id FROM judgements), d AS (SELECT DISTINCT purpose, input_hash, prompt_version FROM w "
-    "WHERE input_type = 'chat') SELECT interaction_id, prompt_version FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.purpose = w.purpose "
-    "AND d.input_hash = w.input_hash AND d.prompt_version IS NOT DISTINCT FROM w.prompt_version)".replace("input_type = 'chat'", "interaction_id LIKE '1%'"),
+    "THEN 'v3' END AS prompt_version, interaction_id, CAST(split_part(interaction_id, '-', 4) AS INT) AS agent_no FROM judgements), d AS (SELECT DISTINCT purpose, input_hash, prompt_version FROM w "
+    "WHERE agent_no % 3 = 0) SELECT interaction_id, prompt_version FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.purpose = w.purpose "
+    "AND d.input_hash = w.input_hash AND d.prompt_version IS NOT DISTINCT FROM w.prompt_version)",
 )
 def dedup_model_calls(t):
-    from parley.functions import text as T
-
     work = t.judgements.select(
         F.lit("score").alias("purpose"), T.input_hash(F.col("conversation")).alias("input_hash"),
         F.when(F.length("interaction_id") % 2 == 0, "v3").alias("prompt_version"), "interaction_id",
     )
-    done = work.where(F.col("interaction_id").startswith("1")).select("purpose", "input_hash", "prompt_version")
+    agent = F.split_part("interaction_id", F.lit("-"), F.lit(4)).cast("int")
+    done = work.where(agent % 3 == 0).select("purpose", "input_hash", "prompt_version")
     return idn.dedup_model_calls(work, done).select("interaction_id", "prompt_version")
 
 
