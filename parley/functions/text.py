@@ -23,9 +23,10 @@ YA_FORM, YA = "ى", "ي"
 TA_FORM, HA = "ة", "ه"
 GAP = "[[ASR_GAP]]"
 
-# Whitespace as Unicode defines it, plus the four separators U+001C to U+001F.
-BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MARKER = "\ufdd0"  # a noncharacter, free for internal marking
+# Blanks beyond the ASCII ones: four separators and the Unicode spaces.
+WIDE_BLANKS = "".join(
+    map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def _latin_table() -> tuple[str, str]:
@@ -49,9 +50,14 @@ def unaccent(x: Column) -> Column:
     return x
 
 
+def plain_blanks(x: Column) -> Column:
+    """Every blank as an ASCII one; lengths and offsets stay as they are."""
+    return F.translate(x, WIDE_BLANKS, " " * len(WIDE_BLANKS))
+
+
 def collapse_blanks(x: Column) -> Column:
     """Trim, and turn each run of whitespace into one space."""
-    return F.btrim(F.regexp_replace(x, f"[{BLANK}]+", " "))
+    return F.btrim(F.regexp_replace(plain_blanks(x), r"\s+", " "))
 
 
 def fold_name(x: Column) -> Column:
@@ -93,43 +99,48 @@ _STABLE = (
 )
 
 
+def is_odd(x: Column) -> Column:
+    """Whether compatibility normalisation could change the text."""
+    # the coarse class has few ranges, so it is quick where it already says no
+    coarse = r"[^\x00-\x7f\xbf-\xff\u0600-\u060f\u061b-\u0652]"
+    return F.when(x.rlike(coarse), x.rlike(f"[^{_STABLE}]")).otherwise(F.lit(False))
+
+
 def compatible(x: Column) -> Column:
     """NFKC form. Only text that holds some other character visits Python."""
-    odd = F.when(x.rlike(f"[^{_STABLE}]"), x)
-    return F.coalesce(nfkc(odd), x)
+    return F.coalesce(nfkc(F.when(is_odd(x), x)), x)
 
 
 def _fold_token(x: Column) -> Column:
-    return F.translate(
-        x,
-        ALEF_FORMS + ALEF_WASLA + YA_FORM + MARKS + TATWEEL + MARKER,
-        ALEF * 4 + YA,
+    return F.lower(
+        F.translate(x, ALEF_FORMS + ALEF_WASLA + YA_FORM + MARKS + TATWEEL, ALEF * 4 + YA)
     )
 
 
 def norm_token(x: Column, normalise: bool = True) -> Column:
     """One token, folded for comparison: edge punctuation and marks dropped."""
     x = compatible(x) if normalise else x
-    x = F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.lower(_fold_token(x))
+    return _fold_token(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
 def tokens(x: Column) -> Column:
     """Whitespace-separated tokens, in order."""
-    return F.regexp_extract_all(x, F.lit(f"([^{BLANK}]+)"), 1)
+    return F.filter(F.split(collapse_blanks(x), " "), lambda t: t != "")
+
 
+# A run of characters that are no letter, digit or blank, at the edge of a token.
+_EDGE = (
+    r"(?=[^\p{L}\p{N} ])(?:(?<![^ ])[^\p{L}\p{N} ]++|[^\p{L}\p{N} ]++(?![^ ]))"
+)
 
-def norm_tokens(x: Column) -> Column:
-    """``norm_token`` of every token of a text, in one pass over the text.
+
+def norm_text(x: Column) -> Column:
+    """``norm_token`` of every token of a text, one space apart, in a few passes
+    over the whole text. A token that vanishes leaves an empty place.
 
     The text must already be in compatible form where that matters.
     """
-    edge = (
-        rf"(?<![^{BLANK}])[^\p{{L}}\p{{N}}{BLANK}]+"
-        rf"|[^\p{{L}}\p{{N}}{BLANK}]++(?![^{BLANK}])"
-    )
-    marked = F.regexp_replace(F.lower(x), edge, MARKER)
-    return F.transform(tokens(marked), _fold_token)
+    return _fold_token(F.regexp_replace(collapse_blanks(x), _EDGE, ""))
 
 
 def text_hash(x: Column) -> Column:
@@ -150,8 +161,8 @@ def is_arabic(x: Column) -> Column:
 
 def spoken_content(x: Column) -> Column:
     """A transcript without its time stamps and speaker labels."""
-    furniture = rf"(?m)^[{BLANK}]*\[\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}(?::\p{{Nd}}{{2}})?\][{BLANK}]*(?:[A-Z_]{{3,12}}:)?[{BLANK}]*"
-    return collapse_blanks(F.regexp_replace(F.coalesce(x, F.lit("")), furniture, ""))
+    furniture = r"(?m)^\s*\[\p{Nd}{1,2}:\p{Nd}{2}(?::\p{Nd}{2})?\]\s*(?:[A-Z_]{3,12}:)?\s*"
+    return collapse_blanks(F.regexp_replace(plain_blanks(F.coalesce(x, F.lit(""))), furniture, ""))
 
 
 MIN_SPOKEN = 20

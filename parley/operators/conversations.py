@@ -48,14 +48,16 @@ def response_gaps(messages: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> Data
     )
 
 
-def response_metrics(gaps: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def response_metrics(
+    gaps: DataFrame, hot_rows: int = ordered.HOT_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
     """First, median and longest gap per thread, in whole seconds, truncated.
 
     The median takes the middle one or two of the ranked gaps, so no thread's gaps
     are gathered in one place.
     """
     ranked = ordered.numbered(
-        ordered.with_slots(gaps, THREAD, F.col("gap_seconds"), 60, hot_rows),
+        ordered.with_slots(gaps, THREAD, F.col("gap_seconds"), 60, hot_rows, hot),
         THREAD, ["gap_seconds", "turn"], "rank", total="n",
     )
     middle = (F.col("rank") * 2).between(F.col("n"), F.col("n") + 2)
@@ -110,7 +112,9 @@ def chat_metrics(
     hot_rows: int = ordered.HOT_ROWS,
 ) -> DataFrame:
     """All deterministic metrics of a chat thread, one row per thread."""
-    gaps = response_metrics(response_gaps(messages, hot_rows), hot_rows)
+    # a thread has fewer gaps than messages, so its hot keys cover those of the gaps
+    hot = ordered.hot_keys(messages, THREAD, hot_rows)
+    gaps = response_metrics(response_gaps(messages, hot_rows), hot=hot)
     return (
         message_counts(messages)
         .join(language_match(messages), THREAD, "left")

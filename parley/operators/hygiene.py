@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley import ordered
+from parley import ordered, session
 from parley.functions import text as T
 from parley.functions.text import GAP
 
@@ -47,6 +47,17 @@ DOMAIN_CHAIN = (
     r"(?U)(?:https?\s*:\s*//\s*|(?<![A-Za-z0-9_\-]))[A-Za-z0-9_\-]++"
     r"(?:\s*+\.\s*+[A-Za-z0-9_\-]++){2,}+(?:\s*/\s*[^\s،؛!?]*)?"
 )
+# Plain text that every match of a pattern holds: a byte search spares most texts
+# the expression itself.
+HINTS = {
+    "qusay_credit_v1": ("التفريغ",),
+    "eddirasa_domain_v1": ("edd",),
+    "atsign_blank_v1": ("@@@",),
+    "url_garbage_v1": (".",),
+    "site_label_only": ("موقع",),
+    "generic_credit": ("الترجم", "التفريغ", "التدقيق"),
+    "suspect_name": ("عبد", "جواد"),
+}
 KNOWN_LABELS = ("eddirasa", "fontsalon")
 DIGIT_WORDS = (
     "صفر", "واحد", "اثنين", "اتنين", "ثلاثه", "ثلاثة", "تلاته", "تلاتة", "اربعه", "اربعة", "خمسه",
@@ -54,7 +65,7 @@ DIGIT_WORDS = (
     "عشره", "عشرة",
 )
 HARD_RUN, WARN_RUN, KEPT = 16, 6, 3
-NGRAM_SIZES, NGRAM_REPEATS, NGRAM_MIN_TOKENS = (2, 3, 4, 5), 3, 20
+NGRAM_MIN_TOKENS = 20
 
 _SPAN = "STRUCT<s: INT, e: INT, pid: STRING>"
 _RUN = "STRUCT<token: STRING, norm: STRING, run: INT, cut_from: INT, cut_to: INT>"
@@ -101,7 +112,11 @@ def find(text: Column, pattern: str, pid: str) -> Column:
 
     start = F.struct(F.lit(0).alias("at"), _empty(_SPAN).alias("spans"))
     found = F.aggregate(pieces, start, add, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(_empty(_SPAN))
+    held = F.lower(text) if "(?i" in pattern else text
+    hinted = F.lit(False)
+    for hint in HINTS[pid]:
+        hinted = hinted | held.contains(hint)
+    return F.when(hinted & text.rlike(pattern), found).otherwise(_empty(_SPAN))
 
 
 def is_url_garbage(candidate: Column) -> Column:
@@ -120,7 +135,7 @@ def is_url_garbage(candidate: Column) -> Column:
         )
         return (known & (dots >= 1)) | ((dots >= 5) & (F.length(flat) >= 25)) | ((dots >= 3) & chained)
 
-    return T.let(F.lower(F.regexp_replace(candidate, f"[{T.BLANK}]+", "")), judge)
+    return T.let(F.lower(F.regexp_replace(T.plain_blanks(candidate), r"\s+", "")), judge)
 
 
 def url_garbage(text: Column) -> Column:
@@ -134,14 +149,21 @@ def contamination_spans(text: Column) -> Column:
     return F.concat(*[find(text, rx, pid) for pid, rx in PATTERNS])
 
 
-def token_runs(text: Column, norms: Column, at_least: int = WARN_RUN) -> Column:
-    """Maximal runs of one normalised token, at least ``at_least`` long, with the
-    range from the fourth occurrence to the end of the run.
+# A normalised token followed by itself five times or more.
+_REPEATED = r"(?<![^ ])([^ ]++)(?: \1(?![^ ])){5}"
 
-    One pass over the tokens; ``norms`` are the normalised tokens of ``text``.
+
+def token_runs(text: Column, norm: Column, at_least: int = WARN_RUN) -> Column:
+    """Maximal runs of one normalised token, at least ``at_least`` (six or more)
+    long, with the range from the fourth occurrence to the end of the run.
+
+    ``norm`` is the normalised text. A back-reference finds the few texts that hold
+    a run; only those are walked token by token.
     """
-    gaps = F.split(text, f"[^{T.BLANK}]+")
-    pairs = F.arrays_zip(T.tokens(text).alias("tok"), norms.alias("norm"), gaps.alias("gap"))
+    gaps = F.split(T.plain_blanks(text), r"\S+")
+    pairs = F.arrays_zip(
+        F.split(T.collapse_blanks(text), " ").alias("tok"), F.split(norm, " ").alias("norm"), gaps.alias("gap")
+    )
 
     def close(acc: Column) -> Column:
         run = F.struct(
@@ -166,55 +188,51 @@ def token_runs(text: Column, norms: Column, at_least: int = WARN_RUN) -> Column:
             end.alias("end"),
             F.when(same, acc["runs"]).otherwise(close(acc)).alias("runs"),
         )
-        return F.when(x["tok"].isNull(), acc).otherwise(moved)
+        return F.when(x["tok"].isNull() | (x["tok"] == ""), acc).otherwise(moved)
 
     start = F.struct(
         F.lit(0).alias("at"), F.lit("").alias("token"), F.lit("").alias("norm"), F.lit(0).alias("n"),
         F.lit(0).alias("cut"), F.lit(0).alias("end"), _empty(_RUN).alias("runs"),
     )
-    return F.aggregate(pairs, start, step, close)
+    return F.when(norm.rlike(_REPEATED), F.aggregate(pairs, start, step, close)).otherwise(_empty(_RUN))
 
 
 def is_numeric_token(norm: Column) -> Column:
     return norm.isin(*DIGIT_WORDS) | norm.rlike(r"^\p{Nd}+$")
 
 
-def repeated_ngram_fraction(norms: Column) -> Column:
+def repeated_ngram_fraction(norm: Column) -> Column:
     """Share of tokens lying in 2- to 5-grams seen three times or more.
 
-    The grams of one size are sorted with their positions; in sorted order a gram
-    occurs three times exactly when it equals two of its neighbours.
+    A longer gram seen three times is made of pairs seen three times, so the pairs
+    alone cover the same tokens. The pairs are sorted with their positions; in
+    sorted order a pair occurs three times exactly when it equals two neighbours.
     """
-    def positions(toks: Column, size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(toks) - size + 1)
-        grams = F.array_sort(
+    def pairs(toks: Column) -> Column:
+        return F.array_sort(
             F.transform(
-                starts,
-                lambda i: F.struct(F.array_join(F.slice(toks, i, size), "\x01").alias("g"), i.alias("i")),
+                F.slice(toks, F.lit(1), F.size(toks) - 1),
+                lambda a, i: F.struct(a.alias("a"), F.get(toks, i + 1).alias("b"), i.alias("i")),
             )
         )
 
-        def repeated(g: Column) -> Column:
-            def at(k: Column, step: int) -> Column:
-                return F.get(g, k + step)["g"]
-
-            def thrice(x: Column, k: Column) -> Column:
-                b2, b1, a1, a2 = (at(k, d) == x["g"] for d in (-2, -1, 1, 2))
-                no = F.lit(False)
-                return F.coalesce(b2, no) | F.coalesce(a2, no) | (F.coalesce(b1, no) & F.coalesce(a1, no))
+    def covered(sorted_: Column) -> Column:
+        def same(x: Column, k: Column) -> Column:
+            y = F.get(sorted_, k)
+            return F.coalesce((y["a"] == x["a"]) & (y["b"] == x["b"]), F.lit(False))
 
-            hits = F.filter(g, thrice)
-            return F.flatten(F.transform(hits, lambda h: F.sequence(h["i"], h["i"] + size - 1)))
+        def thrice(x: Column, k: Column) -> Column:
+            return same(x, k - 2) | same(x, k + 2) | (same(x, k - 1) & same(x, k + 1))
 
-        return T.let(grams, repeated)
+        hits = F.transform(F.filter(sorted_, thrice), lambda x: x["i"])
+        return F.size(F.array_distinct(F.concat(hits, F.transform(hits, lambda i: i + 1))))
 
     def fraction(toks: Column) -> Column:
-        covered = F.array_distinct(F.concat(*[positions(toks, n) for n in NGRAM_SIZES]))
         return F.when(
-            F.size(toks) >= NGRAM_MIN_TOKENS, F.bround(F.size(covered) / F.size(toks), 3)
+            F.size(toks) >= NGRAM_MIN_TOKENS, F.bround(T.let(pairs(toks), covered) / F.size(toks), 3)
         ).otherwise(F.lit(0.0))
 
-    return T.let(norms, fraction)
+    return T.let(F.split(norm, " "), fraction)
 
 
 def merge_spans(text: Column, spans: Column) -> Column:
@@ -222,7 +240,7 @@ def merge_spans(text: Column, spans: Column) -> Column:
     def add(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
         between = _piece(text, last["e"], x["s"])
-        touches = (x["s"] <= last["e"]) | ~between.rlike(f"[^{T.BLANK}]")
+        touches = (x["s"] <= last["e"]) | (T.collapse_blanks(between) == "")
         joined = F.struct(
             last["s"].alias("s"),
             F.greatest(last["e"], x["e"]).alias("e"),
@@ -291,28 +309,34 @@ def _warn_runs(runs: Column) -> Column:
 
 
 def with_norms(segments: DataFrame) -> DataFrame:
-    """Add ``norms``. Text outside the common scripts is normalised first; it is
-    split before that, because normalising can add blanks."""
+    """Add ``norm``, the normalised text. Text outside the common scripts is split
+    before it is normalised, because normalising can add blanks."""
     words = F.array_join(T.tokens(F.col("text")), "\x1f")
-    odd = F.col("text").rlike(f"[^{T._STABLE}]")
-    return segments.withColumn("__nfkc", T.nfkc_tokens(F.when(odd, words))).withColumn(
-        "norms",
-        F.when(
-            F.col("__nfkc").isNull(), T.norm_tokens(F.coalesce("text", F.lit("")))
-        ).otherwise(F.transform("__nfkc", lambda t: T.norm_token(t, normalise=False))),
+    folded = F.transform(
+        "__nfkc", lambda t: F.translate(T.norm_token(t, normalise=False), " ", "\x1f")
+    )
+    return segments.withColumn("__nfkc", T.nfkc_tokens(F.when(T.is_odd(F.col("text")), words))).withColumn(
+        "norm",
+        F.when(F.col("__nfkc").isNull(), T.norm_text(F.coalesce("text", F.lit(""))))
+        .otherwise(F.array_join(folded, " ")),
     ).drop("__nfkc")
 
 
-def clean_segments(segments: DataFrame) -> DataFrame:
+def clean_segments(segments: DataFrame, every_fraction: bool = True) -> DataFrame:
     """Clean text, ledger, flags and run measures of every segment.
 
-    A failed segment keeps a null text; the caller tells it from a silent one.
+    A failed segment keeps a null text; the caller tells it from a silent one. The
+    n-gram fraction decides only about segments with a warning run; without
+    ``every_fraction`` it is left at zero elsewhere.
     """
     raw = F.coalesce("text", F.lit(""))
+    fraction = repeated_ngram_fraction(F.col("norm"))
+    if not every_fraction:
+        fraction = F.when(F.col("warn_run") > 0, fraction).otherwise(F.lit(0.0))
     return (
         with_norms(segments)
         .withColumn("raw_text", raw)
-        .withColumn("__runs", token_runs(F.col("raw_text"), F.col("norms")))
+        .withColumn("__runs", token_runs(F.col("raw_text"), F.col("norm")))
         .withColumn(
             "__merged",
             merge_spans(
@@ -353,8 +377,8 @@ def clean_segments(segments: DataFrame) -> DataFrame:
         .withColumn(
             "warn_run", F.coalesce(F.array_max(F.transform(_warn_runs(F.col("__runs")), lambda r: r["run"])), F.lit(0))
         )
-        .withColumn("ngram_fraction", repeated_ngram_fraction(F.col("norms")))
-        .drop("__runs", "__merged", "norms")
+        .withColumn("ngram_fraction", fraction)
+        .drop("__runs", "__merged", "norm")
     )
 
 
@@ -385,71 +409,81 @@ def longest_invalid_spans(
 
     A run is named by the last valid chunk before it, so runs are ordinary groups.
     """
-    out = None
+    line = ordered.with_slots(
+        chunks.select("call_id", "seq", "seconds", *flags), ["call_id"], F.col("seq"), 1000, hot_rows
+    )
     for flag in flags:
-        slots = ordered.with_slots(
-            chunks.select("call_id", "seq", "seconds", flag), ["call_id"], F.col("seq"), 1000, hot_rows
-        )
-        anchored = ordered.nearest(
-            slots, ["call_id"], ["seq"], F.when(~F.col(flag), F.col("seq")), "__anchor"
-        )
-        spans = (
-            anchored.where(F.col(flag))
-            .groupBy("call_id", "__anchor").agg(F.sum("seconds").alias("span"))
-            .groupBy("call_id").agg(F.max("span").alias(f"longest_{flag}"))
+        line = ordered.nearest(
+            line, ["call_id"], ["seq"], F.when(~F.col(flag), F.col("seq")), f"__after_{flag}"
         )
-        out = spans if out is None else out.join(spans, "call_id", "full")
-    return out
-
-
-def _joined_length(text: str) -> Column:
-    """Length of the non-empty texts joined by blanks and trimmed, as a sum."""
-    lead = F.length(F.regexp_extract(text, rf"^[{T.BLANK}]*", 0))
-    trail = F.length(F.regexp_extract(text, rf"[{T.BLANK}]*$", 0))
-    some = F.length(text) > 0
-    edge = F.when(some, F.col("seq"))
-    return F.greatest(
-        F.coalesce(
-            F.sum(F.when(some, F.length(text) + 1)) - 1
-            - F.min_by(lead, edge) - F.max_by(trail, edge),
-            F.lit(0),
-        ),
-        F.lit(0),
+    runs = F.array(
+        *[
+            F.when(F.col(flag), F.struct(F.lit(flag).alias("flag"), F.col(f"__after_{flag}").alias("after")))
+            for flag in flags
+        ]
+    )
+    spans = (
+        line.select("call_id", "seconds", F.inline(F.array_compact(runs)))
+        .groupBy("call_id", "flag", "after").agg(F.sum("seconds").alias("span"))
+    )
+    return spans.groupBy("call_id").agg(
+        *[F.max(F.when(F.col("flag") == flag, F.col("span"))).alias(f"longest_{flag}") for flag in flags]
     )
 
 
-def assess_calls(cleaned: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
-    """Red, amber or green per call, with the measures behind it.
+def chunk_measures(cleaned: DataFrame) -> DataFrame:
+    """The few numbers of each chunk that the gate needs, written once.
 
-    Whether a warning run counts against a chunk depends on the density of the
-    whole call. Both readings are summed and the right one is taken per call, so
-    no second pass over the chunks is needed.
+    The gate reads them several times; the written table keeps the cleaning from
+    being repeated, and from being lost with an executor.
     """
     sure = F.col("failed") | F.col("hard_loop")
-    chunks = cleaned.withColumn(
-        "invalid_sparse", sure | ((F.col("warn_run") > 0) & (F.col("ngram_fraction") >= 0.45))
-    ).withColumn("invalid_dense", sure | (F.col("warn_run") > 0))
     removed = F.aggregate(
         F.filter("ops", lambda o: ~o["pattern_id"].contains("hard_token_run")),
         F.lit(0), lambda a, o: a + F.length(o["removed_text"]),
     )
     no_gap = F.replace(F.col("clean_text"), F.lit(GAP), F.lit(""))
-    sums = chunks.withColumn("__nogap", no_gap).groupBy("call_id").agg(
+    blanks = F.translate(T.plain_blanks(F.col("raw_text")), "\t\n\x0b\f\r", " " * 5)
+    measures = cleaned.select(
+        "call_id", "seq", "seconds", "failed", "hard_loop",
+        (sure | ((F.col("warn_run") > 0) & (F.col("ngram_fraction") >= 0.45))).alias("invalid_sparse"),
+        (sure | (F.col("warn_run") > 0)).alias("invalid_dense"),
+        (F.col("warn_run") > 0).alias("warned"),
+        F.length("raw_text").alias("chars"),
+        (F.length("raw_text") - F.length(F.ltrim(blanks))).alias("lead"),
+        (F.length("raw_text") - F.length(F.rtrim(blanks))).alias("trail"),
+        F.when(F.length("clean_text") > 0, F.length(no_gap)).alias("clean_chars"),
+        removed.alias("removed"),
+        (F.size("ops") > 0).alias("has_removal"),
+        (F.size("flags") > 0).alias("has_flag"),
+    )
+    return session.persist(measures, "chunk-measures")
+
+
+def assess_calls(cleaned: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+    """Red, amber or green per call, with the measures behind it.
+
+    Whether a warning run counts against a chunk depends on the density of the
+    whole call. Both readings are summed and the right one is taken per call, so
+    no second pass over the chunks is needed.
+    """
+    chunks = chunk_measures(cleaned)
+    some = F.when(F.col("chars") > 0, F.col("seq"))
+    joined = F.sum(F.when(F.col("chars") > 0, F.col("chars") + 1)) - 1 - F.min_by("lead", some) - F.max_by("trail", some)
+    sums = chunks.groupBy("call_id").agg(
         F.count(F.lit(1)).alias("chunks_total"),
         F.count_if("failed").alias("chunks_failed"),
-        F.count_if(~F.col("failed") & (F.col("raw_text") == "")).alias("chunks_empty"),
+        F.count_if(~F.col("failed") & (F.col("chars") == 0)).alias("chunks_empty"),
         F.bround(F.sum("seconds"), 2).alias("duration"),
-        _joined_length("raw_text").alias("chars"),
+        F.greatest(F.coalesce(joined, F.lit(0)), F.lit(0)).alias("chars"),
         # joined before the markers go, so a chunk that is all marker still counts a blank
-        (
-            F.coalesce(F.sum(F.when(F.length("clean_text") > 0, F.length("__nogap") + 1)) - 1, F.lit(0))
-        ).alias("clean_chars"),
+        F.coalesce(F.sum(F.col("clean_chars") + 1) - 1, F.lit(0)).alias("clean_chars"),
         F.coalesce(F.sum(F.when(F.col("invalid_sparse"), F.col("seconds"))), F.lit(0.0)).alias("sec_sparse"),
         F.coalesce(F.sum(F.when(F.col("invalid_dense"), F.col("seconds"))), F.lit(0.0)).alias("sec_dense"),
-        F.sum(removed).cast("int").alias("tier1_chars_removed"),
-        F.max(F.size("ops") > 0).alias("any_removal"),
-        F.max(F.size("flags") > 0).alias("any_flag"),
-        F.max((F.col("warn_run") > 0) & ~F.col("invalid_sparse")).alias("warn_sparse"),
+        F.sum("removed").cast("int").alias("tier1_chars_removed"),
+        F.max("has_removal").alias("any_removal"),
+        F.max("has_flag").alias("any_flag"),
+        F.max(F.col("warned") & ~F.col("invalid_sparse")).alias("warn_sparse"),
         F.max("hard_loop").alias("any_loop"),
     )
     spans = longest_invalid_spans(chunks, ["invalid_sparse", "invalid_dense"], hot_rows)
@@ -524,24 +558,20 @@ def max_token_run(segments: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> Data
         segments.select("call_id", "seq", F.aggregate(words, _empty(run_kind), step).alias("runs"))
         .where(F.size("runs") > 0)
     )
+    runs = session.persist(runs, "segment-runs")
     inner = runs.where(F.size("runs") == 3).select("call_id", F.get("runs", F.lit(1))["n"].alias("n"))
-    ends = runs.select(
-        "call_id", "seq",
-        F.posexplode(
-            F.when(F.size("runs") == 1, F.col("runs")).otherwise(
-                F.array(F.element_at("runs", 1), F.element_at("runs", -1))
-            )
-        ).alias("side", "run"),
-    ).select("call_id", "seq", "side", F.col("run.token").alias("token"), F.col("run.n").alias("n"))
-    slots = ordered.with_slots(ends, ["call_id"], F.col("seq"), 1000, hot_rows)
-    before = ordered.nearest(slots, ["call_id"], ["seq", "side"], F.struct("token", "seq"), "prev")
-    starts = F.when(
-        (F.col("prev.token") == F.col("token")) & (F.col("prev.seq") < F.col("seq")), 0
-    ).otherwise(1)
-    before = ordered.bare(before).withColumn("starts", starts)
+    edges = F.when(F.size("runs") == 1, F.col("runs")).otherwise(
+        F.array(F.element_at("runs", 1), F.element_at("runs", -1))
+    )
+    ends = runs.select("call_id", "seq", F.posexplode(edges).alias("side", "run")).select(
+        "call_id", "seq", "side", F.col("run.token").alias("token"), F.col("run.n").alias("n")
+    )
+    key, order = ["call_id"], ["seq", "side"]
+    slots = ordered.with_slots(ends, key, F.col("seq"), 1000, hot_rows)
+    before = ordered.nearest(slots, key, order, F.struct("token", "seq"), "prev")
+    joins = (F.col("prev.token") == F.col("token")) & (F.col("prev.seq") < F.col("seq"))
     chained = ordered.running_sum(
-        ordered.with_slots(before, ["call_id"], F.col("seq"), 1000, hot_rows),
-        ["call_id"], ["seq", "side"], F.col("starts"), "island",
+        before, key, order, F.when(joins, 0).otherwise(1), "island"
     )
     edge = chained.groupBy("call_id", "island").agg(F.sum("n").alias("n")).select("call_id", "n")
     return edge.unionByName(inner).groupBy("call_id").agg(F.max("n").cast("int").alias("max_token_run"))

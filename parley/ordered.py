@@ -32,13 +32,16 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 
 def with_slots(
-    df: DataFrame, keys: list[str], at: Column, width: float = 60, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], at: Column, width: float = 60, hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add SLOT: null for ordinary keys, ``floor(at / width)`` for hot ones.
 
-    ``at`` must not decrease along the ordering used later.
+    ``at`` must not decrease along the ordering used later. ``hot`` gives the hot
+    keys where they are known already, for instance from the rows ``df`` was
+    reduced from, and saves counting again.
     """
-    hot = hot_keys(df, keys, hot_rows).withColumn(HOT, F.lit(True))
+    hot = (hot_keys(df, keys, hot_rows) if hot is None else hot).withColumn(HOT, F.lit(True))
     slot = F.when(F.col(HOT), F.floor(at / F.lit(width)).cast("long"))
     return df.join(F.broadcast(hot), keys, "left").withColumn(SLOT, slot)
 

@@ -99,7 +99,7 @@ _NGRAMS = (
 @query("token_runs", _S + _WORDS + ", " + _RUNS + " SELECT call_id, seq, token, norm, run FROM runs")
 def token_runs(t):
     df = hy.with_norms(t.segments).withColumn("text", F.coalesce("text", F.lit("")))
-    runs = hy.token_runs(F.col("text"), F.col("norms"))
+    runs = hy.token_runs(F.col("text"), F.col("norm"))
     return df.select("call_id", "seq", F.inline(runs)).select("call_id", "seq", "token", "norm", "run")
 
 
@@ -116,7 +116,7 @@ def url_garbage(t):
 @query("loop_truncation", _S + ", ".join((_WORDS, _RUNS, _WHERE)) + " SELECT call_id, seq, pid, s, e FROM loops")
 def loop_truncation(t):
     df = hy.with_norms(t.segments).withColumn("text", F.coalesce("text", F.lit("")))
-    spans = hy._loop_spans(hy.token_runs(F.col("text"), F.col("norms")))
+    spans = hy._loop_spans(hy.token_runs(F.col("text"), F.col("norm")))
     return df.select("call_id", "seq", F.inline(spans)).select("call_id", "seq", "pid", "s", "e")
 
 
@@ -158,7 +158,7 @@ def tier2_flags(t):
        "FROM segments s LEFT JOIN fraction USING (call_id, seq)")
 def repeated_ngram_fraction(t):
     return hy.with_norms(t.segments).select(
-        "call_id", "seq", hy.repeated_ngram_fraction(F.col("norms")).alias("ngram_fraction")
+        "call_id", "seq", hy.repeated_ngram_fraction(F.col("norm")).alias("ngram_fraction")
     )
 
 
@@ -197,7 +197,7 @@ _GATED = _CHAINED + ", " + ", ".join((_FLAGS, _NGRAMS, _GATE))
     "round_even(longest, 2) AS longest_invalid_span_seconds, tier1 AS tier1_chars_removed, status FROM gate",
 )
 def assess_calls(t):
-    return hy.assess_calls(hy.clean_segments(t.segments)).select(
+    return hy.assess_calls(hy.clean_segments(t.segments, False)).select(
         "call_id", "chunks_total", "chunks_failed", "chunks_empty", "chars", "invalid_seconds",
         "longest_invalid_span_seconds", "tier1_chars_removed", "status",
     )
@@ -205,14 +205,14 @@ def assess_calls(t):
 
 @query("longest_invalid_span", _GATED + " SELECT call_id, round_even(longest, 2) AS longest FROM longest")
 def longest_invalid_span(t):
-    return hy.assess_calls(hy.clean_segments(t.segments)).where("invalid_seconds > 0").select(
+    return hy.assess_calls(hy.clean_segments(t.segments, False)).where("invalid_seconds > 0").select(
         "call_id", F.col("longest_invalid_span_seconds").alias("longest")
     )
 
 
 @query("gate_red_to_dead_letter", _GATED + " SELECT call_id, 'dead_letter' AS job_status FROM gate WHERE status = 'red'")
 def gate_red_to_dead_letter(t):
-    return hy.gate_red(hy.assess_calls(hy.clean_segments(t.segments))).select("call_id", "job_status")
+    return hy.gate_red(hy.assess_calls(hy.clean_segments(t.segments, False))).select("call_id", "job_status")
 
 
 _EXACT = (
@@ -230,6 +230,6 @@ _EXACT = (
     "CAST(coalesce(run, 0) AS INT) AS max_token_run, coalesce(run, 0) >= 6 AS repetition_suspect FROM c LEFT JOIN best USING (call_id)",
 )
 def asr_health(t):
-    return hy.asr_health(hy.clean_segments(t.segments)).select(
+    return hy.asr_health(hy.clean_segments(t.segments, False)).select(
         "call_id", "chunks_total", "chunks_failed", "confidence", "max_token_run", "repetition_suspect"
     )
