@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.functions import clock
+from parley.functions import text as T
 
 # Field aliases in order of precedence, and the closed lists.
 ID_KEYS = ("dialog_id", "Dialog", "Dialoug", "conversation_id", "id")
@@ -53,6 +54,19 @@ def pick(v: Column, *paths: str) -> Column:
     return F.coalesce(*[present(get(v, p)) for p in paths])
 
 
+def pick_text(v: Column, *paths: str) -> Column:
+    """``pick`` as text. Only the text of an empty array or object is looked at
+    twice, to tell it from a string that reads the same."""
+    def one(path: str) -> Column:
+        def judge(s: Column) -> Column:
+            hollow = s.isin("[]", "{}") & ~F.to_json(get(v, path)).startswith('"')
+            return F.when((s != "") & ~hollow, s)
+
+        return T.let(get(v, path, "string"), judge)
+
+    return F.coalesce(*[one(p) for p in paths])
+
+
 def as_text(x: Column) -> Column:
     return F.try_variant_get(x, "$", "string")
 
@@ -92,14 +106,16 @@ def is_synthetic(deal_id: Column) -> Column:
 def message_struct(item: Column) -> Column:
     """One history row, read under either vocabulary."""
     kind = F.lower(F.btrim(F.coalesce(get(item, "content_type", "string"), F.lit(""))))
-    body = F.btrim(F.coalesce(as_text(pick(item, *TEXT_KEYS)), F.lit("")), F.lit(" \t\n\r\f\v"))
-    return F.struct(
-        kind.alias("content_type"),
-        map_role(
-            as_text(pick(item, *SENDER_KEYS)), get(item, "is_bot", "boolean")
-        ).alias("sender"),
-        body.alias("body"),
-        clock.parse_ts(as_text(pick(item, *TIME_KEYS))).alias("sent_at"),
-        as_text(pick(item, *DEAL_ID_KEYS)).alias("deal_id"),
-        (kind.isin(*TEXT_TYPES) & (body != "")).alias("scoreable"),
+    body = F.btrim(F.coalesce(pick_text(item, *TEXT_KEYS), F.lit("")), F.lit(" \t\n\r\f\v"))
+    said = T.let(
+        pick_text(item, *SENDER_KEYS), lambda s: map_role(s, get(item, "is_bot", "boolean"))
+    )
+    at = T.let(pick_text(item, *TIME_KEYS), clock.parse_ts)
+    return T.let(
+        F.struct(kind.alias("kind"), body.alias("body")),
+        lambda m: F.struct(
+            m["kind"].alias("content_type"), said.alias("sender"), m["body"].alias("body"),
+            at.alias("sent_at"), pick_text(item, *DEAL_ID_KEYS).alias("deal_id"),
+            (m["kind"].isin(*TEXT_TYPES) & (m["body"] != "")).alias("scoreable"),
+        ),
     )

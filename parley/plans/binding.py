@@ -115,7 +115,7 @@ RECORDINGS = {
     "drift": "CASE WHEN l_partkey % 9 = 0 THEN 3600 ELSE l_linenumber % 4 END",
     "serial": "l_linenumber",
     "size_bytes": "CASE WHEN l_partkey % 23 = 0 THEN NULL "
-    "ELSE CAST(l_extendedprice AS BIGINT) - 1000 END",
+    "ELSE CAST(floor(l_extendedprice) AS BIGINT) - 1000 END",
 }
 
 # Transcript segments: one line of a document each, with the recogniser's known

@@ -90,7 +90,7 @@ def clock_drift_report(t):
 def denied_field_leaks(t):
     rows = pl.first_element(t.payloads).select(F.coalesce(P.get(F.col("v"), "body"), F.col("v")).alias("b")).select(
         F.try_variant_get(P.pick(F.col("b"), *P.DEAL_KEYS), "$", "map<string,string>").alias("fields")
-    ).where("fields IS NOT NULL")
+    )
     both = rows.select("fields", P.safe_deal_fields(F.col("fields")).alias("safe"))
     leaks = lambda c: F.coalesce(F.map_contains_key(c, P.DEAL_DENIED[0]), F.lit(False))
     return both.agg(

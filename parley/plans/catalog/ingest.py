@@ -16,7 +16,7 @@ _BODY = (
     "b AS (SELECT arrival_id, CASE arrival_id % 5 WHEN 0 THEN payload->'$.body' WHEN 1 THEN payload->'$[0]' ELSE payload::JSON END AS b, "
     "arrival_id % 2 = 0 AS modern FROM payloads), "
     "h AS (SELECT arrival_id, modern, b, CAST(unnest(range(4)) AS INT) AS i, "
-    "unnest(json_extract(b, CASE WHEN modern THEN '$.messages[*]' ELSE '$.conversation_history[*]' END)) AS m FROM b), "
+    "unnest(CASE WHEN modern THEN json_extract(b, '$.messages[*]') ELSE json_extract(b, '$.conversation_history[*]') END) AS m FROM b), "
     "r AS (SELECT arrival_id, modern, b, i, lower(CASE WHEN modern THEN m->>'$.sender_role' ELSE m->>'$.sender' END) AS who, "
     "coalesce(m->>'$.is_bot' = 'true', false) AS bot, trim(CASE WHEN modern THEN m->>'$.content' ELSE m->>'$.message' END) AS body, "
     "coalesce(m->>'$.content_type', '') AS kind, m->>'$.timestamp' AS stamp, m->>'$.deal_id' AS row_deal FROM h), "
@@ -64,12 +64,11 @@ def scoreable_messages(t):
 
 @query(
     "fetch_since",
-    cte("payloads") + ", " + _BODY + ", f AS (SELECT arrival_id, any_value(coalesce(b->>'$.conversation_id', b->>'$.Dialog')) AS external_id, "
-    "arg_min(coalesce(sent_at, TIMESTAMP '1900-01-01'), i) FILTER (WHERE kept) AS started_at FROM msgs GROUP BY arrival_id) "
-    "SELECT external_id, started_at FROM f WHERE started_at >= TIMESTAMP '2000-01-01'",
+    cte("contacts") + " SELECT interaction_id AS external_id, started_at FROM contacts WHERE started_at >= TIMESTAMP '2000-01-01'",
 )
 def fetch_since(t):
-    return pl.fetch_since(pl.parse_chats(t.payloads), F.lit("2000-01-01").cast("timestamp")).select("external_id", "started_at")
+    stored = t.contacts.select(F.col("interaction_id").alias("external_id"), "started_at")
+    return pl.fetch_since(stored, F.lit("2000-01-01").cast("timestamp"))
 
 
 @query(

@@ -1 +1,111 @@
-"""To come."""
+"""Streams over the event table, run to the end and checked against batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parley.plans import binding
+from parley.plans.catalog.base import cte, query
+from parley.streaming import jobs
+
+
+def _stream(t, table: str, projection: dict[str, str]) -> DataFrame:
+    schema = t.scan(table).schema
+    files = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    return files.selectExpr(*binding._columns(projection))
+
+
+@query(
+    "stream_land",
+    cte("messages") + " SELECT sha256(payload) AS payload_hash, 'webhook' AS source FROM "
+    "(SELECT DISTINCT sender || ' ' || CAST(message_id % 100 AS STRING) AS payload FROM messages)",
+)
+def stream_land(t):
+    arrivals = _stream(t, "events", binding.MESSAGES).select(
+        F.concat_ws(" ", "sender", (F.col("message_id") % 100).cast("string")).alias("payload"),
+        F.col("sent_at").alias("received_at"),
+    )
+    return jobs.run_to_table(jobs.land(arrivals, "webhook", "60 days"), "stream-land").select("source", "payload_hash")
+
+
+@query(
+    "stream_messages_dedup",
+    cte("messages") + " SELECT DISTINCT interaction_id, sender, date_trunc('hour', sent_at) AS sent_at, sha256(sender) AS body_hash FROM messages",
+)
+def stream_messages_dedup(t):
+    # every message is sent twice, with its time cut to the hour
+    sent = _stream(t, "events", binding.MESSAGES).select(
+        "interaction_id", "sender", F.date_trunc("hour", "sent_at").alias("sent_at"), F.col("sender").alias("body"),
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
+    )
+    return jobs.run_to_table(jobs.dedup_messages(sent), "stream-dedup").select("interaction_id", "sender", "sent_at", "body_hash")
+
+
+_SESSIONS = (
+    "g AS (SELECT *, CASE WHEN sent_at - lag(sent_at) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS cut "
+    "FROM messages WINDOW w AS (PARTITION BY interaction_id ORDER BY sent_at, message_id)), "
+    "s AS (SELECT *, sum(cut) OVER (PARTITION BY interaction_id ORDER BY sent_at, message_id) AS n FROM g), "
+    "z AS (SELECT interaction_id, min(sent_at) AS session_start, max(sent_at) + INTERVAL 12 HOUR AS settled_at, count(*) AS messages "
+    "FROM s GROUP BY interaction_id, n)"
+)
+
+
+@query(
+    "settled_threads_stream",
+    cte("messages") + ", " + _SESSIONS + " SELECT * FROM z WHERE settled_at <= (SELECT max(sent_at) - INTERVAL 2 DAY FROM messages)",
+)
+def settled_threads_stream(t):
+    out = jobs.run_to_table(
+        jobs.settled_threads(_stream(t, "events", binding.MESSAGES), "12 hours"), "settled-threads"
+    )
+    # sessions near the end of the data are still open in the stream
+    newest = t.messages.agg((F.max("sent_at") - F.expr("INTERVAL 2 DAY")).alias("m")).scalar()
+    return out.where(F.col("settled_at") <= newest)
+
+
+@query(
+    "windowed_counts",
+    cte("messages") + ", z AS (SELECT time_bucket(INTERVAL 15 MINUTE, sent_at) AS period_start, sender, count(*) AS n FROM messages GROUP BY ALL) "
+    "SELECT * FROM z WHERE period_start <= (SELECT max(sent_at) - INTERVAL 2 DAY FROM messages)",
+)
+def windowed_counts(t):
+    out = jobs.run_to_table(jobs.windowed_counts(_stream(t, "events", binding.MESSAGES)), "windowed-counts")
+    newest = t.messages.agg((F.max("sent_at") - F.expr("INTERVAL 2 DAY")).alias("m")).scalar()
+    return out.where(F.col("period_start") <= newest)
+
+
+@query(
+    "job_states_stream",
+    cte("job_events") + ", l AS (SELECT uniqueid, arg_max(step, event_id) AS step, count(*) FILTER (WHERE step IN ('asr_failed', 'judge_failed')) AS retries, "
+    "arg_max(error, event_id) FILTER (WHERE error IS NOT NULL) AS last_error, max(logged_at) AS updated_at FROM job_events GROUP BY uniqueid) "
+    "SELECT uniqueid, CASE WHEN step IN ('asr_failed', 'judge_failed') AND retries >= 5 THEN 'dead_letter' ELSE step END AS status, "
+    "retries, last_error, updated_at FROM l",
+)
+def job_states_stream(t):
+    return jobs.run_to_table(jobs.job_states(_stream(t, "events", binding.JOB_EVENTS)), "job-states", "complete")
+
+
+@query(
+    "promise_timer",
+    cte("messages") + ", p AS (SELECT message_id AS follow_up_id, interaction_id, sent_at FROM messages WHERE sender = 'customer' AND message_id % 2 = 0), "
+    "c AS (SELECT interaction_id, sent_at FROM messages WHERE sender = 'agent'), "
+    "f AS (SELECT p.follow_up_id, p.sent_at, min(c.sent_at) AS fulfilled_at FROM p LEFT JOIN c ON c.interaction_id = p.interaction_id "
+    "AND c.sent_at > p.sent_at AND c.sent_at <= p.sent_at + INTERVAL 1 DAY GROUP BY ALL) "
+    "SELECT follow_up_id, fulfilled_at, CASE WHEN fulfilled_at IS NULL THEN 'missed' ELSE 'fulfilled' END AS status FROM f "
+    "WHERE sent_at < (SELECT max(sent_at) - INTERVAL 5 DAY FROM messages)",
+)
+def promise_timer(t):
+    said = _stream(t, "events", binding.MESSAGES)
+    promises = said.where("sender = 'customer' AND message_id % 2 = 0").select(
+        F.col("message_id").alias("follow_up_id"), F.col("interaction_id").alias("customer_id"), F.lit(1).alias("agent_id"),
+        F.col("sent_at").alias("promised_at"),
+    )
+    contacts = said.where("sender = 'agent'").select(
+        F.col("interaction_id").alias("customer_id"), F.lit(1).alias("agent_id"), F.col("sent_at").alias("started_at"),
+        F.col("message_id").alias("interaction_id"),
+    )
+    out = jobs.run_to_table(jobs.promise_timer(promises, contacts, "1 day"), "promise-timer")
+    newest = t.messages.agg((F.max("sent_at") - F.expr("INTERVAL 5 DAY")).alias("m")).scalar()
+    asked = t.messages.select(F.col("message_id").alias("follow_up_id"), "sent_at").where(F.col("sent_at") < newest)
+    return out.join(asked.select("follow_up_id"), "follow_up_id", "left_semi").select("follow_up_id", "fulfilled_at", "status")

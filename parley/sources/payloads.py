@@ -85,24 +85,24 @@ def parse_chats(
     messages = F.transform(
         kept, lambda m, i: F.struct((i + 1).alias("seq"), m["sender"].alias("sender"), m["body"].alias("body"), m["sent_at"].alias("sent_at")),
     )
-    source = F.coalesce(deal_text("SOURCE_ID"), P.as_text(P.pick(b, "channel", "source")), F.lit(""))
+    source = F.coalesce(deal_text("SOURCE_ID"), P.pick_text(b, "channel", "source"), F.lit(""))
     on_rows = F.get(F.filter(F.transform("items", lambda m: m["deal_id"]), lambda d: d.isNotNull()), F.lit(0))
     declared = P.get(b, "message_count", "int")
     dropped = F.transform(
         F.filter("items", lambda m: ~m["scoreable"]),
         lambda m: F.when(m["content_type"] == "", "empty").otherwise(m["content_type"]),
     )
-    number = P.as_text(P.pick(b, *P.PHONE_KEYS))
+    number = P.pick_text(b, *P.PHONE_KEYS)
     out = rows.select(
         *df.columns,
-        P.as_text(P.pick(b, *P.ID_KEYS)).alias("external_id"),
+        P.pick_text(b, *P.ID_KEYS).alias("external_id"),
         P.map_channel(source).alias("channel"),
         messages.alias("messages"),
         number.alias("customer_phone_raw"),
         phone.normalize_phone(number, region).alias("__phone"),
         deal_text("ASSIGNED_BY_ID").alias("agent_external_id"),
-        P.as_text(P.pick(b, *P.CONTACT_KEYS)).alias("contact_id"),
-        F.coalesce(P.as_text(P.pick(b, *P.DEAL_ID_KEYS)), on_rows, deal_text("ID")).alias("__deal"),
+        P.pick_text(b, *P.CONTACT_KEYS).alias("contact_id"),
+        F.coalesce(P.pick_text(b, *P.DEAL_ID_KEYS), on_rows, deal_text("ID")).alias("__deal"),
         declared.alias("declared_message_count"),
         F.size("history").alias("received_message_count"),
         F.coalesce(declared > F.size("history"), F.lit(False)).alias("truncated"),
