@@ -28,12 +28,12 @@ def parsed(judgements: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
         *kept,
         F.col("__j.stage_reached").alias("stage_reached"),
         F.col("__j.modules").alias("modules"),
-        S.raw_answers(F.col("__j.modules"), rubric).alias("__raws"),
+        S.answers(F.col("__j.modules"), rubric).alias("__given"),
         F.coalesce(F.col("__j.evidence"), _none("STRUCT<module STRING, criterion STRING, quote STRING>")).alias("cited"),
         F.coalesce(F.col("__j.behavior_flags"), _none("STRING")).alias("behavior_flags"),
         F.col("__j.summary.top_strength").alias("top_strength"),
     )
-    return read.withColumn("items", S.criteria(F.col("__raws"), rubric)).drop("__raws")
+    return read.withColumn("items", S.criteria(F.col("__given"), rubric)).drop("__given")
 
 
 def _none(kind: str) -> Column:

@@ -21,6 +21,9 @@ RUNTIME = {
     # HotSpot never compiles methods above 8000 bytecodes; such a stage is faster
     # as split methods outside whole-stage code generation
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # lets small tables split over all cores; large inputs still split at the
+    # usual maximum
+    "spark.sql.files.openCostInBytes": "262144",
     # the last of repeated keys wins, as JSON readers commonly have it
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
