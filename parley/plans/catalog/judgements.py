@@ -207,8 +207,9 @@ def destinations(t):
 
 @query(
     "evaluation_report",
-    _J + SCORES_SQL + ", m AS (UNPIVOT INCLUDE NULLS (SELECT interaction_id, " + ", ".join(_M) + " FROM scored WHERE NOT rejected) ON "
-    + ", ".join(_M) + " INTO NAME module VALUE value) "
+    _J + SCORES_SQL + ", m AS (" + " UNION ALL ".join(
+        f"SELECT interaction_id, '{m}' AS module, {m} AS value FROM scored WHERE NOT rejected" for m in _M
+    ) + ") "
     "SELECT interaction_id, module, CAST(NULL AS VARCHAR) AS criterion, 100 AS cap, value, CASE WHEN value IS NULL THEN 'null' "
     "WHEN value >= 85 THEN 'hi' WHEN value >= 70 THEN 'mid' ELSE 'lo' END AS class FROM m "
     "UNION ALL SELECT i.interaction_id, i.module, i.criterion, i.cap, i.value, CASE WHEN i.value IS NULL THEN 'null' WHEN i.value = i.cap THEN 'full' "
