@@ -25,16 +25,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import spans
-from parley.session import persist
 
 GRAM = 5
 HOT = 2000
 LAST = np.iinfo(np.int64).max
 PACKED = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
+SENT = PACKED.append(pa.field("settled", pa.bool_()))
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 U = np.uint64
 
@@ -171,7 +172,7 @@ def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _segments(window: int, shards: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, repeated: pa.Table) -> pa.Table:
-        """Of one bucket: its distinct segments for the shards (shard >= 0) and the windows settled here (shard -1)."""
+        """Of one bucket: its distinct segments for the shards, and the windows settled here, which only pass through one."""
         packs = [spans.unpack(x.as_py()) for x in repeated.column("body")]
         known = np.concatenate([p[0] for p in packs]) if packs else np.zeros(0, U)
         hot = np.concatenate([p[1].view(bool) for p in packs]) if packs else np.zeros(0, bool)
@@ -207,7 +208,7 @@ def _segments(window: int, shards: int):
             # the words of the segments, behind one another
             hashes.append(h[_ranges(start, length)])
         if not hashes:
-            return PACKED.empty_table()
+            return SENT.empty_table()
         content, route, ids, keys, start, length = (np.concatenate(x) for x in kept)
         words = np.concatenate(hashes)
         offset = np.concatenate(([0], np.cumsum(length)))
@@ -218,7 +219,7 @@ def _segments(window: int, shards: int):
         rows = []
         late = order[i > least]
         if len(late):
-            rows.append((-1, spans.pack(keys[late], start[late].astype(np.int32), length[late].astype(np.int32))))
+            rows.append((key[0].as_py() % shards, spans.pack(keys[late], start[late].astype(np.int32), length[late].astype(np.int32)), True))
         send = order[i == least]  # one document's, at every place where it has the content
         send = send[np.argsort(route[send], kind="stable")]
         cuts = spans.shard_cuts(route[send], shards)
@@ -226,8 +227,8 @@ def _segments(window: int, shards: int):
             if b > a:
                 x = send[a:b]
                 values, codes = np.unique(words[_ranges(offset[x], length[x])], return_inverse=True)
-                rows.append((s, spans.pack(route[x], ids[x], keys[x], start[x].astype(np.int32), length[x].astype(np.int16), values, codes.astype(np.uint16 if len(values) < 65536 else np.uint32))))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=PACKED)
+                rows.append((s, spans.pack(route[x], ids[x], keys[x], start[x].astype(np.int32), length[x].astype(np.int16), values, codes.astype(np.uint16 if len(values) < 65536 else np.uint32)), False))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.bool_())], schema=SENT)
 
     return run
 
@@ -247,6 +248,11 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _search(window: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Of one shard: the windows that also stand in an earlier document, as (key, start, words) by bucket."""
+        settled = pc.equal(table.column("settled"), True)
+        through = table.filter(settled).select(PACKED.names)
+        table = table.filter(pc.invert(settled))
+        if not table.num_rows:
+            return through
         packs = [spans.unpack(x.as_py()) for x in table.column("body")]
         route, ids, keys, start, length = (np.concatenate([p[i] for p in packs]) for i in range(5))
         length = length.astype(np.int64)
@@ -284,7 +290,8 @@ def _search(window: int):
         for x in np.split(order, cuts[1:]) if len(order) else ():
             names.append(int(by[x[0]]))
             bodies.append(spans.pack(keys[which[x]], begin[x].astype(np.int32), size[x].astype(np.int32)))
-        return pa.table([pa.array([-1] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], schema=PACKED)
+        found = pa.table([pa.array([-1] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], schema=PACKED)
+        return pa.concat_tables([through, found])
 
     return run
 
@@ -322,7 +329,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, shards = 2 * n, 2 * n
+    buckets = shards = n
     packed = "shard int, bucket int, body binary"
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"))
     keyed = keyed.withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int")).repartition(n, "_bucket")
@@ -332,8 +339,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     candidates = keyed.groupBy("_bucket").applyInArrow(_candidates(window, shards), packed)
     repeated = candidates.groupBy("shard").applyInArrow(_repeated, packed)
-    segments = by_bucket(repeated).applyInArrow(_segments(window, shards), packed)
-    segments = persist(segments, "segments")
-    found = segments.where("shard >= 0").groupBy("shard").applyInArrow(_search(window), packed)
-    hits = segments.where("shard < 0").unionByName(found)
+    segments = by_bucket(repeated).applyInArrow(_segments(window, shards), packed + ", settled boolean")
+    hits = segments.groupBy("shard").applyInArrow(_search(window), packed)
     return by_bucket(hits).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
