@@ -78,16 +78,16 @@ class FMIndex:
 
     def __init__(self, codes: np.ndarray, symbols: int, depth: int):
         n = len(codes)
-        order, reach, rank = None, 1, codes.astype(np.int64)
+        order, reach, rank = None, 1, codes
         while order is None or reach < depth:
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - reach)] = rank[reach:] + 1
-            key = rank * (int(rank.max(initial=0)) + 2) + after
+            key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 2)
+            key[: max(0, n - reach)] += rank[reach:] + 1
             order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+            key = key[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])), dtype=np.int32)
             reach *= 2
+        del key, rank
         self.order = order
         self.n = n
         self.wavelet = Wavelet(codes[order - 1] if n else codes, symbols)
@@ -329,7 +329,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = shards = n
+    buckets, shards = n, 4 * n  # an index takes about 100 bytes a word, a bucket of documents far less
     packed = "shard int, bucket int, body binary"
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"))
     keyed = keyed.withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int")).repartition(n, "_bucket")
