@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm.bpe import decode, encode
 from parley.llm.jaccard import similar_components
 from parley.llm.substrings import remove_repeats
 from parley.llm.winnow import contamination
@@ -57,8 +59,20 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query()
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query(rf"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^ 	-
+]+') AS w FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
