@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.bpe import decode, encode
 from parley.llm.jaccard import similar_components
+from parley.llm.perplexity import quality
 from parley.llm.substrings import remove_repeats
 from parley.llm.winnow import contamination
 
@@ -31,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "low", "high")
+    return quality(table(spark, sf_dir, "documents")).select(*names)
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
