@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from parley.llm.bpe import decode, encode
 from parley.llm.jaccard import similar_components
+from parley.llm.linear import MAX_ROWS, fit, remainder, sample, style_features
 from parley.llm.perplexity import quality
 from parley.llm.substrings import remove_repeats
 from parley.llm.winnow import contamination
+from parley.session import persist
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +112,16 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = sample(labels.where(remainder("doc_id", 5) != 0).withColumn("y", F.col("quality")), MAX_ROWS)
+    model = fit(docs, persist(known, "sample"), style_features, counted=True)
+    return judged(model.scores(docs), 5, 0)
+
+
+def judged(scores: DataFrame, modulus: int, held: int) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
