@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from parley.llm import spans
 
 LETTER, NUMBER, BLANK = 1, 2, 3
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 SENT = pa.schema([("batch", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
 SENT_SQL = "batch string, shard int, body binary"
 U = np.uint64

@@ -20,7 +20,7 @@ _ODD, _INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4000
-LONG_WORD = 256
+LONG_WORD, PIECE = 256, 1 << 18
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -41,7 +41,7 @@ _LOWER[65:91] += 32
 
 def _powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept between blocks."""
-    have = _POWERS.get(base)
+    have = _POWERS.get(base)  # of the pieces and blocks seen so far
     if have is None or len(have) < n:
         have = np.ones(max(n, 1 << 16), U)
         have[1:] = U(base)
@@ -104,10 +104,21 @@ class Block:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTES[data] * _powers(_ODD, len(data)), out=total[1:])
-    h = mix((total[ends] - total[starts]) * _powers(_INV, len(data) + 1)[starts])
-    for i in np.flatnonzero(ends - starts > LONG_WORD):
+    """A 64-bit hash of each span; spans are in order and do not overlap."""
+    h = np.zeros(len(starts), U)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    i = 0
+    while i < len(starts):  # pieces that stay in the cache
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, "right")))
+        if j > i + 1 or ends[i] - low <= LONG_WORD:
+            size = int(ends[j - 1] - low)
+            total = np.zeros(size + 1, U)
+            np.cumsum(_BYTES[data[low : low + size]] * _powers(_ODD, size), out=total[1:])
+            s, e = starts[i:j] - low, ends[i:j] - low
+            h[i:j] = mix((total[e] - total[s]) * _powers(_INV, size + 1)[s])
+        i = j
+    for i in long:
         h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return h
 
