@@ -26,8 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
     rounds logarithmic in the longest path. A node with many edges is reduced by its
     minimum first, which combines before the shuffle.
     """
+    sign = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
     now = persist(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    before = now.agg(*sign).collect()
+    while before[0][0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -35,10 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         star = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         after = persist(star.where("a <> b").distinct(), "edges")
-        # of two edge sets one is a change of the other unless counts and sums agree
-        sign = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
-        same = now.agg(*sign).collect() == after.agg(*sign).collect()
+        # equal counts and sums of hashes: nothing has moved
+        known, before = before, after.agg(*sign).collect()
         now = after
-        if same:
+        if known == before:
             break
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -33,6 +33,8 @@ from parley.session import persist
 
 U = np.uint64
 BITS, MINIMA, AGREE, SHARED = 48, 8, 4, 4
+#: sets of one list when groups are opened
+LIST = 64
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 SEEDS = np.array([(0xA24BAED4963EE407 * (2 * j + 1)) % (1 << 64) for j in range(MINIMA)], U)
 PROFILE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("minima", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
@@ -173,6 +175,51 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return persist(out.where(F.col("inter") * 100 >= F.col("all") * percent).select("a", "b").distinct(), "links")
 
 
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(grp, name, rows): the rows (id, grp, body) of each group in lists of about ``LIST`` by id hash."""
+    counts = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("of"))
+    at = F.pmod(F.xxhash64("id"), F.col("of")).alias(name)
+    return rows.join(counts, "grp").groupBy("grp", "of", at).agg(F.collect_list(F.struct("id", "body")).alias(f"{name}s"))
+
+
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b) for each query of a list and the first member of the other list that is similar enough."""
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for queries, members in zip(batch.column("qs"), batch.column("ms"), strict=True):
+                members = members.as_py()
+                bodies = [np.frombuffer(m["body"], np.uint8).reshape(-1, 6) for m in members]
+                size = np.array([len(x) for x in bodies])
+                wide = np.zeros((int(size.sum()), 8), np.uint8)
+                wide[:, :6] = np.concatenate(bodies)
+                token, owner = wide.view(U).ravel(), np.repeat(np.arange(len(size)), size)
+                for q in queries.as_py():
+                    mine = np.zeros((len(q["body"]) // 6, 8), np.uint8)
+                    mine[:, :6] = np.frombuffer(q["body"], np.uint8).reshape(-1, 6)
+                    inter = np.bincount(owner[spans.member(token, mine.view(U).ravel()) >= 0], minlength=len(size))
+                    ok = np.flatnonzero(inter * 100 >= (size + len(mine) - inter) * percent)
+                    if len(ok):
+                        found.append((q["id"], members[int(ok[0])]["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _opened(docs: DataFrame, queries: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links of queries (id, grp) to members of the group each has opened, list against list.
+
+    One link a list is enough, as the members of a group are connected already.
+    """
+    members = groups.join(queries.select("grp").distinct(), "grp").select("id", "grp")
+    need = persist(queries.select("id").unionAll(members.select("id")).distinct(), "need")
+    body = persist(docs.join(small(need), "id").mapInArrow(_bodies(n), "id long, body binary"), "bodies")
+    asking = _blocks(queries.join(body, "id"), "q").drop("of")
+    asked = _blocks(members.join(body, "id"), "m")
+    lists = asking.join(asked.select("grp", "m").distinct(), "grp").join(asked.drop("of"), ["grp", "m"])
+    return persist(lists.select("qs", "ms").mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
+
+
 def _grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
     """(id, size, grp) of every representative."""
     found = components(links)
@@ -198,7 +245,10 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     sized = rows.where("n > 0 and id is not null")
     classes = persist(sized.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("minima").alias("minima")), "classes")
-    same = sized.join(classes.drop("minima"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    owner = persist(sized.join(classes.drop("minima"), ["n", "s1", "s2"]).select("id", "rep").distinct(), "owner")
+    # an id on rows of several texts ties their sets together
+    ties = owner.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most")
+    ties = owner.join(ties, "id").select(F.col("rep").alias("a"), "b").where("a <> b")
     reps = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("size"))
 
     # groups: sets that share a minimum hash, compared with the one that shares most of its minima with others
@@ -211,7 +261,7 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     agree = F.size(F.filter(F.zip_with("minima", "p.minima", lambda x, y: x == y), lambda x: x))
     near = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent) & (agree >= AGREE) & (F.col("id") != F.col("p.id"))
     pairs = held.join(pivots, ["j", "m"]).where(near).select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
-    links = _verified(docs, pairs, n, percent)
+    links = persist(_verified(docs, pairs, n, percent).unionAll(ties), "links")
     groups = _grouped(reps, links)
 
     # the matrix: prefix tokens that two sets or more have, by representative and group
@@ -230,10 +280,13 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     bound = ask.join(unions, "token").where(turn & fits).groupBy("a", "size", "grp").agg(F.count(F.lit(1)).alias("bound"))
     least_need = F.least(need, F.ceil(F.col("least") * percent / 100))
     opened = bound.join(members.select("grp", "least"), "grp").where(F.col("bound") >= least_need).select("a", F.col("size").alias("mine"), "grp")
-    inside = groups.select(F.col("id").alias("b"), "size", "grp")
-    ok = (F.least("mine", "size") * 100 >= F.greatest("mine", "size") * percent)
-    more = _verified(docs, opened.join(inside, "grp").where(ok).select("a", "b").distinct(), n, percent)
-
-    found = components(same.unionAll(links).unionAll(more))
-    result = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    more = _opened(docs, persist(opened.select(F.col("a").alias("id"), "grp").distinct(), "opened"), groups, n, percent)
+
+    # what was opened joins whole groups
+    name = lambda end: groups.select(F.col("id").alias(end), F.col("grp").alias(f"g{end}"))
+    joined = components(more.join(name("a"), "a").join(name("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    final = groups.join(joined.select(F.col("id").alias("grp"), "component"), "grp", "left").select(F.col("id").alias("rep"), F.coalesce("component", "grp").alias("component"))
+    # the smallest id of a component is a representative, so its name is the component's
+    final = owner.join(final, "rep").groupBy("id").agg(F.min("component").alias("component_id"))
+    result = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
