@@ -39,8 +39,8 @@ ORDER, CODE = 5, 12
 CODES = 1 << CODE
 START = 1
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
-#: model entries of one file, and files that a worker keeps
-FILE_ROWS, FILES = 1_000_000, 24
+#: model entries of one file, files that a worker keeps, n-grams that a task keeps while counting, bytes of a block
+FILE_ROWS, FILES, HELD, BLOCK = 500_000, 8, 2_000_000, 2 << 20
 U = np.uint64
 FEATURES = pa.schema(
     [("doc_id", pa.int64()), ("lang", pa.string())]
@@ -81,7 +81,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: dict[str | None, list] = {}
     held = 0
     for whole in batches:
-        for part in spans.blocks(whole):
+        for part in spans.blocks(whole, limit=BLOCK):
             langs = part.column("lang").dictionary_encode()
             codes, edges = _codes(spans.Block(part.column("text")))
             if not len(codes) > ORDER:
@@ -94,7 +94,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values, n = np.unique(key[which == lang], return_counts=True)
                 kept.setdefault(None if lang < 0 else langs.dictionary[int(lang)].as_py(), []).append((values, n))
                 held += len(values)
-        if held > 8_000_000:
+        if held > HELD:
             yield from _counted(kept)
             kept, held = {}, 0
     yield from _counted(kept)
@@ -263,7 +263,7 @@ def _score(where: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(where)
         for whole in batches:
-            for part in spans.blocks(whole):
+            for part in spans.blocks(whole, limit=BLOCK):
                 block = spans.Block(part.column("text"))
                 block.words()
                 features = _base(part, block)
