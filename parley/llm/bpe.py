@@ -161,29 +161,41 @@ def _split(shared, shards: int):
                 start, end, bounds = words.split(block)
                 h = spans.hash_spans(block.data, start, end)
                 values, first, codes, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                if len(values) >= 1 << 24:
+                    raise ValueError("a batch has too many distinct words")
                 # frequent words get small numbers, so that the high bytes of most positions are zero
                 rank = np.empty(len(values), np.uint32)
                 rank[np.argsort(-counts, kind="stable")] = np.arange(len(values), dtype=np.uint32)
                 codes = rank[codes]
+                # a shard's words go in order of their first bytes, which packs them better
+                owner = spans.shard_of(values, shards)
+                order = np.lexsort((_first_bytes(block.data, start[first], end[first]), owner))
+                at, size = start[first][order], (end - start)[first][order]
+                place = np.empty(len(values), np.uint32)
+                place[rank[order]] = np.arange(len(values), dtype=np.uint32)
                 ids = part.column("id")
                 name = f"{part_id}-{number}"
                 number += 1
-                planes = [(codes >> np.uint32(8 * i)).astype(np.uint8) for i in range(3)]
-                if len(values) >= 1 << 24:
-                    raise ValueError("a batch has too many distinct words")
+                planes = [(x >> np.uint32(8 * i)).astype(np.uint8) for x in (codes, place) for i in range(3)]
                 null = ids.is_null().to_numpy(zero_copy_only=False)
-                body = spans.pack(ids.fill_null(0).to_numpy(zero_copy_only=False), null, np.diff(bounds).astype(np.uint32), *planes)
-                cuts = spans.shard_cuts(values, shards, 64)
-                rows = [(-1, body)]
+                rows = [(-1, spans.pack(ids.fill_null(0).to_numpy(zero_copy_only=False), null, np.diff(bounds).astype(np.uint32), *planes))]
+                cuts = np.searchsorted(owner[order], np.arange(shards + 1))
                 for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     if b > a:
-                        at, to = start[first[a:b]], end[first[a:b]]
-                        rows.append((s, spans.pack(rank[a:b], (to - at).astype(np.uint32), block.data[_ranges(at, to - at)])))
+                        rows.append((s, spans.pack(np.array([a], np.uint32), size[a:b].astype(np.uint32), block.data[_ranges(at[a:b], size[a:b])])))
                 yield spans.batch(SENT, [[name] * len(rows), [r[0] for r in rows], [r[1] for r in rows]])
 
     return run
 
 
+def _first_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(start), U)
+    for i in range(8):
+        at = start + i
+        key = (key << U(8)) | np.where(at < end, data[np.minimum(at, len(data) - 1)], 0).astype(U)
+    return key
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     ends = np.cumsum(length)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
@@ -201,68 +213,83 @@ def _encode(path: str):
         number: dict[bytes, int] = {}
         refs = []
         for x in table.column("body"):
-            codes, length, raw = spans.unpack(x.as_py())
+            first, length, raw = spans.unpack(x.as_py())
             raw, ends = raw.tobytes(), np.cumsum(length)
-            refs.append((codes, np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip((ends - length).tolist(), ends.tolist())])))
-        words = [w.decode() for w in number]
-        lists = []
-        for low in range(0, len(words), 10_000):
-            lists += [e.ids for e in encode(words[low : low + 10_000], add_special_tokens=False)]
-        size = np.array([len(x) for x in lists])
-        flat = np.array([i for x in lists for i in x], np.uint32)
+            refs.append((first, np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip((ends - length).tolist(), ends.tolist())])))
+        words, sizes, flats = list(number), [], []
+        for low in range(0, len(words), 5000):
+            found = [e.ids for e in encode([w.decode() for w in words[low : low + 5000]], add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in found]))
+            flats.append(np.array([i for x in found for i in x], np.uint32))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         begin = np.cumsum(size) - size
-        bodies = [spans.pack(codes, size[w].astype(np.uint32), flat[_ranges(begin[w], size[w])]) for codes, w in refs]
+        narrow = np.uint16 if int(flat.max(initial=0)) < 65536 else np.uint32
+        bodies = [spans.pack(first, size[w].astype(np.uint32), flat[_ranges(begin[w], size[w])].astype(narrow)) for first, w in refs]
         return pa.table([table.column("batch"), table.column("shard"), pa.array(bodies, pa.binary())], schema=SENT)
 
     return run
 
 
-def _place(key: tuple[pa.Scalar, ...], texts: pa.Table, words: pa.Table) -> pa.Table:
-    """Of one batch: ids of every document, by the numbers at its positions."""
+def _placed(texts: pa.Table, words: pa.Table) -> tuple[pa.Array, pa.ListArray]:
+    """Of one batch: the documents' ids, and their token ids by the numbers at their positions."""
     body = [x for x, s in zip(texts.column("body"), texts.column("shard").to_pylist(), strict=True) if s < 0]
     ids, null, counts, *planes = spans.unpack(body[0].as_py())
-    codes = sum(p.astype(np.int64) << (8 * i) for i, p in enumerate(planes))
-    size = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
-    packs = [spans.unpack(x.as_py()) for x in words.column("body")]
-    for c, n, _ in packs:
-        size[c] = n
+    codes, place = (sum(p.astype(np.int64) << (8 * i) for i, p in enumerate(x)) for x in (planes[:3], planes[3:]))
+    codes = place[codes]
+    size = np.zeros(len(place), np.int64)
+    packs = sorted((spans.unpack(x.as_py()) for x in words.column("body")), key=lambda p: int(p[0][0]))
+    for first, n, _ in packs:
+        size[first[0] : first[0] + len(n)] = n
+    flat = np.concatenate([p[2].astype(np.int32) for p in packs] or [np.zeros(0, np.int32)])
     begin = np.cumsum(size) - size
-    flat = np.zeros(int(size.sum()), np.int32)
-    for c, n, x in packs:
-        flat[_ranges(begin[c], n.astype(np.int64))] = x
     out = flat[_ranges(begin[codes], size[codes])]
     ends = np.concatenate(([0], np.cumsum(size[codes])))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out, pa.int32()))
-    return pa.table({"id": pa.array(ids, pa.int64(), mask=null.view(bool)), "ids": lists})
+    return pa.array(ids, pa.int64(), mask=null.view(bool)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out, pa.int32()))
+
 
+def _place(shared):
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, words: pa.Table) -> pa.Table:
+        ids, lists = _placed(texts, words)
+        columns = {"id": ids, "ids": lists}
+        return pa.table(columns if shared is None else columns | {"decoded": _text(lists, *shared.value)})
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id (``doc_id``) and ``ids``, equal to the library's encoding with the file at ``path``."""
+    return run
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Each row's id (``doc_id``) and ``ids``, equal to the library's encoding with the file at ``path``.
+
+    With ``decoded``, the ids are also joined to their pieces again, in the same tasks.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     specials = {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
     shared = spark.sparkContext.broadcast((char_classes(path), specials))
+    back = spark.sparkContext.broadcast(pieces(path)) if decoded else None
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sent = texts.mapInArrow(_split(shared, n), SENT_SQL).repartition(n, "batch")
     words = sent.mapInArrow(_only_words, SENT_SQL).groupBy("shard").applyInArrow(_encode(path), SENT_SQL)
-    placed = sent.groupBy("batch").cogroup(words.repartition(n, "batch").groupBy("batch")).applyInArrow(_place, "id long, ids array<int>")
-    return placed.select(F.col("id").alias("doc_id"), "ids")
+    placed = sent.groupBy("batch").cogroup(words.repartition(n, "batch").groupBy("batch")).applyInArrow(_place(back), "id long, ids array<int>" + ", decoded string" * decoded)
+    return placed.withColumnRenamed("id", "doc_id")
+
+
+def _text(lists: pa.ListArray, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The text of each list of ids."""
+    size, out = np.diff(offsets), []
+    for low in range(0, len(lists), 500):
+        part = lists.slice(low, 500)
+        flat = part.flatten().to_numpy(zero_copy_only=False)
+        counts = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+        raw = data[_ranges(offsets[flat], size[flat])].tobytes()
+        ends = np.concatenate(([0], np.cumsum(size[flat])))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        out += [raw[x:y].decode("utf-8", "replace") for x, y in zip(ends, ends[1:])]
+    return pa.array(out, pa.string())
 
 
 def _join_pieces(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, offsets = shared.value
-        size = np.diff(offsets)
         for b in batches:
-            for low in range(0, b.num_rows, 500):
-                part = b.slice(low, 500)
-                lists = part.column("ids")
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-                raw = data[_ranges(offsets[flat], size[flat])].tobytes()
-                ends = np.concatenate(([0], np.cumsum(size[flat])))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-                decoded = [raw[x:y].decode("utf-8", "replace") for x, y in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(decoded, pa.string())], [*part.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), _text(b.column("ids"), *shared.value)], [*b.schema.names, "decoded"])
 
     return run
 

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.bpe import decode, encode
+from parley.llm.bpe import encode
 from parley.llm.jaccard import similar_components
 from parley.llm.linear import MAX_ROWS, fit, remainder, sample, style_features
 from parley.llm.perplexity import quality
 from parley.llm.substrings import remove_repeats
+from parley.llm.weak import toxicity_model
 from parley.llm.winnow import contamination
 from parley.session import persist
 
@@ -71,7 +72,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    found = encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
@@ -122,6 +123,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(model.scores(docs), 5, 0)
 
 
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity_model(docs, labels.where(remainder("doc_id", 4) != 2))
+    return judged(model.scores(docs), 4, 2)
+
+
 def judged(scores: DataFrame, modulus: int, held: int) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -217,5 +217,10 @@ def shard_cuts(sorted_values: np.ndarray, shards: int, bits: int = 52) -> np.nda
     return np.concatenate(([0], np.searchsorted(sorted_values, edges), [len(sorted_values)]))
 
 
+def shard_of(values: np.ndarray, shards: int) -> np.ndarray:
+    """Which of ``shards`` equal ranges each 64-bit hash is in."""
+    return ((values >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
