@@ -124,13 +124,16 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int, alpha: f
     """Weights and intercept after ``epochs`` passes; the intercept is not regularised."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias = [0.0, 0.0]
+    # learning starts from the share of label 1
+    share = min(max(sum(r[2] for r in rows) / max(1, len(rows)), 0.001), 0.999)
+    start = float(np.log(share / (1 - share)))
     for epoch in range(epochs):
         for i in np.random.Generator(np.random.PCG64(epoch)).permutation(len(rows)):
             place, value, y = rows[i]
             zi, ni = z[place], n[place]
             w = np.where(np.abs(zi) > l1, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
             b = -bias[0] / ((beta + np.sqrt(bias[1])) / alpha)
-            p = 1 / (1 + np.exp(-np.clip(w @ value + b, -35, 35)))
+            p = 1 / (1 + np.exp(-np.clip(w @ value + b + start, -35, 35)))
             g = (p - y) * value
             step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
             z[place] += g - step * w
@@ -139,7 +142,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int, alpha: f
             bias[0] += gb - (np.sqrt(bias[1] + gb * gb) - np.sqrt(bias[1])) / alpha * b
             bias[1] += gb * gb
     w = np.where(np.abs(z) > l1, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
-    return w.astype(np.float32), float(-bias[0] / ((beta + np.sqrt(bias[1])) / alpha))
+    return w.astype(np.float32), start + float(-bias[0] / ((beta + np.sqrt(bias[1])) / alpha))
 
 
 def _learn(settings: dict):

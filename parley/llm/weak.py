@@ -38,7 +38,10 @@ PAIRS = (("you", "are"), ("shut", "up"))
 #: kinds of lexicon (word, four and five letters at a beginning, pair), voters of each kind and terms of each voter
 KINDS, VOTERS, TERMS = 4, 6, 200
 #: log likelihood ratio over the share of toxic rows that a term needs, so that chance does not name it
-EVIDENCE = 14.0
+EVIDENCE = 10.0
+#: share of toxic rows that a term needs
+SHARE = 0.7
+LEARNING = {"alpha": 1.0, "beta": 1.0, "l1": 4.0, "l2": 0.0, "epochs": 5}
 
 
 def _terms(block: spans.Block) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -81,7 +84,7 @@ def lexicons(docs: DataFrame, labelled: DataFrame) -> list[np.ndarray]:
     base = min(max(float(base), 0.001), 0.999)
     share = (F.col("toxic") + base) / (F.col("rows") + 1)
     worth = F.col("toxic") * F.log(share / base) + (F.col("rows") - F.col("toxic")) * F.log((1 - share) / (1 - base))
-    best = persist(sums.where(share > base).select("kind", "term", worth.alias("worth")).where(F.col("worth") >= EVIDENCE), "terms")
+    best = persist(sums.where(share >= SHARE).select("kind", "term", worth.alias("worth")).where(F.col("worth") >= EVIDENCE), "terms")
     out = []
     for kind in range(KINDS):  # at most VOTERS * TERMS terms of a kind leave the cluster
         top = [r.term for r in best.where(F.col("kind") == kind).orderBy(F.desc("worth"), "term").limit(VOTERS * TERMS).collect()]
@@ -193,6 +196,6 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     shared = spark.sparkContext.broadcast(lexicons(docs, known))  # at most KINDS * VOTERS * TERMS numbers
     votes = persist(docs.mapInArrow(_votes(shared), "id long, votes long"), "votes")
     model = label_model(persist(votes.groupBy("votes").count(), "patterns"))
-    # rows of the sample teach the classifier, by their posterior and not their label
-    chosen = persist(votes.join(small(known.select("id")), "id").dropDuplicates(["id"]).mapInArrow(_posteriors(model), "id long, y double"), "posteriors")
-    return fit(docs, chosen, word_features, counted=False, id_col="id", alpha=0.2, l1=0.5, l2=1.0)
+    # the posterior, not a label, teaches the classifier
+    chosen = persist(sample(votes.mapInArrow(_posteriors(model), "id long, y double"), max_rows, "id"), "posteriors")
+    return fit(docs, chosen, word_features, counted=False, id_col="id", **LEARNING)
