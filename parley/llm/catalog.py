@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.bpe import encode
 from parley.llm.jaccard import similar_components
+from parley.llm.langid import learn
 from parley.llm.linear import MAX_ROWS, fit, remainder, sample, style_features
 from parley.llm.perplexity import quality
 from parley.llm.substrings import remove_repeats
@@ -115,6 +116,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(remainder("doc_id", 5) != 0), public_tokenizers.path("piece_bpe_32k.model"))
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return model.identify(docs).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
