@@ -13,10 +13,12 @@ from parley.llm.jaccard import similar_components
 from parley.llm.langid import learn
 from parley.llm.linear import MAX_ROWS, fit, remainder, sample, style_features
 from parley.llm.perplexity import quality
+from parley.llm.reputation import judge
 from parley.llm.substrings import remove_repeats
+from parley.llm.tokencounts import Rollup, count_tokens, deletes, inserts, revisions
 from parley.llm.weak import toxicity_model
 from parley.llm.winnow import contamination
-from parley.session import persist
+from parley.session import persist, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,6 +141,43 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(model.scores(docs), 4, 2)
 
 
+#: (verdict, host and path)
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query()
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # a page's address ends in the number of its document, whose labels are the page's outcome
+    number = F.regexp_extract("url", r"://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
+    named = pages.select(F.col("page_id").alias("page"), F.when(number != "", number).cast("long").alias("doc_id"))
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
+    outcomes = named.join(labels.select("doc_id", bad.alias("bad")), "doc_id").groupBy("page").agg(F.max("bad").alias("bad"))
+    return judge(pages, outcomes, RULES)
+
+
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: all documents come in, toxic ones go, low-quality ones lose repeated lines; the third comes twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = docs.select("doc_id", "source", "lang", "text", F.lit("byte_bpe_50k").alias("tokenizer_version"))
+    counted = persist(count_tokens(docs, path), "counted")
+    rollup = Rollup(spark, shared_folder(spark, "token-rollup"))
+    rollup.commit(1, inserts(counted))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    rollup.commit(2, deletes(counted.join(toxic, "doc_id", "left_semi")))
+    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    # each line once, in order
+    lines = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    again = count_tokens(lines, path).select("doc_id", "n_tokens")
+    revised = revisions(counted.withColumnRenamed("n_tokens", "old_tokens").join(again, "doc_id"))
+    rollup.commit(3, revised)
+    rollup.commit(3, revised)
+    rollup.compact()
+    return rollup.totals()
+
+
 def judged(scores: DataFrame, modulus: int, held: int) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
