@@ -3,7 +3,9 @@
 Documents are sets of hashed word n-grams. Those with equal sets are one. Similar
 sets are first gathered into groups: sets that share a minimum hash are compared with
 one pivot of that hash, and groups are the components of the links found. Links inside
-a group need no more search, so what is left is links between groups.
+such a group need no more search. Sets that no link holds but that look like one pivot
+share open groups of bounded size. What is left is links between groups, and in open
+groups.
 
 For these, the matrix holds, per token, the groups whose union has it. A set that is
 ``t`` similar to another shares at least ``k`` tokens with it among the
@@ -184,10 +186,10 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
 
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b) for each query of a list and the first member of the other list that is similar enough."""
+        """(a, b) for each query of a list and the members of the other list that are similar enough, or the first."""
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for queries, members in zip(batch.column("qs"), batch.column("ms"), strict=True):
+            for queries, members, every in zip(batch.column("qs"), batch.column("ms"), batch.column("open").to_pylist(), strict=True):
                 members = members.as_py()
                 bodies = [np.frombuffer(m["body"], np.uint8).reshape(-1, 6) for m in members]
                 size = np.array([len(x) for x in bodies])
@@ -199,8 +201,7 @@ def _compare(percent: int):
                     mine[:, :6] = np.frombuffer(q["body"], np.uint8).reshape(-1, 6)
                     inter = np.bincount(owner[spans.member(token, mine.view(U).ravel()) >= 0], minlength=len(size))
                     ok = np.flatnonzero(inter * 100 >= (size + len(mine) - inter) * percent)
-                    if len(ok):
-                        found.append((q["id"], members[int(ok[0])]["id"]))
+                    found += [(q["id"], members[i]["id"]) for i in (ok if every else ok[:1]).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     return run
@@ -209,21 +210,33 @@ def _compare(percent: int):
 def _opened(docs: DataFrame, queries: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
     """Links of queries (id, grp) to members of the group each has opened, list against list.
 
-    One link a list is enough, as the members of a group are connected already.
+    One link a list is enough where the members of a group are connected already.
     """
-    members = groups.join(queries.select("grp").distinct(), "grp").select("id", "grp")
+    members = groups.join(queries.select("grp").distinct(), "grp").select("id", "grp", "open")
     need = persist(queries.select("id").unionAll(members.select("id")).distinct(), "need")
     body = persist(docs.join(small(need), "id").mapInArrow(_bodies(n), "id long, body binary"), "bodies")
     asking = _blocks(queries.join(body, "id"), "q").drop("of")
-    asked = _blocks(members.join(body, "id"), "m")
+    asked = _blocks(members.join(body, "id"), "m").join(members.select("grp", "open").distinct(), "grp")
     lists = asking.join(asked.select("grp", "m").distinct(), "grp").join(asked.drop("of"), ["grp", "m"])
-    return persist(lists.select("qs", "ms").mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
+    return persist(lists.select("qs", "ms", "open").mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
 
 
-def _grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, size, grp) of every representative."""
+def _grouped(reps: DataFrame, links: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, size, comp, grp, open) of every representative.
+
+    ``comp`` is its component so far. Sets that no link holds but that look like one
+    pivot (``near``: id, pivot) stand in groups of about ``LIST`` of the same pivot;
+    such a group is ``open``, its members may link with each other.
+    """
     found = components(links)
-    return persist(reps.join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("grp")), "groups")
+    all_ = reps.join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("comp"))
+    sizes = found.select(F.col("component").alias("comp")).distinct().withColumn("linked", F.lit(True))
+    all_ = persist(all_.join(sizes, "comp", "left").select("id", "size", "comp", F.coalesce("linked", F.lit(False)).alias("linked")), "components")
+    loose = persist(all_.where("not linked").join(near, "id").select("id", "pivot"), "loose")
+    of = loose.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("of"))
+    loose = loose.join(of, "pivot").select("id", F.concat_ws(":", F.lit("near"), "pivot", F.pmod(F.xxhash64("id"), "of")).alias("near"))
+    out = all_.join(loose, "id", "left").select("id", "size", "comp", F.coalesce("near", F.col("comp").cast("string")).alias("grp"), F.col("near").isNotNull().alias("open"))
+    return persist(out, "groups")
 
 
 def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,23 +272,25 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     held = persist(shared.join(score, "id"), "held")
     pivots = held.groupBy("j", "m").agg(F.max_by(F.struct("id", "n", "minima"), F.struct("score", (-F.col("id")).alias("first"))).alias("p"))
     agree = F.size(F.filter(F.zip_with("minima", "p.minima", lambda x, y: x == y), lambda x: x))
-    near = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent) & (agree >= AGREE) & (F.col("id") != F.col("p.id"))
-    pairs = held.join(pivots, ["j", "m"]).where(near).select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
+    near = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent) & (F.col("agree") >= AGREE)
+    met = held.join(pivots, ["j", "m"]).where(F.col("id") != F.col("p.id")).withColumn("agree", agree)
+    pairs = met.where(near).select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
+    alike = met.where(F.col("agree") >= AGREE - 1).groupBy("id").agg(F.max_by("p.id", F.struct("agree", -F.col("p.id"))).alias("pivot"))
     links = persist(_verified(docs, pairs, n, percent).unionAll(ties), "links")
-    groups = _grouped(reps, links)
+    groups = _grouped(reps, links, alike)
 
     # the matrix: prefix tokens that two sets or more have, by representative and group
     packs = docs.where("id is not null").mapInArrow(_prefixes(n, percent, shards, sketch), "shard int, body binary")
     tokens = packs.groupBy("shard").applyInArrow(_shared, "token long, id long").join(groups, "id")
-    wide = tokens.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
+    wide = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     tokens = persist(tokens.join(wide, "token").distinct(), "tokens")
-    members = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("count"), F.min("size").alias("least"), F.max("size").alias("most"))
+    members = groups.groupBy("grp", "open").agg(F.count(F.lit(1)).alias("count"), F.min("size").alias("least"), F.max("size").alias("most"))
     members = persist(members.join(tokens.select("grp").distinct(), "grp"), "members")
     unions = tokens.select("token", "grp").distinct().join(members, "grp")
-    ask = tokens.join(members.select("grp", "count"), "grp").select("token", F.col("id").alias("a"), "size", F.col("grp").alias("own"), F.col("count").alias("own_count"))
+    ask = tokens.drop("open").join(members.select("grp", "count"), "grp").select("token", F.col("id").alias("a"), "size", F.col("grp").alias("own"), F.col("count").alias("own_count"))
     need = F.least(F.lit(SHARED), F.ceil(F.col("size") * percent / 100))
-    # of two groups the smaller one asks
-    turn = F.struct("own_count", "own") < F.struct("count", "grp")
+    # of two groups the smaller one asks; an open group also asks itself
+    turn = (F.struct("own_count", "own") < F.struct("count", "grp")) | (F.col("open") & (F.col("own") == F.col("grp")))
     fits = (F.col("most") * 100 >= F.col("size") * percent) & (F.col("size") * 100 >= F.col("least") * percent)
     bound = ask.join(unions, "token").where(turn & fits).groupBy("a", "size", "grp").agg(F.count(F.lit(1)).alias("bound"))
     least_need = F.least(need, F.ceil(F.col("least") * percent / 100))
@@ -283,9 +298,9 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     more = _opened(docs, persist(opened.select(F.col("a").alias("id"), "grp").distinct(), "opened"), groups, n, percent)
 
     # what was opened joins whole groups
-    name = lambda end: groups.select(F.col("id").alias(end), F.col("grp").alias(f"g{end}"))
+    name = lambda end: groups.select(F.col("id").alias(end), F.col("comp").alias(f"g{end}"))
     joined = components(more.join(name("a"), "a").join(name("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-    final = groups.join(joined.select(F.col("id").alias("grp"), "component"), "grp", "left").select(F.col("id").alias("rep"), F.coalesce("component", "grp").alias("component"))
+    final = groups.join(joined.select(F.col("id").alias("comp"), "component"), "comp", "left").select(F.col("id").alias("rep"), F.coalesce("component", "comp").alias("component"))
     # the smallest id of a component is a representative, so its name is the component's
     final = owner.join(final, "rep").groupBy("id").agg(F.min("component").alias("component_id"))
     result = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
