@@ -171,6 +171,27 @@ class Linear:
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         return texts.mapInArrow(_scores(self.features, self.counted, shared), "doc_id long, score double")
 
+    def below(self, docs: DataFrame, limit: float, text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` whose score is below ``limit``, as they are."""
+        shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.bias))
+        return docs.mapInArrow(_below(self.features, self.counted, shared, limit, text_col), docs.schema)
+
+
+def _below(features: Callable, counted: bool, shared, limit: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for whole in batches:
+            for part in spans.blocks(whole, text_col):
+                bounds, place, value = vectors(features, part.column(text_col), counted)
+                yield part.filter(pa.array(_sigmoid(bounds, weights[place] * value.astype(np.float64), bias) < limit))
+
+    return run
+
+
+def _sigmoid(bounds: np.ndarray, terms: np.ndarray, bias: float) -> np.ndarray:
+    dot = np.diff(np.concatenate(([0.0], np.cumsum(terms)))[bounds])
+    return 1 / (1 + np.exp(-np.clip(dot + bias, -35, 35)))
+
 
 def _scores(features: Callable, counted: bool, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +199,7 @@ def _scores(features: Callable, counted: bool, shared):
         for whole in batches:
             for part in spans.blocks(whole):
                 bounds, place, value = vectors(features, part.column("text"), counted)
-                dot = np.diff(np.concatenate(([0.0], np.cumsum(weights[place].astype(np.float64) * value)))[bounds])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(dot + bias, -35, 35))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_sigmoid(bounds, weights[place] * value.astype(np.float64), bias))], ["doc_id", "score"])
 
     return run
 

@@ -36,7 +36,6 @@ HOT = 2000
 LAST = np.iinfo(np.int64).max
 PACKED = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
 SENT = PACKED.append(pa.field("settled", pa.bool_()))
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 U = np.uint64
 
 
@@ -296,32 +295,63 @@ def _search(window: int):
     return run
 
 
-def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, hits: pa.Table) -> pa.Table:
-    """Of one bucket: each document without the words of its repeated windows."""
-    packs = [spans.unpack(x.as_py()) for x in hits.column("body")]
-    if packs:
-        keys, begin, size = (np.concatenate([p[i] for p in packs]) for i in range(3))
-        order = np.argsort(keys, kind="stable")
-        keys, begin, size = keys[order], begin[order], size[order]
-    out = [[], [], [], []]
-    own = docs.column("_key").to_numpy()
-    for k, doc_id, text in zip(own, docs.column("_id").to_pylist(), docs.column("_text"), strict=True):
-        words = (text.as_py() or "").encode().split()
-        n, removed = len(words), 0
-        if packs and (b := np.searchsorted(keys, k, "right")) > (a := np.searchsorted(keys, k)):
-            edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, begin[a:b], 1)
-            np.add.at(edge, begin[a:b] + size[a:b], -1)
-            keep = np.cumsum(edge[:-1]) == 0
-            words = [w for w, ok in zip(words, keep.tolist(), strict=True) if ok]
-            removed = n - len(words)
-        for box, x in zip(out, (doc_id, n, removed, b" ".join(words).decode()), strict=True):
-            box.append(x)
-    return pa.table([pa.array(x, f.type) for x, f in zip(out, KEPT, strict=True)], schema=KEPT)
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, n_words, n_removed, and ``kept``: the text without repeated windows, words joined by one space.
+def _remove(carry: list[str], tidy: bool):
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, hits: pa.Table) -> pa.Table:
+        """Of one bucket: each document without the words of its repeated windows."""
+        packs = [spans.unpack(x.as_py()) for x in hits.column("body")]
+        if packs:
+            keys, begin, size = (np.concatenate([p[i] for p in packs]) for i in range(3))
+            order = np.argsort(keys, kind="stable")
+            keys, begin, size = keys[order], begin[order], size[order]
+        out = [[], [], []]
+        own = docs.column("_key").to_numpy()
+        for k, text in zip(own, docs.column("_text"), strict=True):
+            text = text.as_py()
+            raw = (text or "").encode()
+            words = raw.split()
+            n, removed, kept = len(words), 0, text
+            if packs and (b := np.searchsorted(keys, k, "right")) > (a := np.searchsorted(keys, k)):
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, begin[a:b], 1)
+                np.add.at(edge, begin[a:b] + size[a:b], -1)
+                keep = np.cumsum(edge[:-1]) == 0
+                removed = int(n - keep.sum())
+                if tidy:
+                    words = [w for w, ok in zip(words, keep.tolist(), strict=True) if ok]
+                else:
+                    kept = _cut(text, keep)
+            if tidy:
+                kept = b" ".join(words).decode()
+            for box, x in zip(out, (n, removed, kept), strict=True):
+                box.append(x)
+        columns = {"doc_id": docs.column("_id"), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept": pa.array(out[2], pa.string())}
+        return pa.table(columns | {c: docs.column("+" + c) for c in carry})
+
+    return run
+
+
+def _cut(text: str, keep: np.ndarray) -> str:
+    """The text without its removed words; blanks around kept words stay."""
+    block = spans.Block(pa.array([text]))
+    block.words()
+    parts, at = [], 0
+    for first, last in _runs(~keep):
+        parts.append(block.data[at : block.starts[first]].tobytes())
+        at = block.starts[last + 1] if last + 1 < len(keep) else len(block.data)
+    parts.append(block.data[at:].tobytes())
+    return b"".join(parts).decode()
+
+
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), tidy: bool = True) -> DataFrame:
+    """Each row's id, n_words, n_removed, ``kept`` and the columns ``carry``.
+
+    ``kept`` is the text without repeated windows, its words joined by one space; unless
+    ``tidy``, a text that loses nothing stays as it is and others keep their own blanks.
 
     A word goes if a window of ``window`` words covers it that also starts in a row with
     a smaller id; all windows are judged on the input. The documents are shuffled once,
@@ -331,9 +361,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, shards = n, 4 * n  # an index takes about 100 bytes a word, a bucket of documents far less
     packed = "shard int, bucket int, body binary"
-    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"), *(F.col(c).alias(f"+{c}") for c in carry))
     keyed = keyed.withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int")).repartition(n, "_bucket")
 
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join(["doc_id long, n_words long, n_removed long, kept string", *(f"`{c}` {kinds[c]}" for c in carry)])
+
     def by_bucket(df: DataFrame):
         return keyed.groupBy("_bucket").cogroup(df.repartition(n, "bucket").groupBy("bucket"))
 
@@ -341,4 +374,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     repeated = candidates.groupBy("shard").applyInArrow(_repeated, packed)
     segments = by_bucket(repeated).applyInArrow(_segments(window, shards), packed + ", settled boolean")
     hits = segments.groupBy("shard").applyInArrow(_search(window), packed)
-    return by_bucket(hits).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
+    return by_bucket(hits).applyInArrow(_remove(list(carry), tidy), schema)
