@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from parley.llm import spans
 
 LETTER, NUMBER, BLANK = 1, 2, 3
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 5 << 20
 SENT = pa.schema([("batch", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
 SENT_SQL = "batch string, shard int, body binary"
 U = np.uint64
@@ -105,6 +105,7 @@ class Words:
         return np.array(sorted(found), np.int64).reshape(-1, 2)
 
 
+@functools.lru_cache(1)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -184,6 +185,7 @@ def _split(shared, shards: int):
                     if b > a:
                         rows.append((s, spans.pack(np.array([a], np.uint32), size[a:b].astype(np.uint32), block.data[_ranges(at[a:b], size[a:b])])))
                 yield spans.batch(SENT, [[name] * len(rows), [r[0] for r in rows], [r[1] for r in rows]])
+                spans.give_back()
 
     return run
 
@@ -224,6 +226,7 @@ def _encode(path: str):
         size, flat = np.concatenate(sizes), np.concatenate(flats)
         begin = np.cumsum(size) - size
         narrow = np.uint16 if int(flat.max(initial=0)) < 65536 else np.uint32
+        spans.give_back()
         bodies = [spans.pack(first, size[w].astype(np.uint32), flat[_ranges(begin[w], size[w])].astype(narrow)) for first, w in refs]
         return pa.table([table.column("batch"), table.column("shard"), pa.array(bodies, pa.binary())], schema=SENT)
 
@@ -250,6 +253,7 @@ def _placed(texts: pa.Table, words: pa.Table) -> tuple[pa.Array, pa.ListArray]:
 def _place(shared):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, words: pa.Table) -> pa.Table:
         ids, lists = _placed(texts, words)
+        spans.give_back()
         columns = {"id": ids, "ids": lists}
         return pa.table(columns if shared is None else columns | {"decoded": _text(lists, *shared.value)})
 
