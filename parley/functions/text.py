@@ -174,9 +174,8 @@ def unscoreable_reason(x: Column) -> Column:
     return F.when(
         n < MIN_SPOKEN,
         F.concat(
-            F.lit("transcript holds "), n.cast("string"),
-            F.lit(f" characters of speech, below the {MIN_SPOKEN} needed to score: treated as "
-                  "a failed or abandoned call, not a badly handled one"),
+            F.lit("too little speech to grade: "), n.cast("string"),
+            F.lit(f" of {MIN_SPOKEN} characters; counted as no conversation"),
         ),
     )
 

@@ -12,7 +12,7 @@ MIN_AUDIO_BYTES = 1024
 MAX_RETRIES = 5
 COOL_OFF = "45 MINUTES"
 CLAIM = 25
-TERMINAL = ("evaluated", "dead_letter")
+LISTED, DONE, DEAD, GATE_RED = "discovered", "evaluated", "dead_letter", "gate_red"
 TOO_SMALL = "audio_too_small: WAV under 1KB is a header with no audio"
 
 
@@ -109,21 +109,21 @@ FAILURES = ("asr_failed", "judge_failed")
 def job_state_fold(events: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Queue state per call from its log of steps.
 
-    Every step overwrites the status, a failure also counts, and the failure that
-    uses up the budget leaves the call dead. So the state is the last step, the
-    number of failures and the last error: one aggregate that combines map-side
-    and runs the same on a stream.
+    A call is listed again long after it is done, so ``discovered`` counts only while
+    nothing else is known. An evaluation is final, and so are a red gate and a failure
+    that uses up the budget; otherwise the last step is the state. One aggregate that
+    combines map-side and runs the same on a stream.
     """
     order = F.struct("logged_at", "event_id")
     failed = F.col("step").isin(*FAILURES)
     folded = events.groupBy("uniqueid").agg(
-        F.max_by("step", order).alias("last_step"),
+        F.max_by("step", F.when(F.col("step") != LISTED, order)).alias("last_step"),
+        F.max(F.col("step") == DONE).alias("done"),
+        F.max(F.col("step") == GATE_RED).alias("red"),
         F.count_if(failed).cast("int").alias("retries"),
         F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("last_error"),
         F.max("logged_at").alias("updated_at"),
     )
-    dead = F.col("last_step").isin(*FAILURES) & (F.col("retries") >= max_retries)
-    return folded.select(
-        "uniqueid", F.when(dead, "dead_letter").otherwise(F.col("last_step")).alias("status"),
-        "retries", "last_error", "updated_at",
-    )
+    dead = F.col("red") | (F.col("retries") >= max_retries)
+    status = F.when(F.col("done"), DONE).when(dead, DEAD).otherwise(F.coalesce("last_step", F.lit(LISTED)))
+    return folded.select("uniqueid", status.alias("status"), "retries", "last_error", "updated_at")

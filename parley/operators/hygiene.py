@@ -443,15 +443,22 @@ def chunk_measures(cleaned: DataFrame) -> DataFrame:
         F.lit(0), lambda a, o: a + F.length(o["removed_text"]),
     )
     no_gap = F.replace(F.col("clean_text"), F.lit(GAP), F.lit(""))
-    blanks = F.translate(T.plain_blanks(F.col("raw_text")), "\t\n\x0b\f\r", " " * 5)
+
+    def edge(name: str, trim) -> Column:
+        blanks = F.translate(T.plain_blanks(F.col(name)), "\t\n\x0b\f\r", " " * 5)
+        return F.length(name) - F.length(trim(blanks))
+
     measures = cleaned.select(
         "call_id", "seq", "seconds", "failed", "hard_loop",
         (sure | ((F.col("warn_run") > 0) & (F.col("ngram_fraction") >= 0.45))).alias("invalid_sparse"),
         (sure | (F.col("warn_run") > 0)).alias("invalid_dense"),
         (F.col("warn_run") > 0).alias("warned"),
         F.length("raw_text").alias("chars"),
-        (F.length("raw_text") - F.length(F.ltrim(blanks))).alias("lead"),
-        (F.length("raw_text") - F.length(F.rtrim(blanks))).alias("trail"),
+        edge("raw_text", F.ltrim).alias("lead"),
+        edge("raw_text", F.rtrim).alias("trail"),
+        F.length("clean_text").alias("clean_size"),
+        edge("clean_text", F.ltrim).alias("clean_lead"),
+        edge("clean_text", F.rtrim).alias("clean_trail"),
         F.when(F.length("clean_text") > 0, F.length(no_gap)).alias("clean_chars"),
         removed.alias("removed"),
         (F.size("ops") > 0).alias("has_removal"),
@@ -460,6 +467,19 @@ def chunk_measures(cleaned: DataFrame) -> DataFrame:
     return session.persist(measures, "chunk-measures")
 
 
+def _joined_size(chunks: DataFrame, size: str, lead: str, trail: str, counted: str, name: str) -> DataFrame:
+    """(call_id, name): characters of a call's non-empty chunks joined by blanks, less the blanks at either end.
+
+    ``counted`` is what a chunk adds, which may be less than its ``size``. Chunks of
+    blanks only before the first and after the last other chunk do not count at all.
+    """
+    worded = F.when(F.col(lead) < F.col(size), F.col("seq"))
+    ends = chunks.groupBy("call_id").agg(F.min(worded).alias("first"), F.max(worded).alias("last"))
+    inner = chunks.where(F.col(size) > 0).join(ends, "call_id").where(F.col("seq").between(F.col("first"), F.col("last")))
+    cut = F.when(F.col("seq") == F.col("first"), F.col(lead)).otherwise(0) + F.when(F.col("seq") == F.col("last"), F.col(trail)).otherwise(0)
+    return inner.groupBy("call_id").agg((F.sum(F.col(counted) + 1 - cut) - 1).alias(name))
+
+
 def assess_calls(cleaned: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """Red, amber or green per call, with the measures behind it.
 
@@ -468,16 +488,11 @@ def assess_calls(cleaned: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFr
     no second pass over the chunks is needed.
     """
     chunks = chunk_measures(cleaned)
-    some = F.when(F.col("chars") > 0, F.col("seq"))
-    joined = F.sum(F.when(F.col("chars") > 0, F.col("chars") + 1)) - 1 - F.min_by("lead", some) - F.max_by("trail", some)
     sums = chunks.groupBy("call_id").agg(
         F.count(F.lit(1)).alias("chunks_total"),
         F.count_if("failed").alias("chunks_failed"),
         F.count_if(~F.col("failed") & (F.col("chars") == 0)).alias("chunks_empty"),
         F.bround(F.sum("seconds"), 2).alias("duration"),
-        F.greatest(F.coalesce(joined, F.lit(0)), F.lit(0)).alias("chars"),
-        # joined before the markers go, so a chunk that is all marker still counts a blank
-        F.coalesce(F.sum(F.col("clean_chars") + 1) - 1, F.lit(0)).alias("clean_chars"),
         F.coalesce(F.sum(F.when(F.col("invalid_sparse"), F.col("seconds"))), F.lit(0.0)).alias("sec_sparse"),
         F.coalesce(F.sum(F.when(F.col("invalid_dense"), F.col("seconds"))), F.lit(0.0)).alias("sec_dense"),
         F.sum("removed").cast("int").alias("tier1_chars_removed"),
@@ -486,6 +501,12 @@ def assess_calls(cleaned: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFr
         F.max(F.col("warned") & ~F.col("invalid_sparse")).alias("warn_sparse"),
         F.max("hard_loop").alias("any_loop"),
     )
+    # the ends go before the markers do, so a chunk that is all marker still counts a blank
+    raw = _joined_size(chunks, "chars", "lead", "trail", "chars", "chars")
+    clean = _joined_size(chunks, "clean_size", "clean_lead", "clean_trail", "clean_chars", "clean_chars")
+    sums = sums.join(raw, "call_id", "left").join(clean, "call_id", "left").withColumns(
+        {n: F.coalesce(n, F.lit(0)) for n in ("chars", "clean_chars")}
+    )
     spans = longest_invalid_spans(chunks, ["invalid_sparse", "invalid_dense"], hot_rows)
     density = F.coalesce(F.col("chars") / F.when(F.col("duration") > 0, F.col("duration")), F.lit(0.0))
     dense = density > 22

@@ -123,10 +123,13 @@ def followup_history(
 
 
 def followup_module(
-    calls: DataFrame, contacts: DataFrame, days: int = 14, hot_rows: int = ordered.HOT_ROWS
+    calls: DataFrame, contacts: DataFrame, as_of: Column, days: int = 14, hot_rows: int = ordered.HOT_ROWS
 ) -> DataFrame:
     """The countable part of the follow-up module: how soon and how often.
 
+    Every call is kept. Its scores are null where no contact followed or no phone is
+    known; ``window_over`` says whether more contacts could still count at ``as_of``.
+
     The number of contacts in (t, t + days) is a difference of two running counts
     on the phone's time line, and the first of them is the next contact: linear in
     the rows, where a range join would form every pair.
@@ -162,13 +165,16 @@ def followup_module(
     )
     hours = (F.unix_micros("next_at") - F.unix_micros("asked_at")) / F.lit(3.6e9)
     n = F.col("followup_count")
-    return per_call.select(
+    counted_calls = per_call.select(
         "interaction_id", "followup_count",
         F.when(n > 0, F.bround(hours, 2)).alias("hours_to_first_followup"),
-        F.when(n == 0, 0).when(hours <= 24, 40).when(hours <= 48, 20).otherwise(0).alias("timing"),
-        F.when(n >= 2, 30).when(n == 1, 15).otherwise(0).alias("frequency"),
+        # without any later contact the module is not available, which is no score of zero
+        F.when(n > 0, F.when(hours <= 24, 40).when(hours <= 48, 20).otherwise(0)).alias("timing"),
+        F.when(n >= 2, 30).when(n == 1, 15).alias("frequency"),
         F.lit(None).cast("int").alias("message_quality"),
     )
+    ends = calls.select("interaction_id", F.coalesce(F.col("started_at") + width <= as_of, F.lit(False)).alias("window_over"))
+    return ends.join(counted_calls, "interaction_id", "left")
 
 
 def stage_moves(history: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:

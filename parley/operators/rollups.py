@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley import session
+
 CUSTOMER = "customer_id"
 
 
@@ -78,19 +80,37 @@ def unmerged(customers: DataFrame) -> DataFrame:
     return customers.where(F.col("is_merged_into").isNull())
 
 
-def canonical_customers(customers: DataFrame, hops: int = 3) -> DataFrame:
-    """Surviving id of every customer, following merge pointers a bounded number
-    of times; ``resolved`` is false where the chain is longer."""
-    pointers = customers.where(F.col("is_merged_into").isNotNull()).select(
-        F.col(CUSTOMER).alias("__from"), F.col("is_merged_into").alias("__to")
+def canonical_customers(customers: DataFrame) -> DataFrame:
+    """Surviving id of every customer, at the end of its chain of merge pointers.
+
+    Pointers are doubled until none moves, so a chain of any length takes a number of
+    rounds that is the logarithm of its length. ``resolved`` is false on a cycle, where
+    no end exists; its ``canonical_id`` is then one of the cycle's members.
+    """
+    pointers = session.persist(
+        customers.where(F.col("is_merged_into").isNotNull() & F.col(CUSTOMER).isNotNull())
+        .select(F.col(CUSTOMER).alias("__from"), F.col("is_merged_into").alias("__to")),
+        "pointers",
     )
-    out = customers.select(CUSTOMER, F.coalesce("is_merged_into", CUSTOMER).alias("canonical_id"))
-    for _ in range(hops - 1):
-        out = out.join(pointers, F.col("canonical_id") == F.col("__from"), "left").select(
-            CUSTOMER, F.coalesce("__to", "canonical_id").alias("canonical_id")
+    # a chain without a cycle has at most as many steps as there are pointers
+    rounds = pointers.count().bit_length()
+    reach = pointers
+    for _ in range(rounds):
+        ahead = reach.select(F.col("__from").alias("__mid"), F.col("__to").alias("__end"))
+        moved = session.persist(
+            reach.join(ahead, F.col("__to") == F.col("__mid"), "left")
+            .select("__from", F.coalesce("__end", "__to").alias("__to"), F.col("__end").isNotNull().alias("__moved")),
+            "pointers",
         )
-    return out.join(pointers, F.col("canonical_id") == F.col("__from"), "left").select(
-        CUSTOMER, "canonical_id", F.col("__from").isNull().alias("resolved")
+        reach = moved.select("__from", "__to")
+        if moved.where("__moved").isEmpty():
+            break
+    ends = pointers.select(F.col("__from").alias("__more"))
+    return (
+        customers.join(reach, F.col(CUSTOMER) == F.col("__from"), "left")
+        .select(CUSTOMER, F.coalesce("__to", CUSTOMER).alias("canonical_id"))
+        .join(ends, F.col("canonical_id") == F.col("__more"), "left")
+        .select(CUSTOMER, "canonical_id", F.col("__more").isNull().alias("resolved"))
     )
 
 

@@ -185,8 +185,8 @@ def merge_warnings(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
         ~F.col("gradeable") & ~F.col("rejected"),
         F.array(
             F.concat(
-                F.lit("only "), F.format_string("%.0f", F.bround(F.col("weight_applied") * 100, 0)),
-                F.lit(f"% of the rubric was exercised (minimum {rubric.min_weight * 100:.0f}%); not gradeable"),
+                F.lit("no grade: "), F.format_string("%.0f", F.bround(F.col("weight_applied") * 100, 0)),
+                F.lit(f" percent of the weights have a score, {rubric.min_weight * 100:.0f} are needed"),
             )
         ),
     ).otherwise(_none("STRING"))

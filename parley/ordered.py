@@ -31,19 +31,36 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     return counts.where(F.col("__n") >= floor).select(*keys)
 
 
+# the slot of rows without a time: nulls sort first, and last in descending order
+NO_TIME = -(2**62)
+
+
+def _joined(df: DataFrame, other: DataFrame, keys: list[str], exact: tuple[str, ...] = ()) -> DataFrame:
+    """Left join on ``keys``, where null equals null, and on the ``exact`` columns."""
+    names = [*keys, *exact]
+    other = other.withColumnsRenamed({n: f"__o_{n}" for n in names})
+    on = F.lit(True)
+    for n in keys:
+        on = on & F.col(n).eqNullSafe(F.col(f"__o_{n}"))
+    for n in exact:
+        on = on & (F.col(n) == F.col(f"__o_{n}"))
+    return df.join(other, on, "left").drop(*(f"__o_{n}" for n in names))
+
+
 def with_slots(
     df: DataFrame, keys: list[str], at: Column, width: float = 60, hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Add SLOT: null for ordinary keys, ``floor(at / width)`` for hot ones.
+    """Add SLOT: null for ordinary keys, ``floor(at / width)`` for hot ones, a slot
+    of its own for a null ``at``. A null key is a key like any other.
 
     ``at`` must not decrease along the ordering used later. ``hot`` gives the hot
     keys where they are known already, for instance from the rows ``df`` was
     reduced from, and saves counting again.
     """
     hot = (hot_keys(df, keys, hot_rows) if hot is None else hot).withColumn(HOT, F.lit(True))
-    slot = F.when(F.col(HOT), F.floor(at / F.lit(width)).cast("long"))
-    return df.join(F.broadcast(hot), keys, "left").withColumn(SLOT, slot)
+    slot = F.when(F.col(HOT), F.coalesce(F.floor(at / F.lit(width)).cast("long"), F.lit(NO_TIME)))
+    return _joined(df, F.broadcast(hot), keys).withColumn(SLOT, slot)
 
 
 def bare(df: DataFrame) -> DataFrame:
@@ -72,9 +89,9 @@ def nearest(
         .agg(pick(value, F.when(value.isNotNull(), F.struct(*order))).alias("__edge"))
         .select(*keys, SLOT, F.last("__edge", ignorenulls=True).over(across).alias("__carried"))
     )
+    near = df.withColumn("__near", F.last(value, ignorenulls=True).over(inside))
     return (
-        df.withColumn("__near", F.last(value, ignorenulls=True).over(inside))
-        .join(edges, [*keys, SLOT], "left")
+        _joined(near, edges, keys, (SLOT,))
         .withColumn(name, F.coalesce("__near", "__carried"))
         .drop("__near", "__carried")
     )
@@ -104,7 +121,7 @@ def running_sum(
     out = df.withColumn("__run", F.sum(amount).over(upto))
     if total:
         out = out.withColumn("__all", F.sum(amount).over(whole))
-    out = out.join(sums, [*keys, SLOT], "left").withColumn(
+    out = _joined(out, sums, keys, (SLOT,)).withColumn(
         name, F.col("__run") + F.coalesce("__before", F.lit(0))
     )
     if total:

@@ -174,7 +174,7 @@ _GATE = (
     "call AS (SELECT call_id, count(*) AS chunks_total, count(*) FILTER (WHERE failed) AS chunks_failed, "
     "count(*) FILTER (WHERE NOT failed AND raw_text = '') AS chunks_empty, round_even(sum(seconds), 2) AS duration, "
     "length(trim(coalesce(string_agg(raw_text, ' ' ORDER BY seq) FILTER (WHERE raw_text <> ''), ''), ' ')) AS chars, "
-    "length(replace(coalesce(string_agg(clean_text, ' ' ORDER BY seq) FILTER (WHERE clean_text <> ''), ''), '[[ASR_GAP]]', '')) AS clean_chars "
+    "length(replace(trim(coalesce(string_agg(clean_text, ' ' ORDER BY seq) FILTER (WHERE clean_text <> ''), ''), ' '), '[[ASR_GAP]]', '')) AS clean_chars "
     "FROM chunk GROUP BY call_id), "
     "dens AS (SELECT *, CASE WHEN duration > 0 THEN chars / CAST(duration AS DOUBLE) ELSE 0 END AS density FROM call), "
     "judged AS (SELECT k.*, d.duration, d.density, (failed OR hard OR (warn > 0 AND (ngram >= 0.45 OR density > 22))) AS invalid "
@@ -193,13 +193,15 @@ _GATED = _CHAINED + ", " + ", ".join((_FLAGS, _NGRAMS, _GATE))
 
 @query(
     "assess_calls",
-    _GATED + " SELECT call_id, chunks_total, chunks_failed, chunks_empty, chars, round_even(invalid_s, 2) AS invalid_seconds, "
+    _GATED + " SELECT call_id, chunks_total, chunks_failed, chunks_empty, CAST(duration AS DOUBLE) AS duration, chars, clean_chars, "
+    "round_even(density, 2) AS chars_per_audio_sec, round_even((chunks_total - chunks_failed) / CAST(chunks_total AS DOUBLE), 2) AS confidence, "
+    "round_even(invalid_s, 2) AS invalid_seconds, "
     "round_even(longest, 2) AS longest_invalid_span_seconds, tier1 AS tier1_chars_removed, status FROM gate",
 )
 def assess_calls(t):
     return hy.assess_calls(hy.clean_segments(t.segments, False)).select(
-        "call_id", "chunks_total", "chunks_failed", "chunks_empty", "chars", "invalid_seconds",
-        "longest_invalid_span_seconds", "tier1_chars_removed", "status",
+        "call_id", "chunks_total", "chunks_failed", "chunks_empty", "duration", "chars", "clean_chars",
+        "chars_per_audio_sec", "confidence", "invalid_seconds", "longest_invalid_span_seconds", "tier1_chars_removed", "status",
     )
 
 

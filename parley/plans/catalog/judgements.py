@@ -58,16 +58,16 @@ def stated_vs_derived(t):
 
 
 _NULLS = (
-    "SELECT interaction_id, 'nullability' AS \"check\", module || '.' || criterion || ' is null but is always assessable, score it 0-' || "
-    "CAST(cap AS STRING) AS violation FROM items WHERE state = 'null' AND NOT may_null"
+    "SELECT interaction_id, 'nullability' AS \"check\", module || '.' || criterion || ': a number up to ' || "
+    "CAST(cap AS STRING) || ' is required here, not null' AS violation FROM items WHERE state = 'null' AND NOT may_null"
 )
 _RANGES = (
-    "SELECT interaction_id, 'range' AS \"check\", module || '.' || criterion || ' = ' || raw || ', expected a number 0-' || CAST(cap AS STRING) || "
-    "' or null' AS violation FROM items WHERE state NOT IN ('missing', 'null') AND (state <> 'number' OR value NOT BETWEEN 0 AND cap)"
+    "SELECT interaction_id, 'range' AS \"check\", module || '.' || criterion || ': ' || raw || ' is neither null nor a number up to ' || "
+    "CAST(cap AS STRING) AS violation FROM items WHERE state NOT IN ('missing', 'null') AND (state <> 'number' OR value NOT BETWEEN 0 AND cap)"
 )
 _STAGES = (
-    "SELECT j.interaction_id, 'stage' AS \"check\", 'stage_reached=' || (j.payload->>'$.stage_reached') || ' claims an offer was presented, but "
-    "module2_offer.offer_completeness is null' AS violation FROM judgements j JOIN items i USING (interaction_id) "
+    "SELECT j.interaction_id, 'stage' AS \"check\", 'an offer stage (' || (j.payload->>'$.stage_reached') || ') needs a value "
+    "for offer_completeness in the offer module' AS violation FROM judgements j JOIN items i USING (interaction_id) "
     "WHERE i.criterion = 'offer_completeness' AND i.state = 'null' AND j.payload->>'$.stage_reached' IN "
     "('offer_presented', 'negotiation', 'closing_attempted', 'deal_closed')"
 )
@@ -117,7 +117,7 @@ def evidence_problems(t):
 
 _UNCITED = (
     "kept AS (UNPIVOT (SELECT interaction_id, " + ", ".join(_M) + " FROM scored) ON " + ", ".join(_M) + " INTO NAME module VALUE score), "
-    "uncited AS (SELECT k.interaction_id, k.module, k.module || ' scored ' || printf('%.1f', k.score) || ' but cites no evidence' AS warning "
+    "uncited AS (SELECT k.interaction_id, k.module, k.module || ': no quote explains ' || printf('%.1f', k.score) AS warning "
     "FROM kept k JOIN judgements j USING (interaction_id) WHERE k.score < 100 AND NOT contains(payload->>'$.evidence', '\"' || k.module || '\"'))"
 )
 

@@ -9,7 +9,7 @@ from parley.functions import text as T
 from parley.operators import calls as ca
 from parley.operators import identity as idn
 from parley.operators import promises as pr
-from parley.plans.catalog.base import FOLLOW_UPS_SQL, cte, query
+from parley.plans.catalog.base import AS_OF_TEXT, FOLLOW_UPS_SQL, cte, query
 
 _MADE = (
     "made AS (SELECT a.interaction_id AS promised_in, i.customer_id, i.agent_id, p->>'$.promise' AS promise_text, "
@@ -90,17 +90,18 @@ def followup_history(t):
 
 @query(
     "followup_module",
-    cte("interactions") + ", p AS (SELECT c.interaction_id, count(i.interaction_id) AS followup_count, "
+    cte("interactions") + ", p AS (SELECT c.interaction_id, c.started_at, c.customer_phone_e164 AS phone, count(i.interaction_id) AS n, "
     "round_even(min(epoch_us(i.started_at) - epoch_us(c.started_at)) / 3.6e9::DOUBLE, 2) AS hours_to_first_followup, "
     "min(i.started_at - c.started_at) AS first FROM interactions c LEFT JOIN interactions i "
     "ON i.customer_phone_e164 = c.customer_phone_e164 AND i.started_at > c.started_at AND i.started_at < c.started_at + INTERVAL 14 DAY "
-    "WHERE c.channel = 'phone_call' AND c.customer_phone_e164 IS NOT NULL GROUP BY c.interaction_id) "
-    "SELECT interaction_id, followup_count, hours_to_first_followup, CASE WHEN first <= INTERVAL 24 HOUR THEN 40 "
-    "WHEN first <= INTERVAL 48 HOUR THEN 20 ELSE 0 END AS timing, CASE WHEN followup_count >= 2 THEN 30 WHEN followup_count = 1 THEN 15 "
-    "ELSE 0 END AS frequency, CAST(NULL AS INT) AS message_quality FROM p",
+    "WHERE c.channel = 'phone_call' GROUP BY ALL) "
+    f"SELECT interaction_id, coalesce(started_at + INTERVAL 14 DAY <= TIMESTAMP '{AS_OF_TEXT}', false) AS window_over, "
+    "CASE WHEN phone IS NOT NULL THEN n END AS followup_count, hours_to_first_followup, CASE WHEN n > 0 THEN CASE WHEN first <= INTERVAL 24 HOUR THEN 40 "
+    "WHEN first <= INTERVAL 48 HOUR THEN 20 ELSE 0 END END AS timing, CASE WHEN n >= 2 THEN 30 WHEN n = 1 THEN 15 "
+    "END AS frequency, CAST(NULL AS INT) AS message_quality FROM p",
 )
 def followup_module(t):
-    return pr.followup_module(t.interactions.where("channel = 'phone_call'"), t.interactions)
+    return pr.followup_module(t.interactions.where("channel = 'phone_call'"), t.interactions, t.as_of)
 
 
 @query(
@@ -156,9 +157,10 @@ def seed_jobs(t):
 
 @query(
     "job_state_fold",
-    cte("job_events") + ", l AS (SELECT uniqueid, arg_max(step, event_id) AS step, count(*) FILTER (WHERE step IN ('asr_failed', 'judge_failed')) AS retries, "
+    cte("job_events") + ", l AS (SELECT uniqueid, arg_max(step, event_id) FILTER (WHERE step <> 'discovered') AS step, bool_or(step = 'evaluated') AS done, "
+    "count(*) FILTER (WHERE step IN ('asr_failed', 'judge_failed')) AS retries, "
     "arg_max(error, event_id) FILTER (WHERE error IS NOT NULL) AS last_error, max(logged_at) AS updated_at FROM job_events GROUP BY uniqueid) "
-    "SELECT uniqueid, CASE WHEN step IN ('asr_failed', 'judge_failed') AND retries >= 5 THEN 'dead_letter' ELSE step END AS status, "
+    "SELECT uniqueid, CASE WHEN done THEN 'evaluated' WHEN retries >= 5 THEN 'dead_letter' ELSE coalesce(step, 'discovered') END AS status, "
     "retries, last_error, updated_at FROM l",
 )
 def job_state_fold(t):
@@ -193,8 +195,8 @@ def dedup_model_calls(t):
     "WHEN k % 10 = 2 THEN 'm' || CAST(k AS STRING) WHEN d.deal_id IS NOT NULL THEN CAST(d.deal_id AS STRING) "
     "WHEN p.n = 1 THEN CAST(p.deal_id AS STRING) END AS deal_id, CASE WHEN k % 10 = 0 THEN 'deal_id on the messages response' "
     "WHEN k % 10 = 1 THEN 'crm_entity_id on the conversation response' WHEN k % 10 = 2 THEN 'deal_id on the message rows' "
-    "WHEN d.deal_id IS NOT NULL THEN 'deals joined on conversation_id' WHEN p.n = 1 THEN 'deals joined on phone (weak)' "
-    "WHEN p.n > 1 THEN 'phone match was ambiguous (' || CAST(p.n AS STRING) || ' deals)' ELSE 'unmatched' END AS route "
+    "WHEN d.deal_id IS NOT NULL THEN 'by conversation' WHEN p.n = 1 THEN 'by phone' "
+    "WHEN p.n > 1 THEN 'several by phone: ' || CAST(p.n AS STRING) ELSE 'none' END AS route "
     "FROM c LEFT JOIN d ON d.conversation_id = c.conversation_id LEFT JOIN p ON p.phone = c.phone",
 )
 def resolve_deal(t):

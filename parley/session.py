@@ -56,15 +56,17 @@ def local_session(app: str = "parley", cores: str = "*", partitions: int = 8) ->
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the session names none, which is
-    the case in tests on one machine.
+    Where the session names none, a session on one machine uses its temporary folder;
+    on a cluster that is an error, since executors could not read each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
-        base = tempfile.mkdtemp(prefix="parley-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "parley-work")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def persist(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,10 @@ from parley.operators import promises as pr
 def line(spark):
     rnd = random.Random(7)
     rows = [
-        ("hot" if rnd.random() < 0.4 else f"k{rnd.randint(0, 30)}", rnd.randint(0, 5000), i, rnd.choice([None, i]))
+        (
+            rnd.choice(["hot", "hot", None, f"k{rnd.randint(0, 30)}", f"k{rnd.randint(0, 30)}"]),
+            rnd.choice([None, *[rnd.randint(0, 5000)] * 5]), i, rnd.choice([None, i]),
+        )
         for i in range(1500)
     ]
     return spark.createDataFrame(rows, "k string, at long, id long, v long")
@@ -36,13 +39,14 @@ def test_primitives_equal_plain_windows(line, hot_rows):
         .withColumn("rank2", F.row_number().over(w))
         .withColumn("n2", F.count("*").over(Window.partitionBy("k")))
     )
+    assert ordered.bare(df).columns == [*line.columns, "back", "ahead", "rank", "n", "back2", "ahead2", "rank2", "n2"]
     wrong = df.where("NOT (back <=> back2) OR NOT (ahead <=> ahead2) OR rank <> rank2 OR n <> n2")
     assert df.count() == 1500 and wrong.count() == 0
 
 
 def test_few_keys_count_as_hot(line):
     hot = [r.k for r in ordered.hot_keys(line, ["k"], 200).collect()]
-    assert hot == ["hot"]
+    assert set(hot) == {None, "hot"}
 
 
 def _loop_gaps(rows):
@@ -108,5 +112,32 @@ def test_promises_and_followups(spark, hot_rows):
     got = {r.follow_up_id: (r.status, r.fulfilled_in) for r in pr.close_promises(promises, contacts, ts(100), hot_rows=hot_rows).collect()}
     # a contact at the time of the promise does not count
     assert got == {1: ("fulfilled", "i2"), 2: ("missed", None), 3: ("late", "i4"), 4: ("fulfilled", "i4")}
-    module = {r.interaction_id: (r.followup_count, r.timing, r.frequency) for r in pr.followup_module(contacts, contacts, hot_rows=hot_rows).collect()}
-    assert module == {"i1": (2, 40, 30), "i3": (1, 40, 15), "i2": (0, 0, 0), "i4": (0, 0, 0)}
+    module = {r.interaction_id: (r.followup_count, r.timing, r.frequency) for r in pr.followup_module(contacts, contacts, ts(400), hot_rows=hot_rows).collect()}
+    assert module == {"i1": (2, 40, 30), "i3": (1, 40, 15), "i2": (0, None, None), "i4": (0, None, None)}
+
+
+def test_merge_chains_of_any_length(spark):
+    from parley.operators import rollups as ro
+
+    rows = [(i, i - 1 if i else None) for i in range(12)] + [(20, 21), (21, 20), (30, None)]
+    df = spark.createDataFrame(rows, "customer_id long, is_merged_into long")
+    got = {r.customer_id: (r.canonical_id, r.resolved) for r in ro.canonical_customers(df).collect()}
+    assert all(got[i] == (0, True) for i in range(12)) and got[30] == (30, True)
+    assert {got[20][1], got[21][1]} == {False} and {got[20][0], got[21][0]} <= {20, 21}
+
+
+def test_listing_a_call_again_changes_nothing(spark):
+    from parley.operators import calls as ca
+
+    steps = {
+        "a": ["discovered", "transcribed", "evaluated", "discovered"],
+        "b": ["discovered", "asr_failed"] + ["judge_failed"] * 4 + ["discovered"],
+        "c": ["discovered", "gate_red", "discovered"],
+        "d": ["discovered"],
+        "e": ["discovered", "asr_failed", "discovered"],
+    }
+    rows = [(k, i, 100 * i, s) for k, l in steps.items() for i, s in enumerate(l)]
+    df = spark.createDataFrame(rows, "uniqueid string, event_id long, s long, step string")
+    df = df.withColumn("logged_at", F.timestamp_seconds("s")).withColumn("error", F.lit(None).cast("string"))
+    got = {r.uniqueid: r.status for r in ca.job_state_fold(df).collect()}
+    assert got == {"a": "evaluated", "b": "dead_letter", "c": "dead_letter", "d": "discovered", "e": "asr_failed"}
