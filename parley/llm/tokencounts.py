@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import spans
 
+TEXT = "__text"  # the text on its way to be counted
 KEYS = ["source", "lang", "tokenizer_version"]
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
@@ -35,20 +36,20 @@ def _count(path: str):
         encoder.no_truncation()
         encoder.no_padding()
         for whole in batches:
-            at = whole.schema.get_field_index("text")
-            for part in spans.blocks(whole, limit=1 << 20):
-                found = encoder.encode_batch_fast([x or "" for x in part.column("text").to_pylist()], add_special_tokens=False)
+            at = whole.schema.get_field_index(TEXT)
+            for part in spans.blocks(whole, TEXT, 1 << 20):
+                found = encoder.encode_batch_fast([x or "" for x in part.column(TEXT).to_pylist()], add_special_tokens=False)
                 n = pa.array([len(x) for x in found], pa.int64())
                 columns = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*columns, n], [*(x for x in part.schema.names if x != "text"), "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*columns, n], [*(x for x in part.schema.names if x != TEXT), "n_tokens"])
 
     return run
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its text replaced by ``n_tokens``, as the tokenizers library counts with the file at ``path``."""
-    docs = docs.withColumnRenamed(text_col, "text").drop("n_tokens")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    docs = docs.drop("n_tokens").withColumnRenamed(text_col, TEXT)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != TEXT)
     return docs.mapInArrow(_count(path), f"{schema}, n_tokens long")
 
 
