@@ -61,11 +61,10 @@ def _prints(lengths: tuple[int, ...]):
                 block = spans.Block(part.column("text"), lower=True)
                 block.words(spans.NOT_ALNUM)
                 h, row = block.hashes(), block.row_of_word()
-                key, name = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
                 for length in lengths:
                     at, value = fingerprints(block, h, length)
-                    r = row[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(name[r]), pa.array(np.full(len(at), length, np.int32)), pa.array((at - block.bounds[r]).astype(np.int32)), pa.array(value.view(np.int64))], ["key", "id", "length", "pos", "print"])
+                    r = pa.array(row[at])
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(r), part.column("id").take(r), pa.array(np.full(len(at), length, np.int32)), pa.array((at - block.bounds[row[at]]).astype(np.int32)), pa.array(value.view(np.int64))], ["key", "id", "length", "pos", "print"])
 
     return run
 

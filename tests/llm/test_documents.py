@@ -240,7 +240,11 @@ def test_label_model_finds_good_voters(spark):
     votes = (fire.astype(np.int64) << np.arange(n)).sum(axis=1)
     df = spark.createDataFrame(list(Counter(votes.tolist()).items()), "votes long, count long")
     p = weak.label_model(df).posterior(votes)
-    assert ((p > 0.5) == y).mean() > 0.99
+    # a voter that is silent abstains, so a lone mistaken vote may still win
+    assert ((p > 0.5) == y).mean() > 0.95
+    order = np.argsort(np.argsort(p))
+    n1 = int(y.sum())
+    assert (order[y].sum() - n1 * (n1 - 1) / 2) / (n1 * (len(y) - n1)) > 0.99
 
 
 def test_segmentations_are_summed():
