@@ -145,7 +145,52 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
-@query()
+def _strength(level: str, name: str) -> str:
+    """SQL of the share and the prior's strength over the rows of a level."""
+    return (
+        f"{name} AS (SELECT mu, least(greatest(CASE WHEN between_ > 0 THEN within_ / between_ - 1 ELSE 1000 END, 2), 1000) AS m FROM ("
+        "SELECT mu, within_, CASE WHEN t - nn / t > 0 THEN (kk - t * mu * mu - (c - 1) * within_) / (t - nn / t) ELSE 0 END AS between_ FROM ("
+        "SELECT k / t AS mu, k / t * (1 - k / t) AS within_, t, c, kk, nn FROM (SELECT CAST(sum(bad) AS DOUBLE) AS k, CAST(sum(n) AS DOUBLE) AS t, "
+        f"count(*) AS c, sum(bad * bad / CAST(n AS DOUBLE)) AS kk, CAST(sum(n * n) AS DOUBLE) AS nn FROM {level} WHERE n > 0))))"
+    )
+
+
+URL_SQL = (
+    r"""
+WITH lab AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+p AS (SELECT page_id,
+  translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+  try_cast(nullif(regexp_extract(url, '://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:\.html|/)?(?:[?#].*)?$', 1), '') AS BIGINT) AS doc_id FROM pages),
+outcome AS (SELECT page_id, max(bad) AS bad FROM p JOIN lab USING (doc_id) GROUP BY page_id),
+cut AS (SELECT host, string_split(host, '.') AS s, count(CASE WHEN host <> '' THEN bad END) AS n, coalesce(sum(CASE WHEN host <> '' THEN bad END), 0) AS bad
+  FROM p LEFT JOIN outcome USING (page_id) GROUP BY host),
+named AS (SELECT host, n, bad, CASE WHEN len(s) < 2 THEN host
+  WHEN len(s) >= 3 AND length(s[-1]) = 2 AND s[-2] IN ('co', 'com', 'net', 'org', 'ac', 'gov', 'edu') THEN array_to_string(s[-3:], '.')
+  ELSE array_to_string(s[-2:], '.') END AS domain FROM cut),
+hosts AS (SELECT *, regexp_replace(domain, '^[^.]*\.?', '') AS suffix FROM named),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+"""
+    + ", ".join(_strength(f"{x}s" if x != "suffix" else "suffixes", f"m_{x}") for x in ("suffix", "domain", "host"))
+    + """,
+s AS (SELECT suffix, (bad + m * mu) / (n + m) AS prior FROM suffixes, m_suffix),
+d AS (SELECT domain, (bad + m * prior) / (n + m) AS prior FROM domains JOIN s USING (suffix), m_domain),
+h AS (SELECT host, bad + m * prior AS a, n - bad + m * (1 - prior) AS b FROM hosts JOIN d USING (domain), m_host),
+r AS (SELECT host, a / (a + b) AS share, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM h),
+ruled AS (SELECT page_id, host, path, CASE
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, share, low
+FROM ruled LEFT JOIN r USING (host)
+"""
+)
+
+
+@query(URL_SQL)
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     # a page's address ends in the number of its document, whose labels are the page's outcome
