@@ -107,7 +107,7 @@ def is_odd(x: Column) -> Column:
 
 
 def compatible(x: Column) -> Column:
-    """NFKC form. Only text that holds some other character visits Python."""
+    """NFKC form. Rows without an odd character cross to Python as a null, which costs little but not nothing."""
     return F.coalesce(nfkc(F.when(is_odd(x), x)), x)
 
 

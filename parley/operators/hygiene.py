@@ -16,6 +16,11 @@ from parley.functions.text import GAP
 
 POLICY = "asr-q1"
 
+# The gate's limits. Seconds, characters, characters a second, shares.
+RED_CHARS, RED_SHARE, RED_SPAN = 20, 0.20, 60
+REMOVED_CHARS, REMOVED_SHARE = 40, 0.25
+THIN_SECONDS, THIN_DENSITY, DENSE, LOOPED_SHARE = 30, 3, 22, 0.45
+
 # The contamination families that are removed, then those that are
 # only flagged, as regular expressions; and the words and limits beside them.
 PATTERNS = (
@@ -450,7 +455,7 @@ def chunk_measures(cleaned: DataFrame) -> DataFrame:
 
     measures = cleaned.select(
         "call_id", "seq", "seconds", "failed", "hard_loop",
-        (sure | ((F.col("warn_run") > 0) & (F.col("ngram_fraction") >= 0.45))).alias("invalid_sparse"),
+        (sure | ((F.col("warn_run") > 0) & (F.col("ngram_fraction") >= LOOPED_SHARE))).alias("invalid_sparse"),
         (sure | (F.col("warn_run") > 0)).alias("invalid_dense"),
         (F.col("warn_run") > 0).alias("warned"),
         F.length("raw_text").alias("chars"),
@@ -509,7 +514,7 @@ def assess_calls(cleaned: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFr
     )
     spans = longest_invalid_spans(chunks, ["invalid_sparse", "invalid_dense"], hot_rows)
     density = F.coalesce(F.col("chars") / F.when(F.col("duration") > 0, F.col("duration")), F.lit(0.0))
-    dense = density > 22
+    dense = density > DENSE
     zero = F.lit(0.0)
 
     def chosen(a: str, b: str) -> Column:
@@ -525,17 +530,17 @@ def assess_calls(cleaned: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFr
         density.alias("density"),
     )
     red = (
-        (F.col("clean_chars") < 20)
-        | ((F.col("duration") > 0) & (F.col("invalid") > F.col("duration") * 0.20))
-        | (F.col("longest") >= 60)
+        (F.col("clean_chars") < RED_CHARS)
+        | ((F.col("duration") > 0) & (F.col("invalid") > F.col("duration") * RED_SHARE))
+        | (F.col("longest") >= RED_SPAN)
         | (
-            (F.col("tier1_chars_removed") >= 40) & (F.col("chars") > 0)
-            & (F.col("tier1_chars_removed") >= F.col("chars") * 0.25)
+            (F.col("tier1_chars_removed") >= REMOVED_CHARS) & (F.col("chars") > 0)
+            & (F.col("tier1_chars_removed") >= F.col("chars") * REMOVED_SHARE)
         )
     )
     amber = (
         (F.col("invalid") > 0) | F.col("warn_only") | F.col("any_removal") | F.col("any_flag")
-        | ((F.col("duration") >= 30) & (F.col("density") < 3)) | (F.col("chunks_empty") > 0)
+        | ((F.col("duration") >= THIN_SECONDS) & (F.col("density") < THIN_DENSITY)) | (F.col("chunks_empty") > 0)
         | (F.col("dense") & ~F.col("any_loop"))
     )
     return calls.select(

@@ -218,7 +218,7 @@ def refusals(transcripts: DataFrame) -> DataFrame:
 
 def as_written_comparison(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
     """The older rule beside the present one: what did not arise gets full marks in
-    the objection and follow-up modules, and an offer criterion scores zero."""
+    the objection and follow-up modules; the other modules are as they are."""
     def older(m: str) -> Column:
         mine = S.module_score(F.col("items"), m, m in ("module3_objections", "module4_followup"), rubric)
         return mine

@@ -19,9 +19,16 @@ def list_recordings(spark: SparkSession, path: str, modified_after: str | None =
     )
 
 
-def scan_since(listing: DataFrame, since: Column, limit: int = 500) -> DataFrame:
-    """Rows modified after an instant, oldest first, at most ``limit``: a top-k."""
-    return listing.where(F.col("modified_at") > since).orderBy("modified_at", "file_id").limit(limit)
+def scan_since(listing: DataFrame, since: Column, limit: int | None = None, after: Column | None = None) -> DataFrame:
+    """Rows modified after an instant, oldest first; with ``limit``, the first so many of them.
+
+    Times tie, so a page goes on from the last row's (modified_at, file_id): pass its
+    time as ``since`` and its id as ``after``.
+    """
+    at = F.col("modified_at")
+    newer = at > since if after is None else (at > since) | ((at == since) & (F.col("file_id") > after))
+    rows = listing.where(newer).orderBy("modified_at", "file_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def load_scored_transcript(df: DataFrame) -> DataFrame:
