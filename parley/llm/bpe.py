@@ -106,7 +106,7 @@ class Words:
 
 
 @functools.lru_cache(1)
-def _tokenizer(path: str):
+def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -122,7 +122,7 @@ def char_classes(path: str) -> bytes:
     A point that joins a punctuation mark before it is neither letter nor number, one
     that joins a letter is a letter, one that joins a digit a number; the rest are blanks.
     """
-    split = _tokenizer(path).pre_tokenizer
+    split = tokenizer(path).pre_tokenizer
     table = np.full(0x110000, BLANK, np.uint8)
     rest = np.array([c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and c != 10], np.uint32)
     for probe, kind in (("!", 0), ("a", LETTER), ("1", NUMBER)):
@@ -211,7 +211,7 @@ def _only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode(path: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Of one shard: every distinct word encoded once; for each batch the ids of its words."""
-        encode = _tokenizer(path).encode_batch_fast
+        encode = tokenizer(path).encode_batch_fast
         number: dict[bytes, int] = {}
         refs = []
         for x in table.column("body"):
@@ -267,7 +267,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    specials = {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
+    specials = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
     shared = spark.sparkContext.broadcast((char_classes(path), specials))
     back = spark.sparkContext.broadcast(pieces(path)) if decoded else None
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

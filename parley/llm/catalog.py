@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.bpe import encode
+from parley.llm.graph import small
 from parley.llm.jaccard import similar_components
 from parley.llm.langid import learn
 from parley.llm.linear import MAX_ROWS, fit, remainder, sample, style_features
@@ -212,7 +213,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(1, inserts(counted))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     rollup.commit(2, deletes(counted.join(toxic, "doc_id", "left_semi")))
-    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    poor = small(persist(labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti"), "poor"))
     # each line once, in order
     lines = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
     again = count_tokens(lines, path).select("doc_id", "n_tokens")

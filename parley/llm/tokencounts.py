@@ -17,40 +17,63 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import spans
+from parley.llm.bpe import Words, char_classes, tokenizer
 
 TEXT = "__text"  # the text on its way to be counted
+#: words whose size a worker remembers
+KEPT = 500_000
 KEYS = ["source", "lang", "tokenizer_version"]
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
-def _count(path: str):
+def _count(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(path)
-        encoder.no_truncation()
-        encoder.no_padding()
+        words, encode = Words(*shared.value), tokenizer(path).encode_batch_fast
+        known, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for whole in batches:
             at = whole.schema.get_field_index(TEXT)
-            for part in spans.blocks(whole, TEXT, 1 << 20):
-                found = encoder.encode_batch_fast([x or "" for x in part.column(TEXT).to_pylist()], add_special_tokens=False)
-                n = pa.array([len(x) for x in found], pa.int64())
+            for part in spans.blocks(whole, TEXT):
+                block = spans.Block(part.column(TEXT))
+                start, end, bounds = words.split(block)
+                values, first, back = np.unique(spans.hash_spans(block.data, start, end), return_index=True, return_inverse=True)
+                place = spans.member(values, known)
+                new = np.flatnonzero(place < 0)
+                found = np.zeros(len(new), np.int64)
+                for low in range(0, len(new), 5000):
+                    some = first[new[low : low + 5000]]
+                    found[low : low + 5000] = [len(e.ids) for e in encode([block.data[start[i] : end[i]].tobytes().decode() for i in some], add_special_tokens=False)]
+                size = np.empty(len(values), np.int64)
+                size[place >= 0], size[new] = sizes[place[place >= 0]], found
+                if len(known) + len(new) > KEPT:
+                    known, sizes = values, size
+                else:
+                    order = np.argsort(np.concatenate((known, values[new])))
+                    known, sizes = np.concatenate((known, values[new]))[order], np.concatenate((sizes, found))[order]
+                n = np.diff(np.concatenate(([0], np.cumsum(size[back])))[bounds])
                 columns = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*columns, n], [*(x for x in part.schema.names if x != TEXT), "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*(x for x in part.schema.names if x != TEXT), "n_tokens"])
+                spans.give_back()
 
     return run
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with its text replaced by ``n_tokens``, as the tokenizers library counts with the file at ``path``."""
+    """``docs`` with its text replaced by ``n_tokens``, as the tokenizers library counts with the file at ``path``.
+
+    Texts are split into words, and a worker encodes each distinct word of its texts once
+    while it remembers it.
+    """
     docs = docs.drop("n_tokens").withColumnRenamed(text_col, TEXT)
+    specials = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
+    shared = docs.sparkSession.sparkContext.broadcast((char_classes(path), specials))  # one byte a code point
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != TEXT)
-    return docs.mapInArrow(_count(path), f"{schema}, n_tokens long")
+    return docs.mapInArrow(_count(path, shared), f"{schema}, n_tokens long")
 
 
 def inserts(rows: DataFrame) -> DataFrame:
