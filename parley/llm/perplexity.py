@@ -11,6 +11,10 @@ language and n-gram) with the interpolated log probability and the log weight le
 lower orders. Scoring finds the longest known n-gram at each place, file by file, so a
 task holds a few files at a time and not the model.
 
+Held-out scores: texts are halved by their hash, copies together, each half has a model of
+its own per language, and a text is scored by the model of the other half, so that it does
+not vouch for itself. All rows are counted and all are scored.
+
 Perplexity bands: per language, quartiles of the log perplexity of the documents that
 pass the base rules, widened by ``reach`` times their distance on either side.
 
@@ -270,7 +274,7 @@ def _score(where: str):
                 codes, edges = _codes(block)
                 at, bounds = _places(edges)
                 gram = _grams(codes)[at] if len(at) else np.zeros(0, U)
-                langs = part.column("lang").dictionary_encode()
+                langs = part.column("judge").dictionary_encode()
                 which = np.repeat(langs.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.diff(bounds))
                 logs = np.zeros(len(gram))
                 for lang in np.unique(which):
@@ -285,12 +289,20 @@ def _score(where: str):
     return run
 
 
-def quality(docs: DataFrame, reach: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Each row's base features, ``log_perplexity``, ``low`` and ``high`` of its language, ``base_failed`` and ``kept``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    where = train(docs.select("lang", "text"))
+def quality(docs: DataFrame, reach: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: bool = False) -> DataFrame:
+    """Each row's base features, ``log_perplexity``, ``low`` and ``high`` of its language, ``base_failed`` and ``kept``.
+
+    ``held_out`` scores each text by the model of the other half of the texts, else by that of all, itself included.
+    """
+    text_hash = F.xxhash64(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), text_hash.alias("text_hash"))
+    half = F.pmod("text_hash", F.lit(2))
+    # a null language has a name of its own in each half
+    model = lambda side: F.concat(side.cast("string"), F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n"))) if held_out else F.col("lang")
+    where = train(docs.select(model(half).alias("lang"), "text"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    scored = persist(docs.mapInArrow(_score(where), FEATURES_SQL).withColumn("base_failed", failed), "scored")
+    scored = docs.withColumn("judge", model(1 - half)).mapInArrow(_score(where), FEATURES_SQL)
+    scored = persist(scored.withColumn("base_failed", failed), "scored")
     quarter = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     bands = scored.where("not base_failed").groupBy("lang").agg(quarter.alias("q"))
     width = (F.col("q")[1] - F.col("q")[0]) * reach
