@@ -15,8 +15,9 @@ Held-out scores: texts are halved by their hash, copies together, each half has
 its own per language, and a text is scored by the model of the other half, so that it does
 not vouch for itself. All rows are counted and all are scored.
 
-Perplexity bands: per language, quartiles of the log perplexity of the documents that
-pass the base rules, widened by ``reach`` times their distance on either side.
+Perplexity bands: per language, quartiles of the log perplexity of the distinct texts that
+pass the base rules, widened by ``reach`` times their distance, ``LEAST_WIDTH`` at least,
+on either side.
 
 Defined cases: null text is empty and fails the base rules; a null language is one
 language of its own; perplexity of a text without characters is null and such a text is
@@ -45,13 +46,15 @@ START = 1
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 #: model entries of one file, files that a worker keeps, n-grams that a task keeps while counting, bytes of a block
 FILE_ROWS, FILES, HELD, BLOCK = 500_000, 8, 2_000_000, 2 << 20
+#: distance of the quartiles, in log perplexity, that a band is widened by at least
+LEAST_WIDTH = 0.01
 U = np.uint64
 FEATURES = pa.schema(
-    [("doc_id", pa.int64()), ("lang", pa.string())]
+    [("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.int64())]
     + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")]
     + [("log_perplexity", pa.float64())]
 )
-FEATURES_SQL = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_perplexity double"
+FEATURES_SQL = "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_perplexity double"
 
 
 def _codes(block: spans.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +287,7 @@ def _score(where: str):
                 total = np.diff(np.concatenate(([0.0], np.cumsum(logs)))[bounds])
                 chars = np.diff(bounds)
                 log_perplexity = pa.array(-total / np.maximum(chars, 1), mask=chars == 0)
-                yield spans.batch(FEATURES, [part.column("doc_id"), part.column("lang"), *features, chars, log_perplexity])
+                yield spans.batch(FEATURES, [part.column("doc_id"), part.column("lang"), part.column("text_hash"), *features, chars, log_perplexity])
 
     return run
 
@@ -304,9 +307,11 @@ def quality(docs: DataFrame, reach: float = 3.0, id_col: str = "doc_id", text_co
     scored = docs.withColumn("judge", model(1 - half)).mapInArrow(_score(where), FEATURES_SQL)
     scored = persist(scored.withColumn("base_failed", failed), "scored")
     quarter = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = scored.where("not base_failed").groupBy("lang").agg(quarter.alias("q"))
-    width = (F.col("q")[1] - F.col("q")[0]) * reach
+    # copies vote once, else a large group of them would be the band
+    texts = scored.where("not base_failed").groupBy("lang", "text_hash").agg(F.min("log_perplexity").alias("log_perplexity"))
+    bands = texts.groupBy("lang").agg(quarter.alias("q"))
+    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_WIDTH)) * reach
     bands = persist(bands.select(F.col("lang").alias("l"), (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high")), "bands")
-    out = scored.join(small(bands), scored["lang"].eqNullSafe(bands["l"]), "left").drop("l")
+    out = scored.join(small(bands), scored["lang"].eqNullSafe(bands["l"]), "left").drop("l", "text_hash")
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return out.withColumn("kept", kept)

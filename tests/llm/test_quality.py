@@ -36,3 +36,22 @@ def test_equal_texts_get_equal_held_out_scores(spark):
     rows += [(100 + i, rows[i][1], "en") for i in range(20)]
     got = {r.doc_id: r.log_perplexity for r in perplexity.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out=True).collect()}
     assert all(got[i] == pytest.approx(got[100 + i]) for i in range(20))
+
+
+def test_copies_do_not_narrow_the_band(spark):
+    rnd = random.Random(7)
+    rows = [(i, sentence(rnd, 120), "en") for i in range(60)]
+    copy = sentence(rnd, 120)
+    rows += [(1000 + i, copy, "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for held_out in (False, True):
+        got = perplexity.quality(docs, held_out=held_out).collect()
+        assert len(got) == len(rows)
+        assert all(r.high > r.low for r in got)
+        assert sum(r.kept for r in got if r.doc_id < 1000) > 50
+
+
+def test_a_single_text_has_a_band(spark):
+    text = sentence(random.Random(8), 40)
+    r = perplexity.quality(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).head()
+    assert r.kept and r.high > r.low
