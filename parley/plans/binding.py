@@ -102,6 +102,12 @@ MESSAGES = {
     "sent_at": "ts",
 }
 
+# The thread of messages that each chat contact was held in; calls have none.
+CHAT_THREADS = {
+    "interaction_id": _LINE_ID,
+    "thread_id": _STR("l_suppkey") + " || '-' || " + _STR("l_linenumber % 5"),
+}
+
 # Raw recording listing: names in the exchange's form, with copies, an alien name
 # and a drifting clock mixed in.
 RECORDINGS = {
@@ -352,6 +358,7 @@ SIMPLE = {
     "vouchers": ("part", VOUCHERS, None),
     "promises": ("orders", PROMISES, None),
     "messages": ("events", MESSAGES, None),
+    "chat_threads": ("lineitem", CHAT_THREADS, "l_linenumber % 3 <> 0"),
     "judgements": ("lineitem", JUDGEMENTS, None),
     "criteria": ("lineitem", {"interaction_id": _LINE_ID, **CRITERIA}, None),
     "analyses": ("lineitem", ANALYSES, None),

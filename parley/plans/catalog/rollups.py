@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley import rubric
+from parley.operators import conversations as co
 from parley.operators import identity as idn
 from parley.operators import promises as pr
 from parley.operators import rollups as ro
 from parley.plans.catalog.base import (
-    AGENTS_SQL, ANALYSED_SQL, AS_OF_TEXT, FOLLOW_UPS_SQL, cte, query,
+    AGENTS_SQL, ANALYSED_SQL, AS_OF_TEXT, FOLLOW_UPS_SQL, ORACLES, cte, query,
 )
 from parley.plans.catalog.judgement_sql import EVALUATIONS_SQL, SHORT
+from parley.plans.catalog.threads import _GAPS, _METRICS
 
 _CHILDREN = {
     "customer_interactions": (
@@ -150,6 +152,24 @@ def agent_scorecard(t):
     return ro.agent_scorecard(t.evaluations, t.contacts, t.agents)
 
 
+# the check of the scorecard with its empty column filled
+@query(
+    "agent_scorecard_responses",
+    ORACLES["agent_scorecard"]
+    .replace("WITH ", cte("messages", "chat_threads") + ", " + _GAPS + ", " + _METRICS + ", ", 1)
+    .replace("CAST(NULL AS DOUBLE) AS avg_first_response_sec", _avg("f.first_response_seconds", "avg_first_response_sec", 0))
+    .replace(
+        "WHERE NOT a.is_bot",
+        "LEFT JOIN (SELECT h.interaction_id, m.first_response_seconds FROM chat_threads h "
+        "JOIN measured m ON m.interaction_id = h.thread_id) f ON f.interaction_id = e.interaction_id WHERE NOT a.is_bot",
+    ),
+)
+def agent_scorecard_responses(t):
+    measured = co.response_metrics(co.response_gaps(t.messages)).select(F.col("interaction_id").alias("thread_id"), "first_response_seconds")
+    metrics = t.chat_threads.join(measured, "thread_id")
+    return ro.agent_scorecard(t.evaluations, t.contacts, t.agents, metrics)
+
+
 @query(
     "quality_by_input",
     cte("judgements", "transcripts") + ", " + EVALUATIONS_SQL
