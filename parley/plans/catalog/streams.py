@@ -92,6 +92,18 @@ def job_states_stream(t):
     return jobs.run_to_table(jobs.job_states(_stream(t, "events", binding.JOB_EVENTS)), "job-states", "complete")
 
 
+def _promises(said: DataFrame) -> tuple[DataFrame, DataFrame]:
+    promises = said.where("sender = 'customer' AND message_id % 2 = 0").select(
+        F.col("message_id").alias("follow_up_id"), F.col("interaction_id").alias("customer_id"),
+        F.lit(1).alias("agent_id"), F.col("sent_at").alias("promised_at"),
+    )
+    contacts = said.where("sender = 'agent'").select(
+        F.col("interaction_id").alias("customer_id"), F.lit(1).alias("agent_id"), F.col("sent_at").alias("started_at"),
+        F.col("message_id").alias("interaction_id"),
+    )
+    return promises, contacts
+
+
 @query(
     "promise_timer",
     cte("messages") + ", p AS (SELECT message_id AS follow_up_id, interaction_id, sent_at FROM messages WHERE sender = 'customer' AND message_id % 2 = 0), "
@@ -101,17 +113,23 @@ def job_states_stream(t):
     "SELECT follow_up_id, fulfilled_at, CASE WHEN fulfilled_at IS NULL THEN 'missed' ELSE 'fulfilled' END AS status FROM f",
 )
 def promise_timer(t):
-    def parts(said: DataFrame) -> tuple[DataFrame, DataFrame]:
-        promises = said.where("sender = 'customer' AND message_id % 2 = 0").select(
-            F.col("message_id").alias("follow_up_id"), F.col("interaction_id").alias("customer_id"),
-            F.lit(1).alias("agent_id"), F.col("sent_at").alias("promised_at"),
-        )
-        contacts = said.where("sender = 'agent'").select(
-            F.col("interaction_id").alias("customer_id"), F.lit(1).alias("agent_id"), F.col("sent_at").alias("started_at"),
-            F.col("message_id").alias("interaction_id"),
-        )
-        return promises, contacts
-
-    out = jobs.run_to_table(jobs.promise_timer(*parts(_stream(t, "events", binding.MESSAGES)), "1 day"), "promise-timer")
-    whole = _completed(out, jobs.promise_timer(*parts(t.messages), "1 day"), ["follow_up_id"])
+    out = jobs.run_to_table(jobs.promise_timer(*_promises(_stream(t, "events", binding.MESSAGES)), "1 day"), "promise-timer")
+    whole = _completed(out, jobs.promise_timer(*_promises(t.messages), "1 day"), ["follow_up_id"])
     return whole.select("follow_up_id", "fulfilled_at", "status")
+
+
+@query(
+    "promise_outcomes_stream",
+    cte("messages") + ", p AS (SELECT message_id AS follow_up_id, interaction_id, sent_at FROM messages WHERE sender = 'customer' AND message_id % 2 = 0), "
+    "c AS (SELECT interaction_id, sent_at FROM messages WHERE sender = 'agent'), "
+    "f AS (SELECT p.follow_up_id, p.sent_at, min(c.sent_at) AS fulfilled_at FROM p LEFT JOIN c ON c.interaction_id = p.interaction_id "
+    "AND c.sent_at > p.sent_at AND c.sent_at <= p.sent_at + INTERVAL 7 DAY GROUP BY ALL) "
+    "SELECT follow_up_id, fulfilled_at, CASE WHEN fulfilled_at IS NULL THEN 'missed' "
+    "WHEN fulfilled_at <= sent_at + INTERVAL 1 DAY THEN 'fulfilled' ELSE 'late' END AS status FROM f",
+)
+def promise_outcomes_stream(t):
+    def timed(said: DataFrame) -> DataFrame:
+        return jobs.promise_timer(*_promises(said), "1 day", until="7 days")
+
+    out = jobs.run_to_table(timed(_stream(t, "events", binding.MESSAGES)), "promise-outcomes")
+    return _completed(out, timed(t.messages), ["follow_up_id"]).select("follow_up_id", "fulfilled_at", "status")

@@ -62,11 +62,15 @@ def windowed_counts(events: DataFrame, width: str = "15 minutes", lateness: str
 
 
 def promise_timer(
-    promises: DataFrame, contacts: DataFrame, within: str = "30 days", lateness: str = LATENESS
+    promises: DataFrame, contacts: DataFrame, within: str = "30 days", lateness: str = LATENESS,
+    until: str | None = None,
 ) -> DataFrame:
     """First contact of the same agent with the same customer after a promise and
     within its deadline; a promise the deadline passes comes out as missed.
 
+    With ``until``, longer than ``within``, contacts count up to that long after the
+    promise: one after the deadline makes it late, none by then missed.
+
     The outer join holds state only for the interval. The least contact is then
     taken per promise, keyed with the promise's own time so that its state ends too.
     """
@@ -76,17 +80,18 @@ def promise_timer(
     c = contacts.select("customer_id", "agent_id", "started_at", "interaction_id").withWatermark("started_at", lateness)
     near = F.expr(
         "p_customer = customer_id AND p_agent = agent_id AND started_at > promised_at "
-        f"AND started_at <= promised_at + INTERVAL {within}"
+        f"AND started_at <= promised_at + INTERVAL {until or within}"
     )
     first = F.min(F.when(F.col("started_at").isNotNull(), F.struct("started_at", "interaction_id"))).alias("first")
+    on_time = F.max(F.col("started_at") <= F.col("promised_at") + F.expr(f"INTERVAL {within}")).alias("on_time")
     return (
         p.join(c, near, "leftOuter")
         .groupBy("follow_up_id", F.window("promised_at", "1 day").alias("day"))
-        .agg(first)
+        .agg(first, on_time)
         .select(
             "follow_up_id", F.col("first.started_at").alias("fulfilled_at"),
             F.col("first.interaction_id").alias("fulfilled_in"),
-            F.when(F.col("first").isNull(), "missed").otherwise("fulfilled").alias("status"),
+            F.when(F.col("first").isNull(), "missed").when(F.col("on_time"), "fulfilled").otherwise("late").alias("status"),
         )
     )
 
