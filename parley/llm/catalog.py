@@ -214,10 +214,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     rollup.commit(2, deletes(counted.join(toxic, "doc_id", "left_semi")))
     poor = small(persist(labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti"), "poor"))
-    # each line once, in order
-    lines = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    again = count_tokens(lines, path).select("doc_id", "n_tokens")
-    revised = revisions(counted.withColumnRenamed("n_tokens", "old_tokens").join(again, "doc_id"))
+    # each line once, in order; old and new text are counted on the same row, as ids may repeat
+    lines = docs.join(poor, "doc_id", "left_semi").withColumn("lines", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    old = count_tokens(lines, path).withColumnRenamed("n_tokens", "old_tokens")
+    revised = revisions(count_tokens(old, path, "lines"))
     rollup.commit(3, revised)
     rollup.commit(3, revised)
     rollup.compact()
