@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.bpe import encode
 from parley.llm.graph import small
+from parley.llm.hamming import simhash_components
 from parley.llm.jaccard import similar_components
 from parley.llm.langid import learn
 from parley.llm.linear import MAX_ROWS, fit, remainder, sample, style_features
@@ -17,7 +18,10 @@ from parley.llm.perplexity import quality
 from parley.llm.reputation import judge
 from parley.llm.substrings import remove_repeats
 from parley.llm.tokencounts import Rollup, count_tokens, deletes, inserts, revisions
+from parley.llm.variants import count_words, group_variants
 from parley.llm.weak import toxicity_model
+from parley.llm.whitening import fit as fit_whitening
+from parley.llm.whitening import usable
 from parley.llm.winnow import contamination
 from parley.session import persist, shared_folder
 
@@ -224,6 +228,62 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def misspelt(doc_id: Column, word: Column) -> Column:
+    """``word`` without one code point where 97 divides the crc32 of `<doc_id>:<word>`; null for a null id."""
+    h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), word))
+    at = F.pmod(h, F.length(word).cast("long")).cast("int")
+    return F.when(h.isNotNull(), F.when(h % 97 == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))).otherwise(word))
+
+
+#: crc32 over a list of bytes, by its table of 256 remainders
+CRC = "list_reduce(list_concat([4294967295::BIGINT], {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"
+
+
+@query(
+    r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+run AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+each AS (SELECT doc_id, r, count(*) AS n FROM run GROUP BY ALL),
+coded AS (SELECT r, n, hex(encode(doc_id || ':' || r)) AS x FROM each),
+hashed AS (SELECT r, n, xor(4294967295, """
+    + CRC.format(bytes="list_transform(range(0, length(x), 2), lambda k: CAST('0x' || x[k + 1 : k + 2] AS BIGINT))")
+    + r""") AS h FROM coded, crc),
+edited AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, CAST(h % length(r) AS INTEGER)) || substr(r, CAST(h % length(r) AS INTEGER) + 2) ELSE r END AS w, n FROM hashed),
+word AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+place AS (SELECT w, n, unnest(range(length(w))) AS i FROM word),
+cut AS (SELECT w, n, i, left(w, i) AS a, substr(w, i + 2) AS b FROM place),
+near AS (SELECT x.w, y.w AS v, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+  UNION SELECT x.w, y.w, y.n FROM cut x JOIN word y ON x.a || x.b = y.w
+  UNION SELECT y.w, x.w, x.n FROM cut x JOIN word y ON x.a || x.b = y.w),
+best AS (SELECT w, count(*) AS n_near, arg_max(v, m * 1000000000 - rank) AS v, max(m) AS m
+  FROM (SELECT *, row_number() OVER (ORDER BY encode(v)) AS rank FROM near) GROUP BY w),
+form AS (SELECT word.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN v END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM word LEFT JOIN best USING (w)),
+chain AS (SELECT w, w AS last, 0 AS step FROM form UNION ALL SELECT chain.w, form.form, step + 1 FROM chain JOIN form ON chain.last = form.w WHERE form.form IS NOT NULL)
+SELECT w AS word, form, root, n, n_near, form_n FROM form JOIN (SELECT w, arg_max(last, step) AS root FROM chain GROUP BY w) USING (w)
+"""
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(table(spark, sf_dir, "documents"), edit=misspelt))
+
+
+@query()
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), n=4, distance=4)
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable(table(spark, sf_dir, "embeddings"))
+    model = fit_whitening(vectors, components=32)
+    error = model.identity_error(vectors)
+    white = model.apply(vectors).select(F.col("id").alias("vec_id"), F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.array(*(F.lit(e) for e in model.explained)).cast("array<double>")
+    return white.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("place")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
 def judged(scores: DataFrame, modulus: int, held: int) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
