@@ -3,13 +3,16 @@
 Counting: tasks count the 5-grams of code points per language (four start marks before
 each text) and Spark sums them. Lower orders count distinct left neighbours, from the
 order above. The discounts of each order and language come from its counts of counts.
-Characters are 12-bit codes: points below 2,048 are their own, the rest fold into 2,047
-classes, so an n-gram is one 60-bit number and suffixes and contexts are shifts.
+Characters are 12-bit symbols: code points below ``SINGLE`` are one symbol, others two (a lead
+and a trail, as in UTF-16), so no two texts are equal to the model; the start mark is a symbol
+of its own. An n-gram is one 60-bit number and suffixes and contexts are shifts. Perplexity is
+per code point.
 
 The model is stored in the shared folder as files of sorted 64-bit hashes (of order,
 language and n-gram) with the interpolated log probability and the log weight left for
-lower orders. Scoring finds the longest known n-gram at each place, file by file, so a
-task holds a few files at a time and not the model.
+lower orders. Scoring gathers the distinct n-grams of ``SWEEP`` bytes of text, makes their
+hashes of all orders at once, sorts them and passes over the files once, so a task holds one
+file at a time and not the model, and reads each file once per sweep.
 
 Held-out scores: texts are halved by their hash, copies together, each half has a model of
 its own per language, and a text is scored by the model of the other half, so that it does
@@ -42,10 +45,11 @@ from parley.session import persist, shared_folder
 
 ORDER, CODE = 5, 12
 CODES = 1 << CODE
-START = 1
+#: code points of one symbol, first symbols of leads and of trails of 1,024, and the start mark
+SINGLE, LEAD, TRAIL, START = 1920, 1920, 3008, 4095
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
-#: model entries of one file, files that a worker keeps, n-grams that a task keeps while counting, bytes of a block
-FILE_ROWS, FILES, HELD, BLOCK = 500_000, 8, 2_000_000, 2 << 20
+#: model entries of one file, files that a worker keeps, n-grams that a task keeps while counting, bytes of a block and of a sweep
+FILE_ROWS, FILES, HELD, BLOCK, SWEEP = 500_000, 4, 2_000_000, 2 << 20, 16 << 20
 #: distance of the quartiles, in log perplexity, that a band is widened by at least
 LEAST_WIDTH = 0.01
 U = np.uint64
@@ -58,14 +62,20 @@ FEATURES_SQL = "doc_id long, lang string, text_hash long, n_words long, word_cha
 
 
 def _codes(block: spans.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the texts, each behind four start marks, and where each text with its marks begins (rows + 1)."""
+    """Symbols of the texts, each behind four start marks, and where each text with its marks begins (rows + 1)."""
     points = np.frombuffer(block.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    lead = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
-    edges = lead[block.offsets] + (ORDER - 1) * np.arange(block.rows + 1)
+    ends = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))[block.offsets]
+    symbols = points.astype(np.uint16)
+    wide = np.flatnonzero(points >= SINGLE)
+    if len(wide):
+        symbols[wide] = LEAD + (points[wide] >> 10)
+        symbols = np.insert(symbols, wide + 1, TRAIL + (points[wide] & 1023))
+        ends = ends + np.searchsorted(wide, ends)
+    edges = ends + (ORDER - 1) * np.arange(block.rows + 1)
     codes = np.full(edges[-1], START, np.uint16)
     own = np.ones(edges[-1], bool)
     own[(edges[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
-    codes[own] = np.where(points < 2048, points, 2048 + points % 2047)
+    codes[own] = symbols
     return codes, edges
 
 
@@ -121,7 +131,7 @@ def train(docs: DataFrame) -> str:
     counts = {ORDER: persist(docs.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")}
     for k in range(ORDER - 1, 0, -1):
         tail = F.col("gram").bitwiseAND(F.lit((1 << (CODE * k)) - 1))
-        counts[k] = counts[k + 1].groupBy("lang", tail.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        counts[k] = persist(counts[k + 1].groupBy("lang", tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
     lower = None
     parts = []
     for k in range(1, ORDER + 1):
@@ -140,6 +150,7 @@ def train(docs: DataFrame) -> str:
         c = c.join(F.broadcast(seen), same(c, seen)).drop(seen["lang"])  # one row a language
         c = c.select("lang", "gram", "n", F.shiftright("gram", CODE).alias("context"), F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
         total = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left")).select("lang", "context", "total", (F.col("left") / F.col("total")).alias("weight"))
+        total = persist(total, f"contexts{k}")
         joined = c.alias("c").join(total.alias("t"), F.col("c.lang").eqNullSafe(F.col("t.lang")) & (F.col("c.context") == F.col("t.context")))
         base = joined.select("c.lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "weight")
         if lower is None:
@@ -156,8 +167,8 @@ def train(docs: DataFrame) -> str:
     for part in parts[1:]:
         entries = entries.unionAll(part)
     entries = persist(entries.mapInArrow(_hashed, "h long, value float"), "entries")
-    files = max(1, -(-entries.count() // FILE_ROWS))
-    # equal ranges of the hash space, as unsigned numbers
+    # an even number of equal ranges of the hash space, as unsigned numbers: none holds both signs
+    files = 2 * max(1, -(-entries.count() // (2 * FILE_ROWS)))
     shard = F.floor((F.shiftright("h", 40).bitwiseAND(F.lit((1 << 24) - 1))) * files / F.lit(1 << 24)).cast("int")
     folder = shared_folder(docs.sparkSession, "model")
     entries.withColumn("shard", shard).repartition(files, "shard").sortWithinPartitions("shard", "h").write.partitionBy("shard").parquet(folder)
@@ -201,42 +212,52 @@ class Model:
             tables = [pq.read_table(io.BytesIO(self.fs.open_input_file(x.path).read()), columns=["h", "value"]) for x in infos if x.path.endswith(".parquet")]
             h = np.concatenate([t.column("h").to_numpy() for t in tables] or [np.zeros(0, np.int64)]).view(U)
             value = np.concatenate([t.column("value").to_numpy() for t in tables] or [np.zeros(0, np.float32)])
-            order = np.argsort(h)
-            h, value = h[order], value[order]
+            if np.any(h[1:] < h[:-1]):  # of several parts
+                order = np.argsort(h)
+                h, value = h[order], value[order]
             if len(self.kept) >= FILES:
                 self.kept.pop(next(iter(self.kept)))
             self.kept[i] = (h, value)
         return self.kept[i]
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Value of each hash, NaN where there is none."""
-        out = np.full(len(h), np.nan, np.float32)
-        shard = ((h >> U(40)) * U(self.files)) >> U(24)
+        """Value of each hash, NaN where there is none; one pass over the files."""
+        order = np.argsort(h)
+        want, found = h[order], np.full(len(h), np.nan, np.float32)
+        # the range of each file, by the top bits as they were written
+        shard = ((want >> U(40)) * U(self.files)) >> U(24)
+        cuts = np.searchsorted(shard, np.arange(self.files + 1))
         for i in range(self.files):
-            at = np.flatnonzero(shard == i) if self.files > 1 else slice(None)
-            table, value = self._file(i)
-            want = h[at]
-            if not len(table) or not len(want):
+            low, high = cuts[i], cuts[i + 1]
+            if low == high:
                 continue
-            p = np.minimum(np.searchsorted(table, want), len(table) - 1)
-            out[at] = np.where(table[p] == want, value[p], np.nan)
+            table, value = self._file(i)
+            at = spans.member(want[low:high], table)
+            if len(table):
+                found[low:high] = np.where(at >= 0, value[at], np.nan)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
-    def score(self, lang: str | None, gram: np.ndarray) -> np.ndarray:
-        """Log probability of the last character of each 5-gram."""
-        out = np.zeros(len(gram))
-        open_ = np.arange(len(gram))
-        for k in range(ORDER, 0, -1):
-            if not len(open_):
-                return out
-            mine = gram[open_] & U((1 << (CODE * k)) - 1)
-            value = self.find(_salted(lang, k, mine, 0))
-            known = ~np.isnan(value)
-            out[open_[known]] += value[known]
-            open_ = open_[~known]
-            left = self.find(_salted(lang, k - 1, mine[~known] >> U(CODE), 1))
-            out[open_] += np.nan_to_num(left, nan=0.0)
-        out[open_] -= np.log(CODES)
+    def scores(self, asked: dict[str | None, np.ndarray]) -> dict[str | None, np.ndarray]:
+        """Log probability of the last symbol of each of the sorted 5-grams, by language."""
+        steps, keys = [], []
+        for lang, grams in asked.items():
+            known = grams
+            for k in range(ORDER, 0, -1):
+                # those of order k, and where each of order k + 1 finds its own
+                mine, back = (known, np.arange(len(known))) if k == ORDER else np.unique(known & U((1 << (CODE * k)) - 1), return_inverse=True)
+                context, of = np.unique(mine >> U(CODE), return_inverse=True)
+                keys += [_salted(lang, k, mine, 0), _salted(lang, k - 1, context, 1)]
+                steps.append((lang, back, of))
+                known = mine
+        values = np.split(self.find(np.concatenate(keys)), np.cumsum([len(x) for x in keys])[:-1]) if keys else []
+        out: dict[str | None, np.ndarray] = {}
+        for at in range(len(steps) - 1, -1, -1):  # from single symbols up
+            lang, back, of = steps[at]
+            own, left = values[2 * at].astype(float), values[2 * at + 1].astype(float)
+            lower = out.get(lang, -np.log(CODES))
+            out[lang] = np.where(np.isnan(own), np.nan_to_num(left, nan=0.0)[of] + lower, own)[back]
         return out
 
 
@@ -266,33 +287,56 @@ def _base(part: pa.RecordBatch, block: spans.Block) -> list[np.ndarray]:
     return [block.n_words, sums(~spans.BLANKS[data] & ((data & 0xC0) != 0x80)), sums(SYMBOLS[data]), dup, repeats]
 
 
-def _score(where: str):
+def _score(where: str, block: int, sweep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(where)
+        model, held, size = Model(where), [], 0
         for whole in batches:
-            for part in spans.blocks(whole, limit=BLOCK):
-                block = spans.Block(part.column("text"))
-                block.words()
-                features = _base(part, block)
-                codes, edges = _codes(block)
-                at, bounds = _places(edges)
-                gram = _grams(codes)[at] if len(at) else np.zeros(0, U)
-                langs = part.column("judge").dictionary_encode()
-                which = np.repeat(langs.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.diff(bounds))
-                logs = np.zeros(len(gram))
-                for lang in np.unique(which):
-                    m = which == lang
-                    values, back = np.unique(gram[m], return_inverse=True)
-                    logs[m] = model.score(None if lang < 0 else langs.dictionary[int(lang)].as_py(), values)[back]
-                total = np.diff(np.concatenate(([0.0], np.cumsum(logs)))[bounds])
-                chars = np.diff(bounds)
-                log_perplexity = pa.array(-total / np.maximum(chars, 1), mask=chars == 0)
-                yield spans.batch(FEATURES, [part.column("doc_id"), part.column("lang"), part.column("text_hash"), *features, chars, log_perplexity])
+            for part in spans.blocks(whole, limit=block):
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= sweep:
+                    yield from _scored(model, held)
+                    held, size = [], 0
+        yield from _scored(model, held)
 
     return run
 
 
-def quality(docs: DataFrame, reach: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: bool = False) -> DataFrame:
+def _scored(model: Model, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and log perplexity of the rows of some blocks, by one pass over the model."""
+    asked: dict[str | None, list] = {}
+    notes = []
+    for part in parts:
+        codes, edges = _codes(spans.Block(part.column("text")))
+        at, bounds = _places(edges)
+        gram = _grams(codes)[at] if len(at) else np.zeros(0, U)
+        langs = part.column("judge").dictionary_encode()
+        of_row = langs.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        which = np.repeat(of_row, np.diff(bounds))
+        mine = []
+        for code in np.unique(which):
+            lang = None if code < 0 else langs.dictionary[int(code)].as_py()
+            values, back = np.unique(gram[which == code], return_inverse=True)
+            asked.setdefault(lang, []).append(values)
+            mine.append((lang, np.flatnonzero(of_row == code), values, back.astype(np.int32)))
+        notes.append((np.diff(bounds), mine))
+    distinct = {lang: np.unique(np.concatenate(x)) for lang, x in asked.items()}
+    asked.clear()
+    logs = model.scores(distinct)
+    for part, (symbols, mine) in zip(parts, notes, strict=True):
+        block = spans.Block(part.column("text"))
+        block.words()
+        total = np.zeros(block.rows)
+        for lang, rows, values, back in mine:
+            each = logs[lang][np.searchsorted(distinct[lang], values)][back]
+            ends = np.cumsum(symbols[rows])
+            total[rows] = np.diff(np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], ends))])
+        chars = np.diff(np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))[block.offsets])
+        log_perplexity = pa.array(-total / np.maximum(chars, 1), mask=chars == 0)
+        yield spans.batch(FEATURES, [part.column("doc_id"), part.column("lang"), part.column("text_hash"), *_base(part, block), chars, log_perplexity])
+
+
+def quality(docs: DataFrame, reach: float = 2.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: bool = False) -> DataFrame:
     """Each row's base features, ``log_perplexity``, ``low`` and ``high`` of its language, ``base_failed`` and ``kept``.
 
     ``held_out`` scores each text by the model of the other half of the texts, else by that of all, itself included.
@@ -304,7 +348,7 @@ def quality(docs: DataFrame, reach: float = 3.0, id_col: str = "doc_id", text_co
     model = lambda side: F.concat(side.cast("string"), F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n"))) if held_out else F.col("lang")
     where = train(docs.select(model(half).alias("lang"), "text"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    scored = docs.withColumn("judge", model(1 - half)).mapInArrow(_score(where), FEATURES_SQL)
+    scored = docs.withColumn("judge", model(1 - half)).mapInArrow(_score(where, BLOCK, SWEEP), FEATURES_SQL)
     scored = persist(scored.withColumn("base_failed", failed), "scored")
     quarter = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     # copies vote once, else a large group of them would be the band

@@ -1,8 +1,11 @@
 """What the quality rules keep and reject, on planted texts."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
+import xxhash
 
 from parley.llm import catalog, perplexity
 
@@ -55,3 +58,67 @@ def test_a_single_text_has_a_band(spark):
     text = sentence(random.Random(8), 40)
     r = perplexity.quality(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).head()
     assert r.kept and r.high > r.low
+
+
+def symbols(text):
+    """What the model sees: wide code points are two symbols."""
+    return [None] * 4 + [x for c in text for x in ([c] if ord(c) < 1920 else [("lead", ord(c) >> 10), ("trail", ord(c) & 1023)])]
+
+
+def plain_model(texts):
+    """Probability of the last of up to five symbols, by modified Kneser-Ney over ``texts``."""
+    counts = {5: Counter(tuple(s[j : j + 5]) for s in map(symbols, texts) for j in range(len(s) - 4))}
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    of_counts = {k: Counter(c.values()) for k, c in counts.items()}
+    followers = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            followers[k].setdefault(g[:-1], []).append((g, n))
+
+    def d(k, c):
+        n, i = of_counts[k], min(c, 3)
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        return min(max(i - (i + 1) * y * n[i + 1] / max(n[i], 1), 0.1), i - 0.1)
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / 4096
+        known = followers[k].get(gram[:-1])
+        if not known:
+            return p(gram[1:])
+        total, c = sum(n for _, n in known), counts[k].get(gram, 0)
+        return ((c - d(k, c)) / total if c else 0.0) + sum(d(k, n) for _, n in known) / total * p(gram[1:])
+
+    return p
+
+
+@pytest.mark.parametrize(("rows_of_a_file", "sweep"), [(500_000, 1 << 24), (150, 300)])
+def test_held_out_scores_equal_a_plain_model(spark, monkeypatch, rows_of_a_file, sweep):
+    # the second case has far more files than a worker keeps, and many sweeps
+    for name, value in (("FILE_ROWS", rows_of_a_file), ("SWEEP", sweep), ("BLOCK", sweep)):
+        monkeypatch.setattr(perplexity, name, value)
+    rnd = random.Random(9)
+    rows = [(sentence(rnd, 12), rnd.choice(["en", None])) for i in range(40)]
+    rows += [("".join(chr(rnd.randint(0x4E00, 0x4E20)) for _ in range(60)) + rnd.choice(["", "\U0001f600", "\x01\x01"]), "zh") for _ in range(20)]
+    rows += [rows[3], rows[45], ("", "en"), (None, "zh")]
+    half = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 1
+    models = {(h, lang): plain_model([t for t, x in rows if t and x == lang and half(t) == h]) for h in (0, 1) for lang in ("en", None, "zh")}
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(2)
+    got = {r.doc_id: r.log_perplexity for r in perplexity.quality(docs, held_out=True).collect()}
+    for i, (text, lang) in enumerate(rows):
+        if not text:
+            assert got[i] is None
+            continue
+        p, s = models[1 - half(text), lang], symbols(text)
+        want = -sum(math.log(p(tuple(s[j : j + 5]))) for j in range(len(s) - 4)) / len(text)
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
+def test_wide_code_points_are_not_folded(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(40))
+    other = "".join(chr(0x4E00 + i + 2047) for i in range(40))
+    docs = [(i, text, "zh") for i in range(5)] + [(9, other, "zh")]
+    got = {r.doc_id: r.log_perplexity for r in perplexity.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert got[9] > got[0] * 1.2
