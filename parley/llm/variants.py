@@ -94,6 +94,7 @@ def _nodes(keys: list[str], slot: int, carried: list[int]) -> list[list[int]]:
 
 def _slots(words: DataFrame, key: str, name: str) -> tuple[DataFrame, dict[int, list[int]]]:
     """``words`` stored by ranges of ``key`` with their ``slot``, and what each slot has from earlier ones."""
+    words = persist(words, f"{name}-in")
     count = max(1, -(-words.count() // SLOT))
     count = max(count, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = persist(words.repartitionByRange(count, key).withColumn("slot", F.spark_partition_id()), name)
