@@ -49,7 +49,7 @@ CODES = 1 << CODE
 SINGLE, LEAD, TRAIL, START = 1920, 1920, 3008, 4095
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 #: model entries of one file, files that a worker keeps, n-grams that a task keeps while counting, bytes of a block and of a sweep
-FILE_ROWS, FILES, HELD, BLOCK, SWEEP = 500_000, 4, 2_000_000, 2 << 20, 16 << 20
+FILE_ROWS, FILES, HELD, BLOCK, SWEEP = 500_000, 2, 1_000_000, 2 << 20, 6 << 20
 #: distance of the quartiles, in log perplexity, that a band is widened by at least
 LEAST_WIDTH = 0.01
 U = np.uint64
@@ -114,7 +114,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held > HELD:
             yield from _counted(kept)
             kept, held = {}, 0
+            spans.give_back()
     yield from _counted(kept)
+    kept.clear()
+    spans.give_back()
 
 
 def _counted(kept: dict) -> Iterator[pa.RecordBatch]:
@@ -249,7 +252,7 @@ class Model:
                 mine, back = (known, np.arange(len(known))) if k == ORDER else np.unique(known & U((1 << (CODE * k)) - 1), return_inverse=True)
                 context, of = np.unique(mine >> U(CODE), return_inverse=True)
                 keys += [_salted(lang, k, mine, 0), _salted(lang, k - 1, context, 1)]
-                steps.append((lang, back, of))
+                steps.append((lang, back.astype(np.int32), of.astype(np.int32)))
                 known = mine
         values = np.split(self.find(np.concatenate(keys)), np.cumsum([len(x) for x in keys])[:-1]) if keys else []
         out: dict[str | None, np.ndarray] = {}
@@ -331,9 +334,11 @@ def _scored(model: Model, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             each = logs[lang][np.searchsorted(distinct[lang], values)][back]
             ends = np.cumsum(symbols[rows])
             total[rows] = np.diff(np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], ends))])
+        mine.clear()
         chars = np.diff(np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))[block.offsets])
         log_perplexity = pa.array(-total / np.maximum(chars, 1), mask=chars == 0)
         yield spans.batch(FEATURES, [part.column("doc_id"), part.column("lang"), part.column("text_hash"), *_base(part, block), chars, log_perplexity])
+    spans.give_back()
 
 
 def quality(docs: DataFrame, reach: float = 2.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: bool = False) -> DataFrame:
