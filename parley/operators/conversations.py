@@ -193,18 +193,15 @@ def call_dialogue(segments: DataFrame, page_size: int = PAGE) -> DataFrame:
 
 
 def collect_thread(
-    arrivals: DataFrame, page_size: int = PAGE, hot_rows: int = ordered.HOT_ROWS
+    arrivals: DataFrame, page_size: int = PAGE, hot_rows: int = ordered.HOT_ROWS, keys: tuple[str, ...] = ("external_ref",),
 ) -> DataFrame:
-    """Messages of a thread as one JSON array in order of arrival, in pages."""
-    slots = ordered.with_slots(
-        arrivals, ["external_ref"], F.col("raw_id"), 100_000, hot_rows
-    )
-    lines = ordered.numbered(slots, ["external_ref"], ["raw_id"], "seq").select(
-        "external_ref", "seq", F.struct("sender", "message", "timestamp").alias("line")
-    )
-    return _paged(lines, ["external_ref"], page_size).select(
-        "external_ref", "page", F.to_json(F.col("lines.line")).alias("history")
+    """Messages of a thread as one JSON array in order of arrival, in pages. ``keys`` name a thread."""
+    keys = list(keys)
+    slots = ordered.with_slots(arrivals, keys, F.col("raw_id"), 100_000, hot_rows)
+    lines = ordered.numbered(slots, keys, ["raw_id"], "seq").select(
+        *keys, "seq", F.struct("sender", "message", "timestamp").alias("line")
     )
+    return _paged(lines, keys, page_size).select(*keys, "page", F.to_json(F.col("lines.line")).alias("history"))
 
 
 def thread_faults(messages: DataFrame) -> DataFrame:

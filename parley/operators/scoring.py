@@ -296,15 +296,20 @@ def stored_evaluations(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
 _PASS1 = {
     "language": ("language", "string"), "intent": ("intent", "string"),
     "service_raw": ("service_raw", "string"),
-    "customer_name": ("customer.name", "string"), "date_start": ("trip.date_start", "date"),
+    "customer_name": ("customer.name", "string"), "customer_nationality": ("customer.nationality", "string"),
+    "residence_city": ("customer.residence_city", "string"),
+    "date_start": ("trip.date_start", "date"), "date_end": ("trip.date_end", "date"),
     "nights": ("trip.nights", "int"), "date_flexibility": ("trip.date_flexibility", "string"),
     "travelers_total": ("trip.travelers.total", "int"), "travelers_adults": ("trip.travelers.adults", "int"),
+    "travelers_children": ("trip.travelers.children", "int"), "travelers_infants": ("trip.travelers.infants", "int"),
+    "group_count": ("trip.group_count", "int"),
     "budget_amount": ("commercial.budget_amount", "decimal(12,2)"),
     "budget_currency": ("commercial.budget_currency", "string"),
     "is_decision_maker": ("commercial.is_decision_maker", "boolean"),
     "summary_ar": ("summary_ar", "string"), "confidence": ("confidence", "decimal(3,2)"),
 }
 # Members of the enumerations the answer is mapped into.
+FLEXIBILITIES = ("fixed", "flexible", "unknown")
 SERVICES = (
     "package", "flight", "hotel", "cruise", "visa", "transfer", "insurance", "umrah", "hajj", "other",
 )
@@ -317,20 +322,32 @@ def _member(x: Column, values: tuple[str, ...]) -> Column:
 
 
 def project_pass1(analyses: DataFrame) -> DataFrame:
-    """Columns of the analysis table; what is no member of an enumeration is unknown."""
+    """Columns of the analysis table; what is no member of an enumeration is unknown.
+
+    Lists (``objections``, ``special_requests``, ``uncertain_fields``) stay JSON text, `[]` where there is none.
+    """
     v = analyses.withColumn("v", F.try_parse_json("payload"))
     cols = [F.try_variant_get("v", f"$.{p}", k).alias(n) for n, (p, k) in _PASS1.items()]
 
     def text(path: str) -> Column:
         return F.try_variant_get("v", f"$.{path}", "string")
 
+    def listed(path: str) -> Column:
+        found = F.try_variant_get("v", f"$.{path}", "array<variant>")
+        return F.coalesce(F.to_json(found), F.lit("[]"))
+
     return v.select(
         KEY, *cols,
+        listed("commercial.objections").alias("objections"), listed("special_requests").alias("special_requests"),
+        listed("uncertain_fields").alias("uncertain_fields"),
         _member(text("service"), SERVICES).alias("service"),
         _member(text("commercial.buying_stage"), BUYING_STAGES).alias("buying_stage"),
         _member(text("commercial.lead_temperature"), TEMPERATURES).alias("lead_temp"),
         "updated_at", "payload",
-    ).withColumn("language", F.substring("language", 1, 2))
+    ).withColumns({
+        "language": F.substring("language", 1, 2), "budget_currency": F.substring("budget_currency", 1, 3),
+        "date_flexibility": F.when(F.col("date_flexibility").isin(*FLEXIBILITIES), F.col("date_flexibility")),
+    })
 
 
 def destinations(analyses: DataFrame) -> DataFrame:

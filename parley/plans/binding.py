@@ -235,24 +235,28 @@ ANALYSES = {
     "payload": "'{\"language\": \"' || CASE WHEN l_partkey % 3 = 0 THEN 'ar' ELSE 'english' END || "
     "'\", \"intent\": \"book\", \"service\": \"' || "
     "CASE l_partkey % 4 WHEN 0 THEN 'package' WHEN 1 THEN 'flight' WHEN 2 THEN 'hotel' "
-    "ELSE 'spaceship' END || '\", \"service_raw\": null, "
-    "\"customer\": {\"name\": \"N' || CAST(l_suppkey AS STRING) || '\", \"nationality\": null}, "
+    "ELSE 'spaceship' END || '\", \"service_raw\": ' || CASE WHEN l_partkey % 4 = 3 THEN '\"to the moon\"' ELSE 'null' END || ', "
+    "\"customer\": {\"name\": \"N' || CAST(l_suppkey AS STRING) || '\", \"nationality\": ' || CASE WHEN l_suppkey % 2 = 0 THEN '\"EG\"' ELSE 'null' END || ', \"residence_city\": \"Riyadh\"}, "
     "\"trip\": {\"destinations\": [' || "
     "CASE WHEN l_partkey % 5 = 0 THEN '' ELSE '{\"name\": \"' || "
     "CASE l_suppkey % 4 WHEN 0 THEN 'القاهرة' WHEN 1 THEN 'القاهره' WHEN 2 THEN ' Cairo ' "
     "ELSE 'Dubai' END || '\", \"role\": \"destination\", \"leg_order\": 1, \"nights\": ' || "
     "CAST(l_linenumber AS STRING) || '}, {\"name\": \"İzmir\", \"role\": \"stopover\", "
     "\"leg_order\": 2, \"nights\": null}' END || "
-    "'], \"date_start\": \"2024-03-0' || CAST(l_linenumber AS STRING) || '\", \"nights\": ' || "
-    "CAST(l_linenumber AS STRING) || ', \"date_flexibility\": \"fixed\", "
-    "\"travelers\": {\"total\": ' || CAST(l_linenumber + 1 AS STRING) || ', \"adults\": 2}}, "
+    "'], \"date_start\": \"2024-03-0' || CAST(l_linenumber AS STRING) || '\", \"date_end\": ' || "
+    "CASE WHEN l_partkey % 3 = 1 THEN 'null' ELSE '\"2024-03-1' || CAST(l_linenumber AS STRING) || '\"' END || ', \"nights\": ' || "
+    "CAST(l_linenumber AS STRING) || ', \"date_flexibility\": \"' || CASE l_partkey % 3 WHEN 0 THEN 'fixed' WHEN 1 THEN 'flexible' ELSE 'soon' END || '\", "
+    "\"group_count\": ' || CAST(l_partkey % 3 AS STRING) || ', \"travelers\": {\"total\": ' || CAST(l_linenumber + 1 AS STRING) || "
+    "', \"adults\": 2, \"children\": ' || CAST(l_linenumber - 1 AS STRING) || ', \"infants\": ' || CASE WHEN l_partkey % 7 = 0 THEN '1' ELSE 'null' END || '}}, "
     "\"commercial\": {\"budget_amount\": ' || "
     "CASE WHEN l_partkey % 4 = 1 THEN 'null' ELSE CAST(l_partkey AS STRING) || '.50' END || "
     "', \"budget_currency\": \"SAR\", \"buying_stage\": \"' || "
     "CASE l_partkey % 3 WHEN 0 THEN 'decision' WHEN 1 THEN 'consideration' ELSE '' END || "
     "'\", \"lead_temperature\": \"' || "
     "CASE l_suppkey % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END || '\", "
-    "\"is_decision_maker\": true, \"objections\": []}, \"real_ask\": {\"is_real_inquiry\": ' || "
+    "\"is_decision_maker\": true, \"objections\": [' || CASE WHEN l_partkey % 4 = 0 THEN '{\"kind\": \"price\", \"quote\": \"q' || "
+    "CAST(l_linenumber AS STRING) || '\", \"timestamp\": null}' ELSE '' END || ']}, \"special_requests\": [\"sea view\"], \"uncertain_fields\": ' || "
+    "CASE WHEN l_partkey % 5 = 0 THEN 'null' ELSE '[\"budget_amount\", \"nights\"]' END || ', \"real_ask\": {\"is_real_inquiry\": ' || "
     "CASE WHEN l_partkey % 6 < 2 THEN 'true' WHEN l_partkey % 6 = 2 THEN 'null' "
     "ELSE 'false' END || ', \"products\": [\"p' || CAST(l_partkey % 10 AS STRING) || "
     "'\"], \"evidence\": [{\"quote\": \"q' || CAST(l_linenumber AS STRING) || "

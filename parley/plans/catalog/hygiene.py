@@ -17,7 +17,7 @@ _WORDS = (
 _RUNS = (
     "flagged AS (SELECT *, CASE WHEN norm = lag(norm) OVER w THEN 0 ELSE 1 END AS cut FROM norms WINDOW w AS (PARTITION BY call_id, seq ORDER BY i)), "
     "islands AS (SELECT *, sum(cut) OVER (PARTITION BY call_id, seq ORDER BY i) AS island FROM flagged), "
-    "runs AS (SELECT call_id, seq, island, min(i) AS at, arg_min(token, i) AS token, any_value(norm) AS norm, count(*) AS run "
+    "runs AS MATERIALIZED (SELECT call_id, seq, island, min(i) AS at, arg_min(token, i) AS token, any_value(norm) AS norm, count(*) AS run "
     "FROM islands WHERE norm <> '' GROUP BY call_id, seq, island HAVING count(*) >= 6)"
 )
 # Matches of the removed families, in an expression language without look-around:
@@ -56,14 +56,16 @@ _SPANS = (
     "lambda a: length(a) BETWEEN 2 AND 4 AND len(list_filter(string_split_regex(flat, '[./:]+'), lambda b: b = a)) >= 3)) > 0))"
 )
 _WHERE = (
-    "offs AS (SELECT call_id, seq, i, length(token) AS n FROM words), "
-    "seps AS (SELECT call_id, seq, CAST(unnest(range(len(g))) AS INT) AS i, length(unnest(g)) AS n FROM "
-    "(SELECT call_id, seq, string_split_regex(text, '[^\\s]+') AS g FROM segments WHERE text IS NOT NULL)), "
-    "begins AS (SELECT o.call_id, o.seq, o.i, sum(s.n + o.n) OVER (PARTITION BY o.call_id, o.seq ORDER BY o.i) - o.n AS s, o.n "
-    "FROM offs o JOIN seps s USING (call_id, seq, i)), "
+    # only segments with a hard run; words and blanks are laid out in one unnest, so nothing is joined by place
+    "hard AS MATERIALIZED (SELECT r.call_id, r.seq, r.at AS first, r.run FROM runs r WHERE r.run >= 16), "
+    "laid AS (SELECT call_id, seq, unnest(g) AS blank, unnest(w) AS token, unnest(range(len(w))) AS i FROM "
+    "(SELECT call_id, seq, string_split_regex(text, '[^\\s]+') AS g, regexp_extract_all(text, '[^\\s]+') AS w FROM segments "
+    "WHERE text IS NOT NULL AND (call_id, seq) IN (SELECT call_id, seq FROM hard))), "
+    "begins AS MATERIALIZED (SELECT call_id, seq, i, length(token) AS n, sum(length(blank) + length(token)) "
+    "OVER (PARTITION BY call_id, seq ORDER BY i) - length(token) AS s FROM laid WHERE token IS NOT NULL), "
     "loops AS (SELECT r.call_id, r.seq, 'hard_token_run_' || r.run AS pid, CAST(b.s AS INT) AS s, CAST(l.s + l.n AS INT) AS e "
-    "FROM runs r JOIN begins b ON b.call_id = r.call_id AND b.seq = r.seq AND b.i = r.at + 3 "
-    "JOIN begins l ON l.call_id = r.call_id AND l.seq = r.seq AND l.i = r.at + r.run - 1 WHERE r.run >= 16)"
+    "FROM hard r JOIN begins b ON b.call_id = r.call_id AND b.seq = r.seq AND b.i = r.first + 3 "
+    "JOIN begins l ON l.call_id = r.call_id AND l.seq = r.seq AND l.i = r.first + r.run - 1)"
 )
 _MERGED = (
     "every AS (SELECT * FROM spans UNION ALL SELECT * FROM loops), "

@@ -180,20 +180,35 @@ def refusals(t):
     return sc.refusals(rows).drop("reason")
 
 
+def _texts(**paths: str) -> str:
+    return ", ".join(f"payload->>'$.{p}' AS {n}" for n, p in paths.items())
+
+
+def _ints(**paths: str) -> str:
+    return ", ".join(f"CAST(payload->>'$.{p}' AS INT) AS {n}" for n, p in paths.items())
+
+
 @query(
     "project_pass1",
-    cte("analyses") + " SELECT interaction_id, substr(payload->>'$.language', 1, 2) AS language, payload->>'$.intent' AS intent, "
-    "payload->>'$.customer.name' AS customer_name, CAST(payload->>'$.trip.date_start' AS VARCHAR) AS date_start, "
-    "CAST(payload->>'$.trip.nights' AS INT) AS nights, CAST(payload->>'$.trip.travelers.total' AS INT) AS travelers_total, "
-    "CAST(payload->>'$.commercial.budget_amount' AS DOUBLE) AS budget_amount, payload->>'$.commercial.budget_currency' AS budget_currency, "
+    cte("analyses") + " SELECT interaction_id, substr(payload->>'$.language', 1, 2) AS language, "
+    + _texts(intent="intent", service_raw="service_raw", customer_name="customer.name", customer_nationality="customer.nationality",
+             residence_city="customer.residence_city", date_start="trip.date_start", date_end="trip.date_end", summary_ar="summary_ar",
+             budget_currency="commercial.budget_currency", is_decision_maker="commercial.is_decision_maker")
+    + ", " + _ints(nights="trip.nights", travelers_total="trip.travelers.total", travelers_adults="trip.travelers.adults",
+                   travelers_children="trip.travelers.children", travelers_infants="trip.travelers.infants", group_count="trip.group_count")
+    + ", CASE WHEN payload->>'$.trip.date_flexibility' IN ('fixed', 'flexible', 'unknown') THEN payload->>'$.trip.date_flexibility' END AS date_flexibility, "
+    "CAST(payload->>'$.commercial.budget_amount' AS DOUBLE) AS budget_amount, "
+    "CAST(payload->'$.commercial.objections' AS VARCHAR) AS objections, CAST(payload->'$.special_requests' AS VARCHAR) AS special_requests, "
+    "coalesce(CAST(nullif(payload->'$.uncertain_fields', 'null'::JSON) AS VARCHAR), '[]') AS uncertain_fields, "
     "CASE WHEN payload->>'$.service' IN ('package','flight','hotel','cruise','visa','transfer','insurance','umrah','hajj','other') "
-    "THEN payload->>'$.service' ELSE 'unknown' END AS service, CAST(payload->>'$.confidence' AS DOUBLE) AS confidence FROM analyses",
+    "THEN payload->>'$.service' ELSE 'unknown' END AS service, "
+    "CASE WHEN payload->>'$.commercial.buying_stage' IN ('awareness','consideration','decision','purchased','lost') "
+    "THEN payload->>'$.commercial.buying_stage' ELSE 'unknown' END AS buying_stage, payload->>'$.commercial.lead_temperature' AS lead_temp, "
+    "CAST(payload->>'$.confidence' AS DOUBLE) AS confidence, updated_at FROM analyses",
 )
 def project_pass1(t):
-    return t.analysed.select(
-        "interaction_id", "language", "intent", "customer_name", F.col("date_start").cast("string").alias("date_start"), "nights",
-        "travelers_total", "budget_amount", "budget_currency", "service", "confidence",
-    )
+    text = {c: F.col(c).cast("string") for c in ("date_start", "date_end", "is_decision_maker")}
+    return t.analysed.drop("payload").withColumns(text)
 
 
 @query(

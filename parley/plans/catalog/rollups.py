@@ -133,7 +133,7 @@ def _avg(column: str, alias: str, digits: int = 1) -> str:
 
 @query(
     "agent_scorecard",
-    cte("interactions", "agents", "judgements") + ", " + AGENTS_SQL + ", " + EVALUATIONS_SQL
+    cte("interactions", "agents", "judgements", "messages", "chat_threads") + ", " + AGENTS_SQL + ", " + EVALUATIONS_SQL + ", " + _GAPS + ", " + _METRICS
     + " SELECT a.agent_id, a.full_name, a.team, count(*) AS evaluated_interactions, "
     "count(*) FILTER (WHERE i.channel = 'phone_call') AS calls, "
     "count(*) FILTER (WHERE i.channel <> 'phone_call') AS chats, "
@@ -143,28 +143,13 @@ def _avg(column: str, alias: str, digits: int = 1) -> str:
             ("m3_objections", "avg_objections"), ("m4_followup", "avg_followup"), ("m5_closing", "avg_closing"),
         )
     )
-    + ", count(e.m5_closing) AS n_closing_scored, CAST(NULL AS DOUBLE) AS avg_first_response_sec, "
-    "count(*) FILTER (WHERE e.n_flags > 0) AS flagged_conversations "
+    + ", count(e.m5_closing) AS n_closing_scored, " + _avg("f.first_response_seconds", "avg_first_response_sec", 0)
+    + ", count(*) FILTER (WHERE e.n_flags > 0) AS flagged_conversations "
     "FROM evaluations e JOIN interactions i USING (interaction_id) JOIN people a ON a.agent_id = i.agent_id "
-    "WHERE NOT a.is_bot GROUP BY ALL",
+    "LEFT JOIN (SELECT h.interaction_id, m.first_response_seconds FROM chat_threads h "
+    "JOIN measured m ON m.interaction_id = h.thread_id) f ON f.interaction_id = e.interaction_id WHERE NOT a.is_bot GROUP BY ALL",
 )
 def agent_scorecard(t):
-    return ro.agent_scorecard(t.evaluations, t.contacts, t.agents)
-
-
-# the check of the scorecard with its empty column filled
-@query(
-    "agent_scorecard_responses",
-    ORACLES["agent_scorecard"]
-    .replace("WITH ", cte("messages", "chat_threads") + ", " + _GAPS + ", " + _METRICS + ", ", 1)
-    .replace("CAST(NULL AS DOUBLE) AS avg_first_response_sec", _avg("f.first_response_seconds", "avg_first_response_sec", 0))
-    .replace(
-        "WHERE NOT a.is_bot",
-        "LEFT JOIN (SELECT h.interaction_id, m.first_response_seconds FROM chat_threads h "
-        "JOIN measured m ON m.interaction_id = h.thread_id) f ON f.interaction_id = e.interaction_id WHERE NOT a.is_bot",
-    ),
-)
-def agent_scorecard_responses(t):
     measured = co.response_metrics(co.response_gaps(t.messages)).select(F.col("interaction_id").alias("thread_id"), "first_response_seconds")
     metrics = t.chat_threads.join(measured, "thread_id")
     return ro.agent_scorecard(t.evaluations, t.contacts, t.agents, metrics)

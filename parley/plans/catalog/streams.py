@@ -1,4 +1,9 @@
-"""Streams over the event table, run to the end and checked against batch SQL."""
+"""Streams over tables that arrive in several micro-batches, run to the end and checked against batch SQL.
+
+Each query first lays its table out as arrivals: slices of time, one after another, some rows
+far behind their time, and a last row without keys that moves the watermark past the end. What
+it returns is what the stream and its catch-up have written, nothing from a batch run.
+"""
 
 from __future__ import annotations
 
@@ -6,35 +11,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley import session
-from parley.plans import binding
-from parley.plans.catalog.base import cte, query
+from parley.plans.catalog.base import FOLLOW_UPS_SQL, cte, query
 from parley.streaming import jobs
 
+SLICES = 3
+
+
+def _feed(t, rows: DataFrame, at: str, name: str, late: str = "false") -> tuple[DataFrame, str]:
+    """``rows`` as a stream of their arrivals, and a lateness that covers a slice; ``late`` rows come after all slices."""
+    folder, rows = session.shared_folder(t.spark, name), session.persist(rows, f"{name}-rows")
+    low, high = rows.agg(F.min(F.unix_seconds(at)), F.max(F.unix_seconds(at))).first()
+    if low is None:
+        low = high = 0
+    width = (high - low) // SLICES + 1
+    when = F.when(F.expr(late), SLICES).otherwise(F.floor((F.unix_seconds(at) - low) / width))
+    for i in range(SLICES + 1):
+        rows.where(when == i).write.mode("append").parquet(folder)
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != at]
+    for after in (0, 1):
+        ended = F.timestamp_seconds(F.lit(high + 90 * 86_400 + width + after))
+        t.spark.range(1).select(ended.alias(at), *rest).select(*rows.columns).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), f"{width} seconds"
+
 
-def _stream(t, table: str, projection: dict[str, str]) -> DataFrame:
-    schema = t.scan(table).schema
-    files = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
-    return files.selectExpr(*binding._columns(projection))
+def _path(t, name: str) -> str:
+    return session.shared_folder(t.spark, name)
 
 
-def _completed(written: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """What a stream wrote, and from the batch twin what it has not: the open tail and late rows."""
-    # stored first: a join right above a session window is not planned correctly
-    batch = session.persist(batch, "batch-twin")
-    return written.unionByName(batch.join(written.select(*keys), keys, "left_anti"))
+#: rows that arrive after the watermark has long passed them
+LATE = "message_id % 53 = 0"
 
 
 @query(
     "stream_land",
     cte("messages") + " SELECT sha256(payload) AS payload_hash, 'webhook' AS source FROM "
-    "(SELECT DISTINCT sender || ' ' || CAST(message_id % 100 AS STRING) AS payload FROM messages)",
+    "(SELECT DISTINCT sender || ' ' || CAST(message_id % 1000 AS STRING) AS payload FROM messages)",
 )
 def stream_land(t):
-    arrivals = _stream(t, "events", binding.MESSAGES).select(
-        F.concat_ws(" ", "sender", (F.col("message_id") % 100).cast("string")).alias("payload"),
-        F.col("sent_at").alias("received_at"),
-    )
-    return jobs.run_to_table(jobs.land(arrivals, "webhook", "60 days"), "stream-land").select("source", "payload_hash")
+    payload = F.concat_ws(" ", "sender", (F.col("message_id") % 1000).cast("string"))
+    sent = t.messages.select(payload.alias("payload"), F.col("sent_at").alias("received_at"))
+    arrivals, _ = _feed(t, jobs.hashed(sent, "webhook"), "received_at", "arrivals", "substr(payload_hash, 1, 1) = 'a'")
+    # copies come again all through the month, some after the state of the first is gone
+    return jobs.run_to_table(jobs.landing("60 days"), arrivals, _path(t, "stream-land"))
 
 
 @query(
@@ -43,11 +61,12 @@ def stream_land(t):
 )
 def stream_messages_dedup(t):
     # every message is sent twice, with its time cut to the hour
-    sent = _stream(t, "events", binding.MESSAGES).select(
-        "interaction_id", "sender", F.date_trunc("hour", "sent_at").alias("sent_at"), F.col("sender").alias("body"),
+    sent = t.messages.select(
+        "interaction_id", "sender", F.date_trunc("hour", "sent_at").alias("sent_at"), F.sha2("sender", 256).alias("body_hash"), "message_id",
         F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
     )
-    return jobs.run_to_table(jobs.dedup_messages(sent), "stream-dedup").select("interaction_id", "sender", "sent_at", "body_hash")
+    arrivals, _ = _feed(t, sent, "sent_at", "messages", LATE)
+    return jobs.run_to_table(jobs.deduplicated(), arrivals, _path(t, "stream-dedup"))
 
 
 _SESSIONS = (
@@ -59,15 +78,10 @@ _SESSIONS = (
 )
 
 
-@query(
-    "settled_threads_stream",
-    cte("messages") + ", " + _SESSIONS + " SELECT * FROM z",
-)
+@query("settled_threads_stream", cte("messages") + ", " + _SESSIONS + " SELECT * FROM z")
 def settled_threads_stream(t):
-    out = jobs.run_to_table(
-        jobs.settled_threads(_stream(t, "events", binding.MESSAGES), "12 hours"), "settled-threads"
-    )
-    return _completed(out, jobs.settled_threads(t.messages, "12 hours"), ["interaction_id", "session_start"])
+    arrivals, _ = _feed(t, t.messages.select("interaction_id", "sent_at", "message_id"), "sent_at", "messages", LATE)
+    return jobs.run_to_table(jobs.settled_threads("12 hours"), arrivals, _path(t, "settled-threads"))
 
 
 @query(
@@ -76,8 +90,10 @@ def settled_threads_stream(t):
     "SELECT * FROM z",
 )
 def windowed_counts(t):
-    out = jobs.run_to_table(jobs.windowed_counts(_stream(t, "events", binding.MESSAGES)), "windowed-counts")
-    return _completed(out, jobs.windowed_counts(t.messages), ["period_start", "sender"])
+    period = F.timestamp_seconds(F.floor(F.unix_seconds("sent_at") / 900) * 900)
+    rows = t.messages.select(period.alias("period_start"), "sender", "sent_at", "message_id")
+    arrivals, _ = _feed(t, rows, "sent_at", "messages", LATE)
+    return jobs.run_to_table(jobs.windowed_counts(), arrivals, _path(t, "windowed-counts"))
 
 
 @query(
@@ -89,47 +105,37 @@ def windowed_counts(t):
     "retries, last_error, updated_at FROM l",
 )
 def job_states_stream(t):
-    return jobs.run_to_table(jobs.job_states(_stream(t, "events", binding.JOB_EVENTS)), "job-states", "complete")
-
-
-def _promises(said: DataFrame) -> tuple[DataFrame, DataFrame]:
-    promises = said.where("sender = 'customer' AND message_id % 2 = 0").select(
-        F.col("message_id").alias("follow_up_id"), F.col("interaction_id").alias("customer_id"),
-        F.lit(1).alias("agent_id"), F.col("sent_at").alias("promised_at"),
-    )
-    contacts = said.where("sender = 'agent'").select(
-        F.col("interaction_id").alias("customer_id"), F.lit(1).alias("agent_id"), F.col("sent_at").alias("started_at"),
-        F.col("message_id").alias("interaction_id"),
-    )
-    return promises, contacts
+    events, lateness = _feed(t, t.job_events, "logged_at", "job-events")
+    return jobs.call_queue(events, _path(t, "call-queue"), lateness=lateness, keep="60 days").read()
 
 
 @query(
     "promise_timer",
-    cte("messages") + ", p AS (SELECT message_id AS follow_up_id, interaction_id, sent_at FROM messages WHERE sender = 'customer' AND message_id % 2 = 0), "
-    "c AS (SELECT interaction_id, sent_at FROM messages WHERE sender = 'agent'), "
-    "f AS (SELECT p.follow_up_id, p.sent_at, min(c.sent_at) AS fulfilled_at FROM p LEFT JOIN c ON c.interaction_id = p.interaction_id "
-    "AND c.sent_at > p.sent_at AND c.sent_at <= p.sent_at + INTERVAL 1 DAY GROUP BY ALL) "
-    "SELECT follow_up_id, fulfilled_at, CASE WHEN fulfilled_at IS NULL THEN 'missed' ELSE 'fulfilled' END AS status FROM f",
+    cte("interactions", "promises") + ", " + FOLLOW_UPS_SQL
+    # at the end of the stream all have lapsed
+    + " SELECT follow_up_id, customer_id, agent_id, promised_at, due_at, CASE status WHEN 'open' THEN 'missed' ELSE status END AS status, "
+    "fulfilled_at, fulfilled_in FROM follow_ups",
 )
 def promise_timer(t):
-    out = jobs.run_to_table(jobs.promise_timer(*_promises(_stream(t, "events", binding.MESSAGES)), "1 day"), "promise-timer")
-    whole = _completed(out, jobs.promise_timer(*_promises(t.messages), "1 day"), ["follow_up_id"])
-    return whole.select("follow_up_id", "fulfilled_at", "status")
+    line = jobs.keyed.promise_line(t.promises, t.interactions)
+    arrivals, lateness = _feed(t, line, "at", "promise-line")
+    return jobs.promise_outcomes(arrivals, _path(t, "promises"), lateness=lateness).read()
 
 
 @query(
-    "promise_outcomes_stream",
-    cte("messages") + ", p AS (SELECT message_id AS follow_up_id, interaction_id, sent_at FROM messages WHERE sender = 'customer' AND message_id % 2 = 0), "
-    "c AS (SELECT interaction_id, sent_at FROM messages WHERE sender = 'agent'), "
-    "f AS (SELECT p.follow_up_id, p.sent_at, min(c.sent_at) AS fulfilled_at FROM p LEFT JOIN c ON c.interaction_id = p.interaction_id "
-    "AND c.sent_at > p.sent_at AND c.sent_at <= p.sent_at + INTERVAL 7 DAY GROUP BY ALL) "
-    "SELECT follow_up_id, fulfilled_at, CASE WHEN fulfilled_at IS NULL THEN 'missed' "
-    "WHEN fulfilled_at <= sent_at + INTERVAL 1 DAY THEN 'fulfilled' ELSE 'late' END AS status FROM f",
+    "thread_debounce",
+    cte("messages") + ", o AS (SELECT *, lead(sent_at) OVER (PARTITION BY interaction_id ORDER BY sent_at, message_id) AS next_at FROM messages), "
+    "m AS (SELECT interaction_id, message_id AS last_id, sent_at AS last_at FROM o WHERE next_at IS NULL OR next_at - sent_at > INTERVAL 12 HOUR) "
+    "SELECT interaction_id AS external_ref, last_id, last_at + INTERVAL 12 HOUR AS settled_at, 0 AS page, "
+    "'[' || string_agg('{\"sender\":\"' || sender || '\",\"message\":\"' || replace(body, '\"', '\\\"') || '\",\"timestamp\":\"' || "
+    "strftime(sent_at, '%Y-%m-%d') || '\"}', ',' ORDER BY message_id) || ']' AS history "
+    "FROM m JOIN messages USING (interaction_id) WHERE sent_at < last_at OR sent_at = last_at AND message_id <= last_id GROUP BY ALL",
 )
-def promise_outcomes_stream(t):
-    def timed(said: DataFrame) -> DataFrame:
-        return jobs.promise_timer(*_promises(said), "1 day", until="7 days")
-
-    out = jobs.run_to_table(timed(_stream(t, "events", binding.MESSAGES)), "promise-outcomes")
-    return _completed(out, timed(t.messages), ["follow_up_id"]).select("follow_up_id", "fulfilled_at", "status")
+def thread_debounce(t):
+    raw = t.messages.select(
+        F.col("interaction_id").alias("external_ref"), F.col("message_id").alias("raw_id"), F.col("sent_at").alias("received_at"), "sender",
+        F.col("body").alias("message"), F.date_format("sent_at", "yyyy-MM-dd").alias("timestamp"),
+    )
+    landed = session.persist(raw, "landed")
+    arrivals, lateness = _feed(t, landed.select("external_ref", "raw_id", "received_at"), "received_at", "arrivals")
+    return jobs.thread_debounce(arrivals, _path(t, "debounce"), "12 hours", lateness, lambda spark: landed)

@@ -1,121 +1,140 @@
 """The batch rules as Structured Streaming jobs.
 
-State is bounded by watermarks. Rows later than the watermark are left to the
-keyed batch sinks, so the final tables agree with a batch run.
+State is bounded by watermarks and timers. Late rows go through ``catchup``, changes of
+keyed state through ``sources.table``, so the final tables agree with a batch run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as Ty
 
-from parley import session
 from parley.functions import text as T
-from parley.operators import calls
+from parley.operators import conversations
+from parley.sources.table import KeyedTable
+from parley.streaming import catchup, keyed
 
 LATENESS = "1 day"
 
 
-def land(arrivals: DataFrame, source: str, lateness: str = LATENESS) -> DataFrame:
-    """At-least-once arrivals (``payload``, ``received_at``) made idempotent by hash."""
-    return (
-        arrivals.select(F.lit(source).alias("source"), "*", T.text_hash(F.col("payload")).alias("payload_hash"))
-        .withWatermark("received_at", lateness)
-        .dropDuplicatesWithinWatermark(["source", "payload_hash"])
+def landing(lateness: str = LATENESS) -> catchup.CaughtUp:
+    """At-least-once arrivals (``source``, ``payload_hash``, ``received_at``) made idempotent by hash.
+
+    A payload sent again within ``lateness`` of the first is dropped by the stream's state.
+    """
+    keys = ["source", "payload_hash"]
+    return catchup.CaughtUp(
+        lambda rows: rows.dropDuplicatesWithinWatermark(keys).select(*keys), lambda rows: rows.select(*keys).distinct(), keys, "received_at", lateness
     )
 
 
-def dedup_messages(messages: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Messages of threads that are sent again in full, each kept once."""
-    return (
-        messages.withColumn("body_hash", T.text_hash(F.col("body")))
-        .withWatermark("sent_at", lateness)
-        .dropDuplicates(["interaction_id", "sender", "sent_at", "body_hash"])
-    )
+def hashed(arrivals: DataFrame, source: str) -> DataFrame:
+    """Payloads (``payload``, ``received_at``) with the hash that tells copies."""
+    return arrivals.select(F.lit(source).alias("source"), T.text_hash(F.col("payload")).alias("payload_hash"), "received_at")
+
 
+def deduplicated(lateness: str = LATENESS) -> catchup.CaughtUp:
+    """Messages of threads that are sent again in full, each kept once (interaction_id, sender, sent_at, body_hash)."""
+    keys = ["interaction_id", "sender", "sent_at", "body_hash"]
+    return catchup.CaughtUp(
+        lambda rows: rows.select(*keys).dropDuplicates(keys), lambda rows: rows.select(*keys).distinct(), keys, "sent_at", lateness
+    )
 
-def settled_threads(messages: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Threads quiet for ``gap``, given out once the watermark has passed their end.
 
-    A gap of one minute is the debounce of the per-message path.
-    """
+def _sessions(messages: DataFrame, gap: str) -> DataFrame:
     return (
-        messages.withWatermark("sent_at", lateness)
-        .groupBy("interaction_id", F.session_window("sent_at", gap).alias("session"))
+        messages.groupBy("interaction_id", F.session_window("sent_at", gap).alias("session"))
         .agg(F.count(F.lit(1)).alias("messages"))
-        .select(
-            "interaction_id", F.col("session.start").alias("session_start"),
-            F.col("session.end").alias("settled_at"), "messages",
-        )
+        .select("interaction_id", F.col("session.start").alias("session_start"), F.col("session.end").alias("settled_at"), "messages")
     )
 
 
-def windowed_counts(events: DataFrame, width: str = "15 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Volume per channel and poll period, for the run log."""
-    return (
-        events.withWatermark("sent_at", lateness)
-        .groupBy(F.window("sent_at", width).alias("w"), "sender")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("period_start"), "sender", "n")
-    )
+def settled_threads(gap: str = "30 minutes", lateness: str = LATENESS) -> catchup.CaughtUp:
+    """Threads quiet for ``gap``, given out once the watermark has passed their end; a late message makes its thread's sessions anew."""
+    rule = lambda rows: _sessions(rows, gap)
+    return catchup.CaughtUp(rule, rule, ["interaction_id"], "sent_at", lateness, "settled_at <= watermark")
+
+
+def windowed_counts(width: str = "15 minutes", lateness: str = LATENESS) -> catchup.CaughtUp:
+    """Volume per channel and poll period, for the run log. Arrivals carry their ``period_start``."""
+
+    def stream(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(F.window("sent_at", width).alias("w"), "sender").agg(F.count(F.lit(1)).alias("n"))
+        return counts.select(F.col("w.start").alias("period_start"), "sender", "n")
 
+    def batch(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("period_start", "sender").agg(F.count(F.lit(1)).alias("n"))
 
-def promise_timer(
-    promises: DataFrame, contacts: DataFrame, within: str = "30 days", lateness: str = LATENESS,
-    until: str | None = None,
-) -> DataFrame:
-    """First contact of the same agent with the same customer after a promise and
-    within its deadline; a promise the deadline passes comes out as missed.
+    return catchup.CaughtUp(stream, batch, ["period_start", "sender"], "sent_at", lateness, f"period_start + INTERVAL {width} <= watermark")
 
-    With ``until``, longer than ``within``, contacts count up to that long after the
-    promise: one after the deadline makes it late, none by then missed.
 
-    The outer join holds state only for the interval. The least contact is then
-    taken per promise, keyed with the promise's own time so that its state ends too.
+def run_to_table(spec: catchup.CaughtUp, arrivals: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what is there and read its table, late rows merged."""
+    spec.start(arrivals, path).awaitTermination()
+    return spec.table(arrivals.sparkSession, path, arrivals.schema)
+
+
+def run_to_keyed_table(changes: DataFrame, table: KeyedTable, state: str, order: str | None = None, when: str | None = None) -> KeyedTable:
+    """Run a stream of changed keys over what is there; each micro-batch is one commit of its keys.
+
+    ``order`` picks the last of several changes of a key in one micro-batch, ``when`` the stored
+    rows (``old``) that may change.
     """
-    p = promises.select(
-        "follow_up_id", F.col("customer_id").alias("p_customer"), F.col("agent_id").alias("p_agent"), "promised_at"
-    ).withWatermark("promised_at", lateness)
-    c = contacts.select("customer_id", "agent_id", "started_at", "interaction_id").withWatermark("started_at", lateness)
-    near = F.expr(
-        "p_customer = customer_id AND p_agent = agent_id AND started_at > promised_at "
-        f"AND started_at <= promised_at + INTERVAL {until or within}"
-    )
-    first = F.min(F.when(F.col("started_at").isNotNull(), F.struct("started_at", "interaction_id"))).alias("first")
-    on_time = F.max(F.col("started_at") <= F.col("promised_at") + F.expr(f"INTERVAL {within}")).alias("on_time")
-    return (
-        p.join(c, near, "leftOuter")
-        .groupBy("follow_up_id", F.window("promised_at", "1 day").alias("day"))
-        .agg(first, on_time)
-        .select(
-            "follow_up_id", F.col("first.started_at").alias("fulfilled_at"),
-            F.col("first.interaction_id").alias("fulfilled_in"),
-            F.when(F.col("first").isNull(), "missed").when(F.col("on_time"), "fulfilled").otherwise("late").alias("status"),
-        )
-    )
+    columns = [c for c in changes.columns if c not in table.key]
+
+    def keep(rows: DataFrame, number: int) -> None:
+        if order is not None:
+            rows = rows.groupBy(*table.key).agg(F.max_by(F.struct(*columns), F.expr(order)).alias("r")).select(*table.key, "r.*")
+        table.upsert(rows, "stream", number, when=None if when is None else F.expr(when))
 
+    writer = changes.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    return table
 
-def job_states(events: DataFrame, max_retries: int = calls.MAX_RETRIES) -> DataFrame:
-    """Queue state per call, updated as steps arrive: the batch fold, unchanged."""
-    return calls.job_state_fold(events, max_retries)
+
+def promise_outcomes(line: DataFrame, path: str, **rule: str) -> KeyedTable:
+    """Status of every promise, kept as it changes."""
+    table = KeyedTable(line.sparkSession, f"{path}/table", keyed.OUTCOME, ["follow_up_id"])
+    return run_to_keyed_table(keyed.promise_timer(line, **rule), table, f"{path}/state", keyed.SETTLED)
+
+
+def call_queue(events: DataFrame, path: str, **rule: str) -> KeyedTable:
+    """State of every call, kept as its steps arrive; a micro-batch writes the calls it names."""
+    table = KeyedTable(events.sparkSession, f"{path}/table", keyed.CALL_STATE, ["uniqueid"])
+    return run_to_keyed_table(keyed.call_states(events, **rule), table, f"{path}/state", when=keyed.OPEN_CALL)
+
+
+def rebuild_settled(marks: DataFrame, raw: DataFrame) -> DataFrame:
+    """Whole threads up to the arrival that settled them, in pages: (external_ref, last_id, settled_at, page, history).
+
+    ``raw`` has external_ref, raw_id, received_at, sender, message and timestamp. One thread
+    may settle several times, each time with all that came before.
+    """
+    last = marks.select("external_ref", F.col("raw_id").alias("last_id"), "last_at", "settled_at")
+    upto = F.struct("received_at", "raw_id") <= F.struct("last_at", "last_id")
+    told = raw.join(last, "external_ref").where(upto)
+    return conversations.collect_thread(told, keys=("external_ref", "last_id", "settled_at"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read the table it wrote.
+def thread_debounce(arrivals: DataFrame, path: str, gap: str = "1 minute", lateness: str = "10 minutes", landed: Callable[[SparkSession], DataFrame] | None = None) -> DataFrame:
+    """Threads that nothing has followed for ``gap``, each rebuilt from its landed arrivals.
 
-    Append output goes to a file sink. Other modes rewrite the whole result per
-    batch, keeping the last.
+    A micro-batch names the threads that have settled; only their arrivals are read again.
+    ``landed`` reads the table that the arrivals stream from.
     """
-    spark = stream.sparkSession
-    path, state = session.shared_folder(spark, name), session.shared_folder(spark, f"{name}-state")
-    writer = stream.writeStream.queryName(name.replace("-", "_")).option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query: StreamingQuery = writer.outputMode("append").format("parquet").start(path)
-    else:
-        def keep(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
-
-        query = writer.outputMode(mode).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    spark = arrivals.sparkSession
+    marks = keyed.settled_arrivals(arrivals.select("external_ref", "raw_id", "received_at"), gap, lateness)
+
+    def keep(rows: DataFrame, number: int) -> None:
+        # stored first, since the join below would run the state again
+        rows.write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        settled = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/marks/batch={number}")
+        rebuild_settled(settled, landed(rows.sparkSession)).write.mode("overwrite").parquet(f"{path}/threads/batch={number}")
+
+    writer = marks.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    schema = Ty.StructType.fromDDL("external_ref string, last_id long, settled_at timestamp, page int, history string")
+    return spark.read.schema(schema).parquet(f"{path}/threads").drop("batch")

@@ -53,7 +53,7 @@ def test_too_little_of_the_rubric(spark):
     only = {**PARTIAL, "offer": nothing(M[1])}
     r = sc.final_scores(run(spark, judgement(**only))).first()
     assert (r.final_score, r.gradeable, r.rejected) == (None, False, False)
-    assert "not gradeable" in " ".join(sc.merge_warnings(run(spark, judgement(**only))).first().warnings)
+    assert "no grade: 15 percent of the weights" in " ".join(sc.merge_warnings(run(spark, judgement(**only))).first().warnings)
 
 
 def test_as_originally_written(spark):
