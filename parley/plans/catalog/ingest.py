@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from parley import session
@@ -217,12 +219,69 @@ def conditional_upsert_jobs(t):
 
 @query(
     "rebuild_and_log",
-    cte("customers") + " SELECT 'nightly_aggregate' AS job_name, 'succeeded' AS status, count(*) AS items_ok, "
-    "'{\"rows_rebuilt\":' || CAST(count(*) AS STRING) || '}' AS detail FROM customers WHERE is_merged_into IS NULL",
+    cte("customers") + " SELECT 'nightly_aggregate' AS job_name, 'succeeded' AS status, count(*) AS items_in, "
+    "count(*) FILTER (WHERE is_merged_into IS NULL) AS items_ok, count(*) FILTER (WHERE primary_phone_e164 IS NULL) AS items_failed, "
+    "CAST(NULL AS VARCHAR) AS error, '{\"customers\":' || count(*) || ',\"rebuilt\":' || count(*) FILTER (WHERE is_merged_into IS NULL) || '}' AS detail "
+    "FROM customers UNION ALL SELECT 'nightly_aggregate', 'failed', count(*), 0, count(*) FILTER (WHERE primary_phone_e164 IS NULL), "
+    "'RuntimeError: the store is full', '{\"customers\":' || count(*) || '}' FROM customers",
 )
 def rebuild_and_log(t):
-    path = session.shared_folder(t.spark, "customer-metrics")
-    seen = sinks.rebuild(ro.unmerged(t.customers), path)
-    written = t.spark.read.parquet(path)
-    log = sinks.run_log(written, "nightly_aggregate", "succeeded", t.as_of).drop("finished_at")
-    return log.where(F.col("items_ok") == seen.get["rows"])
+    log, path = session.shared_folder(t.spark, "job-runs"), session.shared_folder(t.spark, "customer-metrics")
+    with sinks.JobRun(t.spark, log, "nightly_aggregate") as run:
+        customers = session.persist(run.stage(t.customers, "customers", failed=F.col("primary_phone_e164").isNull()), "customers")
+        run.ran("customers")
+        run.stage(ro.unmerged(customers), "rebuilt").write.parquet(path)
+        run.ran("rebuilt")
+    # a second run, which fails after its first stage
+    try:
+        with sinks.JobRun(t.spark, log, "nightly_aggregate") as run:
+            session.persist(run.stage(t.customers, "customers", failed=F.col("primary_phone_e164").isNull()), "customers")
+            run.ran("customers")
+            raise RuntimeError("the store is full")
+    except RuntimeError:
+        pass
+    return sinks.job_runs(t.spark, log).select("job_name", "status", "items_in", "items_ok", "items_failed", "error", "detail")
+
+
+@query(
+    "list_recordings",
+    cte("recordings_base") + " SELECT 'ext=' || ext || '-' || kind AS folder, count(DISTINCT file_id) > 0 AS has_rows, 1 AS files, 'once' AS streamed "
+    "FROM recordings_base GROUP BY ext, kind",
+)
+def list_recordings(t):
+    # one file for each folder of recordings; the stream is stopped and started again
+    path, state = session.shared_folder(t.spark, "recordings"), session.shared_folder(t.spark, "listing-state")
+    base = t.recordings_base
+    rows = base.select("file_id", F.concat_ws("-", "ext", "kind").alias("ext"))
+    rows.repartition("ext").write.partitionBy("ext").parquet(path)
+    seen = session.shared_folder(t.spark, "listed")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{seen}/batch={number}")
+
+    for _ in range(2):
+        # the clock has to pass the files' times
+        time.sleep(1.5)
+        stream = rec.stream_recordings(t.spark, path, suffix=".parquet").writeStream.foreachBatch(keep).option("checkpointLocation", state)
+        stream.trigger(once=True).start().awaitTermination()
+    listed = rec.list_recordings(t.spark, path, suffix=".parquet")
+    found = listed.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.max(F.col("size_bytes") > 0).alias("has_rows"))
+    once = t.spark.read.schema(listed.schema).parquet(seen).groupBy("folder").agg(F.count(F.lit(1)).alias("times"))
+    return found.join(once, "folder", "left").select(
+        "folder", "has_rows", F.col("files").cast("int").alias("files"), F.when(F.col("times") == F.col("files"), "once").alias("streamed")
+    )
+
+
+@query(
+    "read_raw_payloads",
+    cte("payloads") + ", f AS (SELECT arrival_id // 49 AS file, arg_min(payload::JSON, arrival_id) AS b FROM payloads WHERE arrival_id % 5 >= 2 GROUP BY 1) "
+    "SELECT coalesce(b->>'$.conversation_id', b->>'$.Dialog') AS external_id, nullif(b->>'$.deal_info.ASSIGNED_BY_ID', '') AS agent_external_id FROM f",
+)
+def read_raw_payloads(t):
+    # a file for each forty-nine arrivals, an array of their payloads of which the first is read
+    path = session.shared_folder(t.spark, "payloads")
+    bare = t.payloads.where("arrival_id % 5 >= 2").groupBy(F.floor(F.col("arrival_id") / 49).alias("file"))
+    arrays = bare.agg(F.array_sort(F.collect_list(F.struct("arrival_id", "payload"))).alias("rows"))
+    text = F.concat(F.lit("["), F.array_join("rows.payload", ",\n"), F.lit("]"))
+    arrays.select("file", text.alias("value")).write.partitionBy("file").text(path)
+    return pl.parse_chats(pl.read_raw_payloads(t.spark, path).select("payload")).select("external_id", "agent_external_id")

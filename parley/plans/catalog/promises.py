@@ -19,6 +19,19 @@ _MADE = (
 )
 
 
+@query(
+    "fuzzy_name_candidates",
+    cte("customers") + ", w AS (SELECT customer_id, '  ' || unnest(regexp_extract_all(lower(display_name), '[\\p{L}\\p{N}]+')) || ' ' AS w FROM customers), "
+    "g AS (SELECT DISTINCT customer_id, substr(w, i, 3) AS g FROM (SELECT customer_id, w, unnest(range(1, length(w) - 1)) AS i FROM w)), "
+    "n AS (SELECT customer_id, count(*) AS n FROM g GROUP BY 1), "
+    "c AS (SELECT a.customer_id AS a, b.customer_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.customer_id < b.customer_id GROUP BY ALL) "
+    "SELECT a AS customer_id_a, b AS customer_id_b, round_even(c / CAST(x.n + y.n - c AS DOUBLE), 4) AS similarity "
+    "FROM c JOIN n x ON x.customer_id = a JOIN n y ON y.customer_id = b WHERE c * 100 >= 85 * (x.n + y.n - c)",
+)
+def fuzzy_name_candidates(t):
+    return idn.fuzzy_name_candidates(t.customers, "customer_id", "display_name", 0.85)
+
+
 @query(
     "resolve_identity",
     cte("interactions", "customers") + ", created AS (SELECT customer_phone_e164 AS p, sha256(customer_phone_e164) AS id "

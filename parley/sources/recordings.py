@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.sources import listing
 
-def list_recordings(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
-    """Listing of audio files; the contents are never read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    return reader.load(path).select(
-        F.col("path").alias("file_id"),
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-    )
+
+def list_recordings(spark: SparkSession, path: str, since: str | None = None, suffix: str = ".wav") -> DataFrame:
+    """Listing of audio files below ``path``, by the data source of ``listing``; the contents are never read."""
+    listing.register(spark)
+    reader = spark.read.format("recording_listing").option("path", path).option("suffix", suffix)
+    return (reader.option("since", since) if since else reader).load()
+
+
+def stream_recordings(spark: SparkSession, path: str, since: str | None = None, suffix: str = ".wav") -> DataFrame:
+    """The same listing as a stream: each file once, also over restarts."""
+    listing.register(spark)
+    reader = spark.readStream.format("recording_listing").option("path", path).option("suffix", suffix)
+    return (reader.option("since", since) if since else reader).load()
 
 
 def scan_since(listing: DataFrame, since: Column, limit: int | None = None, after: Column | None = None) -> DataFrame:
