@@ -8,7 +8,8 @@ parallel; updates run row by row in one task over packed features. Scores are sp
 dot products over whole texts.
 
 Defined cases: a text without words scores the intercept; null labels and null ids are
-not learnt from; a sample without rows gives weights of zero and scores of a half.
+not learnt from; an id counts once, however many rows it has; a sample without rows gives
+weights of zero and scores of a half.
 """
 
 from __future__ import annotations
@@ -210,15 +211,19 @@ def remainder(id_col: str, n: int):
 
 
 def sample(labels: DataFrame, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, y) of the ``max_rows`` rows of least id hash; ``labels`` has the id and y."""
+    """(id, y) of the ``max_rows`` ids of least hash; ``labels`` has the id and y. Where labels of an id differ, y is their mean."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col("y").isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("y").cast("double").alias("y"))
-    return rows.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    return rows.groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, features: Callable, counted: bool, id_col: str = "doc_id", text_col: str = "text", **settings) -> Linear:
-    """Learn from ``labelled`` (id, y), a bounded sample; y may be a probability."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(small(labelled), "id").select("id", "y", "text").mapInArrow(_packed(features, counted), "id long, y double, body binary")
+    """Learn from ``labelled`` (id, y), a bounded sample; y may be a probability.
+
+    Of rows that share an id, the one of the least text hash is learnt from.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).alias("row"))
+    once = texts.join(small(labelled), "id").groupBy("id", "y").agg(F.min("row").alias("row"))
+    rows = once.select("id", "y", "row.text").mapInArrow(_packed(features, counted), "id long, y double, body binary")
     settings = {"epochs": 3, "alpha": 0.5, "beta": 1.0, "l1": 0.5, "l2": 0.5} | settings
     found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_learn(settings), "body binary").collect()
     weights, bias = np.zeros(1 << BITS, np.float32), 0.0

@@ -247,16 +247,83 @@ def test_label_model_finds_good_voters(spark):
 
 
 def test_segmentations_are_summed():
-    table = np.array(sorted(int.from_bytes(x, "big") for x in (b" ", b"a", b"b", b"ab", b" a", b"bab")), np.uint64)
+    known = [b" ", b"a", b"b", b"ab", b" a", b"bab", b"abababababab"]
+    table = langid.Vocabulary(known)
+    price = {p: 0.05 + 0.03 * i for i, p in enumerate(known)}
+    by_hash = {langid.spans.mix(langid._prefixes(np.frombuffer(p, np.uint8)[None, :])[:, -1])[0]: p for p in known}
+    probability = np.append([price[by_hash[h]] for h in table.hashes], 0.0)[:, None] * np.array([[1.0, 0.5]])
+
+    def total(word, share):
+        sums = [1.0]
+        for j in range(1, len(word) + 1):
+            sums.append(sum(share * p * sums[j - len(x)] for x, p in price.items() if word[:j].endswith(x) and len(x) <= j))
+        return sums[-1]
+
+    for word in (b" abab", b" ", b" ababababababab", b" " + b"ab" * 40):
+        got = langid._word_logs(np.frombuffer(word, np.uint8)[None, :], table, probability)[0]
+        assert got == pytest.approx([np.log(total(word, 1.0)), np.log(total(word, 0.5))])
+    # a long word neither underflows nor is cut
+    long = langid._word_logs(np.frombuffer(b" " + b"ab" * 5000, np.uint8)[None, :], table, probability)[0]
+    short = langid._word_logs(np.frombuffer(b" " + b"ab" * 2500, np.uint8)[None, :], table, probability)[0]
+    assert np.all(np.isfinite(long)) and long == pytest.approx(2 * short, rel=1e-2)
+
+
+def test_every_piece_takes_part():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    known, table = langid.pieces(path), langid.vocabulary(path)
+    assert len(known) == len(table) > 31_000 and max(map(len, known)) > 16
+    for piece in known:
+        lattice = langid.Lattice(np.frombuffer(piece, np.uint8)[None, :], table)
+        assert lattice.ids[len(piece)][0, 0] < len(table)
+
+
+def test_expected_uses_are_those_of_all_segmentations():
+    known = [b" ", b"a", b"b", b"ab", b" a", b"bab"]
+    table = langid.Vocabulary(known)
     probability = np.append(np.linspace(0.1, 0.3, len(table)), 0.0)[:, None]
-    word = b" abab"
-    price = {int(v).to_bytes(8, "big").lstrip(b"\0"): probability[i, 0] for i, v in enumerate(table)}
-
-    def total(rest):
-        return 1.0 if not rest else sum(p * total(rest[len(x) :]) for x, p in price.items() if rest.startswith(x))
-
-    ids = langid._lattice(np.frombuffer(word, np.uint8)[None, :], table)
-    assert langid._forward(ids, probability)[-1][0, 0] == pytest.approx(total(word))
+    names = {langid.spans.mix(langid._prefixes(np.frombuffer(p, np.uint8)[None, :])[:, -1])[0]: p for p in known}
+    price = {names[h]: probability[i, 0] for i, h in enumerate(table.hashes)}
+
+    def ways(rest):
+        if not rest:
+            yield 1.0, []
+        for x, p in price.items():
+            if rest.startswith(x):
+                for q, used in ways(rest[len(x) :]):
+                    yield p * q, [x, *used]
+
+    every = list(ways(b" ababab"))
+    mass = sum(p for p, _ in every)
+    want = {x: 3 * sum(p * used.count(x) for p, used in every) / mass for x in known}
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa"]), pa.array([b"ababab"], pa.binary()), pa.array([3], pa.int64())], ["lang", "word", "n"])
+    got = {names[table.hashes[i]]: n for b in langid._expected(table, probability, ["aa"])(iter([batch])) for i, n in zip(b.column("piece").to_pylist(), b.column("n").to_pylist())}
+    assert got == pytest.approx({x: n for x, n in want.items() if n})
+
+
+def test_an_id_on_many_rows_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(1, 30)] + [(1, 0.0)], "doc_id long, y double")
+    known = linear.sample(labels, 100)
+    assert {r.id: r.y for r in known.collect()}[1] == 0.5 and known.count() == 29
+    seen = []
+    learn = linear._learn
+
+    def counted(settings):
+        run = learn(settings)
+
+        def rows(table):
+            if table.num_rows > 29:
+                raise ValueError(f"{table.num_rows} rows")
+            return run(table)
+
+        return rows
+
+    linear._learn = counted
+    try:
+        linear.fit(docs, known, linear.style_features, counted=True)
+    finally:
+        linear._learn = learn
+    assert not seen
 
 
 def test_language_id(spark, corpus):
