@@ -1,4 +1,8 @@
-"""From documents to token ids, in five stages, each over all that the one before kept."""
+"""From documents to token ids, in five stages, each over all that the one before kept.
+
+All stages keep null ids and null or empty texts unless they say otherwise, work on whole
+texts, carry columns that documents have beside their own, and give an empty table for one.
+"""
 
 from __future__ import annotations
 
@@ -27,24 +31,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. A null id is in no group."""
+    """One document of each group of near copies: that of the smallest id. A null id is in no group.
+
+    Rows of one id are one document: they stay or go together.
+    """
     found = similar_components(docs, n=SHINGLE, percent=SIMILAR)
     gone = persist(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier document has."""
-    found = remove_repeats(docs, window=PASSAGE, carry=("lang", "source", "n_chars"), tidy=False)
-    size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", size.alias("n_chars")).select(docs.columns)
+    """All documents, without passages that a document of a smaller id has; other columns stay as they are."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # one column of numbered fields, so that no name can meet those of the result
+    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest))).alias("_rest"))
+    found = remove_repeats(held, window=PASSAGE, carry=("_rest",), tidy=False)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{c: F.col(f"_rest._{i}") for i, c in enumerate(rest)}}
+    if "n_chars" in rest:
+        size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(columns["n_chars"])
+        columns["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return found.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stands in benchmark windows."""
+    """Documents of which less than a twentieth of the words stands in benchmark windows; all rows of an id go if one does."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=BENCHMARK)
     gone = persist(found.where("n_hit > 0 and n_hit * 20 >= n_words").select("doc_id").distinct(), "contaminated")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
