@@ -7,15 +7,18 @@ import corpus_pipeline
 
 
 @pytest.fixture(scope="module")
-def docs(spark):
+def docs(spark, tmp_path_factory):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"first {passage} end"), (2, f"second\n{passage} other end"), (3, None), (4, ""), (None, f"no id {passage}"), (5, "short text"), (5, "short text")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     # columns of other kinds, and with names that operators use
-    return df.withColumns({
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    df.withColumns({
         "lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "extra": F.array(F.lit(1), F.lit(2)),
         "n_words": F.lit("x"), "kept": F.lit(True), "a.b": F.col("doc_id") * 10, "_key": F.lit("k"), "shard": F.lit(1.5),
-    })
+    }).write.parquet(path)
+    # stages read what was written
+    return spark.read.parquet(path)
 
 
 def test_substring_stage_carries_all_columns(spark, docs):
