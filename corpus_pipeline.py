@@ -43,10 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that a document of a smaller id has; other columns stay as they are."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # one column of numbered fields, so that no name can meet those of the result
-    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest))).alias("_rest"))
-    found = remove_repeats(held, window=PASSAGE, carry=("_rest",), tidy=False)
-    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{c: F.col(f"_rest._{i}") for i, c in enumerate(rest)}}
+    # numbered, so that no name can meet those of the result
+    held = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)))
+    found = remove_repeats(held, window=PASSAGE, carry=tuple(f"_{i}" for i in range(len(rest))), tidy=False)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{c: F.col(f"_{i}") for i, c in enumerate(rest)}}
     if "n_chars" in rest:
         size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(columns["n_chars"])
         columns["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
