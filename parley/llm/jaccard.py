@@ -154,6 +154,7 @@ def _prefixes(n: int, percent: int, shards: int, sketch):
     return run
 
 
+@spans.giving_back
 def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of one token range: (token, id) where two sets or more have the token."""
     packs = [spans.unpack(x.as_py()) for x in table.column("body")]

@@ -115,7 +115,7 @@ def _packed(features: Callable, counted: bool):
         for whole in batches:
             for part in spans.blocks(whole):
                 bounds, place, value = vectors(features, part.column("text"), counted)
-                body = [spans.pack(place[a:b].astype(np.uint32), value[a:b].astype(np.float16)) for a, b in zip(bounds, bounds[1:])]
+                body = [spans.pack(place[a:b].astype(np.uint32), value[a:b]) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(body, pa.binary())], ["id", "y", "body"])
 
     return run
@@ -131,6 +131,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int, alpha: f
     for epoch in range(epochs):
         for i in np.random.Generator(np.random.PCG64(epoch)).permutation(len(rows)):
             place, value, y = rows[i]
+            place, value = place.astype(np.int64), value.astype(np.float64)
             zi, ni = z[place], n[place]
             w = np.where(np.abs(zi) > l1, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
             b = -bias[0] / ((beta + np.sqrt(bias[1])) / alpha)
@@ -147,12 +148,11 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int, alpha: f
 
 
 def _learn(settings: dict):
+    @spans.giving_back
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")  # the order of arrival does not count
-        rows = []
-        for body, y in zip(table.column("body"), table.column("y").to_pylist(), strict=True):
-            place, value = spans.unpack(body.as_py())
-            rows.append((place.astype(np.int64), value.astype(np.float64), y))
+        # places and values as they came, 8 bytes each pair; a row is widened when it is its turn
+        rows = [(*spans.unpack(body.as_py()), y) for body, y in zip(table.column("body"), table.column("y").to_pylist(), strict=True)]
         w, b = ftrl(rows, **settings)
         at = np.flatnonzero(w)
         return pa.table({"body": pa.array([spans.pack(at.astype(np.uint32), w[at], np.array([b]))], pa.binary())})

@@ -9,8 +9,10 @@ process. Null texts have no words.
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +152,7 @@ def inside(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
 def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch or table in slices of about ``limit`` bytes of text and at most ``BLOCK_ROWS`` rows.
 
-    One long text is a slice of its own.
+    One long text is a slice of its own. Memory that the slices needed is given back at the end.
     """
     column = batch.column(text)
     sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -161,6 +163,7 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         to = max(at + 1, min(at + BLOCK_ROWS, int(np.searchsorted(total, before + limit, "right"))))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def dense(row: np.ndarray, value: np.ndarray, bits: int = 52) -> tuple[np.ndarray, np.ndarray]:
@@ -226,6 +229,20 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def giving_back(run: Callable) -> Callable:
+    """A function of one group that returns the memory it freed once its result is made."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        try:
+            return run(*args)
+        finally:
+            give_back()
+
+    wrapped.__signature__ = inspect.signature(run)  # Spark tells by the arguments what to pass
+    return wrapped
+
+
 def shard_of(values: np.ndarray, shards: int) -> np.ndarray:
     """Which of ``shards`` equal ranges each 64-bit hash is in."""
     return ((values >> U(32)) * U(shards) >> U(32)).astype(np.int64)

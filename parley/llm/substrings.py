@@ -138,6 +138,7 @@ def _table_ids(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _candidates(window: int, shards: int):
+    @spans.giving_back
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Of one bucket: its minimizers with their number of documents, dealt to the shards."""
         found = []
@@ -154,6 +155,7 @@ def _candidates(window: int, shards: int):
     return run
 
 
+@spans.giving_back
 def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of one shard: for each bucket, its minimizers that two documents or more have, and which are hot."""
     packs = [spans.unpack(x.as_py()) for x in table.column("body")]
@@ -170,6 +172,7 @@ def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _segments(window: int, shards: int):
+    @spans.giving_back
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, repeated: pa.Table) -> pa.Table:
         """Of one bucket: its distinct segments for the shards, and the windows settled here, which only pass through one."""
         packs = [spans.unpack(x.as_py()) for x in repeated.column("body")]
@@ -245,6 +248,7 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _search(window: int):
+    @spans.giving_back
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Of one shard: the windows that also stand in an earlier document, as (key, start, words) by bucket."""
         settled = pc.equal(table.column("settled"), True)
@@ -296,6 +300,7 @@ def _search(window: int):
 
 
 def _remove(carry: list[str], tidy: bool):
+    @spans.giving_back
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, hits: pa.Table) -> pa.Table:
         """Of one bucket: each document without the words of its repeated windows."""
         packs = [spans.unpack(x.as_py()) for x in hits.column("body")]
