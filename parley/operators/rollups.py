@@ -259,20 +259,30 @@ def consent_current(consents: DataFrame) -> DataFrame:
 
 
 def real_asks(analyses: DataFrame, interactions: DataFrame) -> DataFrame:
-    """Flagged real inquiries with what was asked and the first quote."""
-    v = F.try_parse_json("payload")
-    asked = analyses.withColumn("v", v).where(
-        F.try_variant_get("v", "$.real_ask.is_real_inquiry", "boolean")
+    """Flagged real inquiries with what was asked and the first quote.
+
+    The flag is tested inside a generator: a filter would be pushed down to the scan and
+    parse every answer there once more.
+    """
+    v = F.col("v")
+
+    def text(path: str, name: str) -> Column:
+        return F.try_variant_get(v, f"$.{path}", "string").alias(name)
+
+    row = F.struct(
+        text("summary_ar", "summary_ar"),
+        F.to_json(F.try_variant_get(v, "$.real_ask.products", "variant")).alias("products"),
+        text("commercial.lead_temperature", "lead_temperature"), text("commercial.buying_stage", "buying_stage"),
+        text("real_ask.evidence[0].quote", "evidence_quote"), F.col("updated_at").alias("analyzed_at"),
     )
-    return asked.join(
+    real = F.try_variant_get(v, "$.real_ask.is_real_inquiry", "boolean")
+    asked = analyses.select("interaction_id", "updated_at", F.try_parse_json("payload").alias("v"))
+    asked = asked.select("interaction_id", F.inline(F.when(real, F.array(row))))
+    found = asked.join(
         interactions.select("interaction_id", "started_at", "customer_phone_e164", "customer_phone_raw"),
         "interaction_id",
-    ).select(
-        "interaction_id", "started_at", "customer_phone_e164", "customer_phone_raw",
-        F.try_variant_get("v", "$.summary_ar", "string").alias("summary_ar"),
-        F.to_json(F.try_variant_get("v", "$.real_ask.products", "variant")).alias("products"),
-        F.try_variant_get("v", "$.commercial.lead_temperature", "string").alias("lead_temperature"),
-        F.try_variant_get("v", "$.commercial.buying_stage", "string").alias("buying_stage"),
-        F.try_variant_get("v", "$.real_ask.evidence[0].quote", "string").alias("evidence_quote"),
-        F.col("updated_at").alias("analyzed_at"),
+    )
+    return found.select(
+        "interaction_id", "started_at", "customer_phone_e164", "customer_phone_raw", "summary_ar", "products",
+        "lead_temperature", "buying_stage", "evidence_quote", "analyzed_at",
     ).orderBy(F.desc("started_at"), "interaction_id")

@@ -24,7 +24,7 @@ def parsed(judgements: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
     """Judgements with their ``stage_reached``, ``modules``, ``items`` (one per rubric
     criterion), ``cited`` evidence, ``behavior_flags`` and ``top_strength``."""
     kept = [c for c in judgements.columns if c != "payload"]
-    read = judgements.select(*kept, S.read(F.col("payload")).alias("__j")).select(
+    read = judgements.select(*kept, S.read(F.col("payload"), rubric).alias("__j")).select(
         *kept,
         F.col("__j.stage_reached").alias("stage_reached"),
         F.col("__j.modules").alias("modules"),
@@ -274,22 +274,33 @@ def evaluation_report(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
     return final_scores(p, rubric).select(KEY, F.inline(F.when(~F.col("rejected"), report)))
 
 
-def stored_evaluations(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
-    """Rows of the evaluations table, with the short module names it uses."""
-    short = {
-        "module1_reception": "m1_reception", "module2_offer": "m2_offer",
-        "module3_objections": "m3_objections", "module4_followup": "m4_followup",
-        "module5_closing": "m5_closing",
-    }
-    return _usable(
-        final_scores(p, rubric),
-        KEY, "input_type", F.lit(rubric.version).alias("rubric_version"),
-        F.col("final_score").cast("decimal(5,2)").alias("final_score"), "performance_level",
+SHORT = {
+    "module1_reception": "m1_reception", "module2_offer": "m2_offer",
+    "module3_objections": "m3_objections", "module4_followup": "m4_followup",
+    "module5_closing": "m5_closing",
+}
+
+
+def _evaluation(rubric: R.Rubric) -> list[Column]:
+    return [
+        F.lit(rubric.version).alias("rubric_version"),
+        F.col("final_score").cast("decimal(5,2)").alias("final_score"), F.col("performance_level"),
         F.col("weight_applied").cast("decimal(4,3)").alias("weight_applied"),
-        *[F.col(m).cast("decimal(5,2)").alias(s) for m, s in short.items()],
+        *[F.col(m).cast("decimal(5,2)").alias(s) for m, s in SHORT.items()],
         F.nullif("stage_reached", F.lit("")).alias("stage_reached"),
-        "behavior_flags", "top_strength",
-    )
+        F.col("behavior_flags"), F.col("top_strength"),
+    ]
+
+
+def evaluation_columns(scored: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
+    """Every scored judgement, rejected ones included, with the columns of the evaluations table."""
+    mine = [c for c in scored.columns if c in ("judgement", "rejected")]
+    return scored.select(*mine, *_evaluation(rubric))
+
+
+def stored_evaluations(p: DataFrame, rubric: R.Rubric = R.DEFAULT) -> DataFrame:
+    """Rows of the evaluations table, with the short module names it uses."""
+    return _usable(final_scores(p, rubric), KEY, "input_type", *_evaluation(rubric))
 
 
 # Shape of the first-pass answer that later tables read.

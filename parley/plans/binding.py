@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import rubric
+from parley.session import spread
 
 _STR = "CAST({} AS STRING)".format
 _LINE_ID = "concat_ws('-', {}, {}, {}, {})".format(
@@ -375,8 +376,14 @@ SIMPLE = {
 INSTANTS = {"started_at", "created_at", "promised_at", "due_at", "sent_at", "updated_at", "started", "logged_at"}
 
 
-def _scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# tables whose texts are made and parsed row by row, at a cost far above the scan's
+COSTLY = {"judgements", "analyses", "payloads", "segments", "transcripts", "criteria"}
+
+
+def _scan(spark: SparkSession, folder: str, name: str, costly: bool = False) -> DataFrame:
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, path) if costly else df
 
 
 def _columns(projection: dict[str, str]) -> list[str]:
@@ -394,7 +401,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         return joined.selectExpr(*_columns({**CONTACTS, **PARTY}))
     if name == "segments":
-        lines = _scan(spark, folder, "documents").select(
+        lines = _scan(spark, folder, "documents", costly=True).select(
             "doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")
         )
         return lines.selectExpr(*_columns(SEGMENTS))
@@ -421,7 +428,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
             (stamp + F.expr("INTERVAL '1' HOUR")).alias("modified_at"),
         )
     source, projection, condition = SIMPLE[name]
-    df = _scan(spark, folder, source)
+    df = _scan(spark, folder, source, costly=name in COSTLY)
     if condition:
         df = df.where(condition)
     return df.selectExpr(*_columns(projection))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from parley import rubric
 from parley.operators import scoring as sc
 from parley.plans.catalog.base import cte, query
-from parley.plans.catalog.judgement_sql import ITEMS_SQL, LEVEL_SQL, SCORES_SQL, scores
+from parley.plans.catalog.judgement_sql import EVALUATIONS_SQL, ITEMS_SQL, LEVEL_SQL, SCORES_SQL, SHORT, scores
+from parley.session import shared_folder
+from parley.sources import scores as kept
 
 _J = cte("judgements") + ", "
 _M = list(rubric.WEIGHTS)
@@ -158,6 +160,19 @@ def rescore_history(t):
     return sc.rescore_history(t.judgements, revised).select("interaction_id", "rubric_version", "weight_applied", "final_score")
 
 
+@query(
+    "stored_scores",
+    _J + EVALUATIONS_SQL + " SELECT interaction_id, input_type, final_score, weight_applied, " + ", ".join(SHORT.values()) + " FROM evaluations",
+)
+def stored_scores(t):
+    """Judgements of chats land and are scored first, those of calls in a second commit; all are read from the store."""
+    table = kept.store(t.spark, shared_folder(t.spark, "score-store"))
+    judgements = t.judgements
+    kept.refresh(table, judgements.where("input_type = 'chat'"), 1)
+    kept.refresh(table, judgements.where("input_type <> 'chat'"), 2)
+    return kept.evaluations(judgements, table).select("interaction_id", "input_type", "final_score", "weight_applied", *SHORT.values())
+
+
 @query(
     "as_written_comparison",
     _J + SCORES_SQL + ", " + scores("older", ("module3_objections", "module4_followup"))

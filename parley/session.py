@@ -78,3 +78,21 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: bytes of files a core up to which ``spread`` deals rows out
+SPREAD_BYTES = 128 << 20
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Rows read from ``path``, dealt evenly over all cores where the files alone might not do that.
+
+    For work that costs much per row. A small input may be one row group, which is one task
+    however many cores wait. The exchange moves at most ``SPREAD_BYTES`` a core, and only
+    the columns used later; a larger input fills the cores by its row groups and is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(files).getLength()
+    return df.repartition(cores) if 0 < size <= SPREAD_BYTES * cores else df

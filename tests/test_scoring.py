@@ -106,3 +106,40 @@ def test_levels(spark):
     df = spark.createDataFrame([(x,) for x in (85.0, 84.9, 70.0, 69.9, 55.0, 54.9)], "x double")
     got = [r.l for r in df.select(performance_level(F.col("x")).alias("l")).collect()]
     assert got == ["Excellent", "Good", "Good", "Average", "Average", "Below Average"]
+
+
+def landed(spark, *rows):
+    return spark.createDataFrame(rows, "interaction_id string, input_type string, conversation string, payload string")
+
+
+def test_scores_are_kept_by_text_and_rubric(spark, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from parley.sources import scores
+
+    good, full = (json.dumps({"modules": judgement(**x), "stage_reached": "negotiation"}) for x in (PARTIAL, {}))
+    bad = json.dumps({"modules": judgement(reception__greeting="many")})
+    first = landed(spark, ("a", "chat", "", good), ("b", "chat", "", good), ("c", "chat", "", bad), ("n", "chat", "", None))
+    both = first.union(landed(spark, ("d", "call_transcript", "", full), ("e", "chat", "", "{broken")))
+    table = scores.store(spark, f"{tmp_path}/scores", buckets=4)
+    assert scores.evaluations(first, table).count() == 0
+    assert scores.refresh(table, first, 1) == 3  # equal texts are one
+    assert scores.refresh(table, both, 1) == 0  # the commit is already in
+    assert scores.refresh(table, both, 2) == 2 and scores.refresh(table, both, 3) == 0
+    got = {r.interaction_id: r for r in scores.evaluations(both, table).collect()}
+    want = {r.interaction_id: r for r in sc.stored_evaluations(sc.parsed(both)).collect()}
+    assert set(got) == {"a", "b", "d", "e", "n"} and {k: r.asDict() for k, r in got.items()} == {k: r.asDict() for k, r in want.items()}
+    # stored texts are not parsed again
+    seen = []
+    monkeypatch.setattr(sc, "parsed", lambda df, r, real=sc.parsed: seen.append(df.count()) or real(df, r))
+    scores.refresh(table, both, 4)
+    revised = replace(rubric.DEFAULT, weights={**rubric.WEIGHTS, M[0]: 0.05, M[1]: 0.35}, version="9")
+    assert scores.refresh(table, both, 5, revised) == 5 and seen == [0, 5]
+    monkeypatch.undo()
+    other = {r.interaction_id: r for r in scores.evaluations(both, table, revised).collect()}
+    assert other["a"].rubric_version == "9" and other["a"].final_score != got["a"].final_score
+    assert {r.interaction_id: r.final_score for r in scores.evaluations(both, table).collect()} == {k: r.final_score for k, r in got.items()}
+    # rewritten as one folder a bucket, the rows stay; an older version reads on
+    before = table.read().count()
+    assert table.compact() > 0 and table.compact() == 0 and table.read().count() == before == 10
+    assert scores.evaluations(both, table, version=1).count() == 3
