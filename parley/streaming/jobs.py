@@ -14,6 +14,7 @@ from pyspark.sql import types as Ty
 
 from parley.functions import text as T
 from parley.operators import conversations
+from parley.session import persist
 from parley.sources.table import KeyedTable
 from parley.streaming import catchup, keyed
 
@@ -86,6 +87,8 @@ def run_to_keyed_table(changes: DataFrame, table: KeyedTable, state: str, order:
     columns = [c for c in changes.columns if c not in table.key]
 
     def keep(rows: DataFrame, number: int) -> None:
+        # stored first, since each step of a commit would run the state again
+        rows = persist(rows, "changes")
         if order is not None:
             rows = rows.groupBy(*table.key).agg(F.max_by(F.struct(*columns), F.expr(order)).alias("r")).select(*table.key, "r.*")
         table.upsert(rows, "stream", number, when=None if when is None else F.expr(when))

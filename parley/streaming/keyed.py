@@ -1,19 +1,20 @@
 """Streams with state and event-time timers of their own, per key.
 
-State is in RocksDB. What a key holds ends with its last timer, so that state is bounded by
-what is still open: bursts not yet settled, promises not yet kept, calls not yet done.
-Times are in microseconds inside the state, timers in milliseconds.
+State is in RocksDB. A key's state travels with its rows in Arrow batches, as a call to the state
+store for each key would cost more than its rows. What a key holds ends with its last timer, so
+that state is bounded by what is still open: bursts not yet settled, promises not yet kept, calls
+not yet done. Times are in microseconds inside the state, timers in milliseconds.
 """
 
 from __future__ import annotations
 
 import bisect
-import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.operators import calls
 
@@ -30,27 +31,57 @@ def _micros(interval: str) -> int:
     return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.lower().rstrip("s")] * 1_000_000
 
 
-def _instant(micros: int | None) -> dt.datetime | None:
-    return None if micros is None else dt.datetime.fromtimestamp(0, dt.timezone.utc) + dt.timedelta(microseconds=micros)
-
-
 def _after(micros: int) -> int:
     """The first millisecond at which a watermark has reached an instant."""
     return -(-micros // 1000)
 
 
-class _Debounce(StatefulProcessor):
+def _int(text: str | None) -> int | None:
+    return None if text is None else int(text)
+
+
+def _texts(column: pd.Series) -> list[str | None]:
+    return [x if isinstance(x, str) else None for x in column.tolist()]
+
+
+#: (key, held, rows, watermark in ms) to (what to hold or None, timer in ms or None, rows given out)
+Step = Callable[[object, tuple | None, list[tuple], int], tuple[tuple | None, int | None, list[tuple]]]
+
+
+def _stateful(rows: DataFrame, key: str, at: str, columns: list[str], state: str, out: str, mode: str, step: Step) -> DataFrame:
+    """``step`` on every key that has rows or whose timer the watermark has reached.
+
+    ``columns`` reach it as texts, since a null would make a number of pandas a double.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.getCurrentWatermarkMs()
+        new = [] if held.hasTimedOut else [r for f in frames for r in zip(*(_texts(f[c]) for c in columns))]
+        rest, timer, given = step(keys[0], held.get if held.exists else None, new, now)
+        if rest is not None:
+            held.update(rest)
+            if timer is not None:
+                # fires once the watermark is beyond it
+                held.setTimeoutTimestamp(max(timer - 1, now))
+        elif held.exists:
+            held.remove()
+        if given:
+            yield pd.DataFrame(given, columns=names, dtype=object)
+
+    some = rows.select(key, at, *(F.col(c).cast("string").alias(c) for c in columns))
+    return some.groupBy(key).applyInPandasWithState(run, out, state, mode, GroupStateTimeout.EventTimeTimeout)
+
+
+class _Debounce:
     """Waits until no arrival has come for the gap, then names the last one."""
 
+    #: bursts not settled: first and last time, and the last arrival
+    STATE = "open array<struct<first: long, last: long, raw_id: long>>"
+
     def __init__(self, gap: int):
         self.gap = gap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # bursts not settled: first and last time, and the last arrival
-        self.open = handle.getListState("open", "first long, last long, raw_id long")
-        self.timer = handle.getValueState("timer", "due long")
-
     def _merged(self, bursts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out: list[tuple[int, int, int]] = []
         for first, last, raw_id in sorted(bursts):
@@ -64,33 +95,13 @@ class _Debounce(StatefulProcessor):
     def _due(self, burst: tuple[int, int, int]) -> int:
         return _after(burst[1] + self.gap + 1)
 
-    def _hold(self, bursts: list[tuple[int, int, int]]) -> None:
-        """Hold ``bursts`` with a timer for the first of them; hold nothing if there is none."""
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        if bursts:
-            self.open.put(bursts)
-            self.handle.registerTimer(self._due(bursts[0]))
-            self.timer.update((self._due(bursts[0]),))
-        else:
-            self.open.clear()
-            self.timer.clear()
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        self._hold(self._merged(held + [(r.at, r.at, r.raw_id) for r in rows]))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        bursts = [tuple(r) for r in self.open.get()]
-        settled = [b for b in bursts if self._due(b) <= timerValues.getCurrentWatermarkInMs()]
-        self.timer.clear()  # it is the one that has expired
-        self._hold(bursts[len(settled):])
-        for _, last, raw_id in settled:
-            yield Row(external_ref=key[0], raw_id=raw_id, last_at=_instant(last), settled_at=_instant(last + self.gap))
-
-    def close(self) -> None:
-        pass
+    def __call__(self, key, held, rows: list[tuple], now: int):
+        bursts = self._merged([tuple(b) for b in (held[0] if held else ())] + [(int(at), int(at), int(raw_id)) for raw_id, at in rows])
+        settled = [b for b in bursts if self._due(b) <= now]
+        rest = bursts[len(settled):]
+        given = [(key, raw_id, last, last + self.gap) for _, last, raw_id in settled]
+        # a timer for the first of them
+        return ((rest,), self._due(rest[0]), given) if rest else (None, None, given)
 
 
 def settled_arrivals(arrivals: DataFrame, gap: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
@@ -104,27 +115,25 @@ def settled_arrivals(arrivals: DataFrame, gap: str = "1 minute", lateness: str =
     # names the event time, so that rows without a key still move the watermark
     named = named.where("external_ref IS NOT NULL OR received_at IS NULL")
     rows = named.select("external_ref", "raw_id", "received_at", F.unix_micros("received_at").alias("at"))
-    return rows.groupBy("external_ref").transformWithState(
-        _Debounce(_micros(gap)), "external_ref string, raw_id long, last_at timestamp, settled_at timestamp", "Append", "EventTime"
-    )
+    out = "external_ref string, raw_id long, last_at long, settled_at long"
+    marks = _stateful(rows, "external_ref", "received_at", ["raw_id", "at"], _Debounce.STATE, out, "append", _Debounce(_micros(gap)))
+    return marks.withColumns({c: F.timestamp_micros(c) for c in ("last_at", "settled_at")})
 
 
-class _Promises(StatefulProcessor):
+class _Promises:
     """Matches the promises made to a customer with the next contact of the same agent, in event time."""
 
+    #: promises, and contacts (with their id)
+    STATE = "line array<struct<agent_id: long, at: long, follow_up_id: long, due_at: long, missed: boolean, contact_id: string>>"
+
     def __init__(self, grace: int, expiry: int, forget: int | None):
         self.grace, self.expiry, self.forget = grace, expiry, forget
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # one list, as a call to the state costs more than its rows: promises, and contacts (with their id)
-        self.line = handle.getListState("line", "agent_id long, at long, follow_up_id long, due_at long, missed boolean, contact_id string")
-
     def _lapse(self, at: int, due: int | None) -> int:
         return due if due is not None else at + self.expiry
 
-    def _next(self, line: list[tuple]) -> None:
-        """A timer for the first instant at which something of ``line`` becomes certain."""
+    def _next(self, line: list[tuple]) -> int | None:
+        """The first instant at which something of ``line`` becomes certain."""
         times = []
         for _, at, number, due, missed, _ in line:
             if number is None:
@@ -133,25 +142,16 @@ class _Promises(StatefulProcessor):
                 times.append(self._lapse(at, due) + 1)
             elif self.forget is not None:
                 times.append(self._lapse(at, due) + self.forget + 1)
-        if times:
-            self.handle.registerTimer(_after(min(times)))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r.agent_id, r.at, r.follow_up_id, r.due_at, False, r.contact_id) for r in rows]
-        self.line.appendList(new)
-        self._next(new)
-        for agent, at, number, due, _, _ in new:
-            if number is not None:
-                yield self._row(key, agent, number, at, due, "open")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        if not self.line.exists():  # an earlier timer has settled all
-            return
+        return _after(min(times)) if times else None
+
+    def __call__(self, key, held, rows: list[tuple], watermark: int):
+        now = watermark * 1000
+        new = [(int(agent), int(at), _int(number), _int(due), False, contact) for agent, at, number, due, contact in rows]
+        given = [self._row(key, agent, number, at, due, "open") for agent, at, number, due, _, _ in new if number is not None]
         # a promise still to come is made after the settled contacts, which so are needed no more
         contacts: dict[int, list[tuple[int, str]]] = {}
         promises, rest = [], []
-        for r in map(tuple, self.line.get()):
+        for r in [tuple(r) for r in (held[0] if held else ())] + new:
             if r[2] is not None:
                 promises.append(r)
             elif r[1] <= now:
@@ -167,24 +167,17 @@ class _Promises(StatefulProcessor):
             if i < len(line):
                 met, by = line[i]
                 deadline = due if due is not None else at + self.grace
-                yield self._row(key, agent, number, at, due, "fulfilled" if met <= deadline else "late", met, by)
+                given.append(self._row(key, agent, number, at, due, "fulfilled" if met <= deadline else "late", met, by))
                 continue
             if lapse < now and not missed:
                 missed = True
-                yield self._row(key, agent, number, at, due, "missed")
+                given.append(self._row(key, agent, number, at, due, "missed"))
             if not (missed and self.forget is not None and lapse + self.forget < now):
                 rest.append((agent, at, number, due, missed, None))
-        if rest:
-            self.line.put(rest)
-            self._next(rest)
-        else:
-            self.line.clear()
+        return ((rest,), self._next(rest), given) if rest else (None, None, given)
 
-    def _row(self, key, agent: int, number: int, at: int, due: int | None, status: str, met: int | None = None, by: str | None = None) -> Row:
-        return Row(follow_up_id=number, customer_id=key[0], agent_id=agent, promised_at=_instant(at), due_at=_instant(due), status=status, fulfilled_at=_instant(met), fulfilled_in=by)
-
-    def close(self) -> None:
-        pass
+    def _row(self, key, agent: int, number: int, at: int, due: int | None, status: str, met: int | None = None, by: str | None = None) -> tuple:
+        return number, key, agent, at, due, status, met, by
 
 
 OUTCOME = "follow_up_id long, customer_id long, agent_id long, promised_at timestamp, due_at timestamp, status string, fulfilled_at timestamp, fulfilled_in string"
@@ -203,9 +196,10 @@ def promise_timer(line: DataFrame, grace: str = "24 hours", expiry: str = "48 ho
     use_rocksdb(line.sparkSession)
     rows = line.withWatermark("at", lateness).where("customer_id IS NOT NULL AND agent_id IS NOT NULL OR at IS NULL")
     rows = rows.select("customer_id", "agent_id", F.col("at").alias("event_at"), F.unix_micros("at").alias("at"), "follow_up_id", F.unix_micros("due_at").alias("due_at"), "contact_id")
-    return rows.groupBy("customer_id").transformWithState(
-        _Promises(_micros(grace), _micros(expiry), _micros(forget) if forget else None), OUTCOME, "Update", "EventTime"
-    )
+    step = _Promises(_micros(grace), _micros(expiry), _micros(forget) if forget else None)
+    columns = ["agent_id", "at", "follow_up_id", "due_at", "contact_id"]
+    changes = _stateful(rows, "customer_id", "event_at", columns, step.STATE, OUTCOME.replace("timestamp", "long"), "update", step)
+    return changes.withColumns({c: F.timestamp_micros(c) for c in ("promised_at", "due_at", "fulfilled_at")})
 
 
 #: order of the changes of one promise within a micro-batch
@@ -219,44 +213,33 @@ def promise_line(promises: DataFrame, contacts: DataFrame) -> DataFrame:
     return made.unionByName(met)
 
 
-class _CallState(StatefulProcessor):
+class _CallState:
     """The fold of ``calls.job_state_fold``, one call at a time; a call that is over is forgotten after a while."""
 
+    STATE = "step string, step_at long, step_id long, done boolean, red boolean, retries int, error string, error_at long, error_id long, updated_at long"
+
     def __init__(self, max_retries: int, keep: int):
         self.max_retries, self.keep = max_retries, keep
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "state", "step string, step_at long, step_id long, done boolean, red boolean, retries int, error string, error_at long, error_id long, updated_at long"
-        )
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        step, step_at, step_id, done, red, retries, error, error_at, error_id, updated = self.state.get() if self.state.exists() else (None, None, None, False, False, 0, None, None, None, None)
-        for r in rows:
-            order = (r.at, r.event_id)
-            if r.step != calls.LISTED and (step_at is None or order > (step_at, step_id)):
-                step, step_at, step_id = r.step, *order
-            if r.error is not None and (error_at is None or order > (error_at, error_id)):
-                error, error_at, error_id = r.error, *order
-            done, red = done or r.step == calls.DONE, red or r.step == calls.GATE_RED
-            retries += r.step in calls.FAILURES
-            updated = r.at if updated is None else max(updated, r.at)
-        self.state.update((step, step_at, step_id, done, red, retries, error, error_at, error_id, updated))
+    def __call__(self, key, held, rows: list[tuple], now: int):
+        step, step_at, step_id, done, red, retries, error, error_at, error_id, updated = held or (None, None, None, False, False, 0, None, None, None, None)
+        for number, named, failure, at in rows:
+            at = int(at)
+            order = (at, int(number))
+            if named != calls.LISTED and (step_at is None or order > (step_at, step_id)):
+                step, step_at, step_id = named, *order
+            if failure is not None and (error_at is None or order > (error_at, error_id)):
+                error, error_at, error_id = failure, *order
+            done, red = done or named == calls.DONE, red or named == calls.GATE_RED
+            retries += named in calls.FAILURES
+            updated = at if updated is None else max(updated, at)
         dead = red or retries >= self.max_retries
-        if done or dead:
-            self.handle.registerTimer(_after(updated + self.keep))
         status = calls.DONE if done else calls.DEAD if dead else step or calls.LISTED
-        yield Row(uniqueid=key[0], status=status, retries=retries, last_error=error, updated_at=_instant(updated))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # timers of earlier steps of the call are put off to its last
-        if self.state.exists() and _after(self.state.get()[9] + self.keep) <= timerValues.getCurrentWatermarkInMs():
-            self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+        given = [(key, status, retries, error, updated)] if rows else []
+        timer = _after(updated + self.keep) if done or dead else None
+        if timer is not None and timer <= now:
+            return None, None, given
+        return (step, step_at, step_id, done, red, retries, error, error_at, error_id, updated), timer, given
 
 
 CALL_STATE = "uniqueid string, status string, retries int, last_error string, updated_at timestamp"
@@ -269,4 +252,6 @@ def call_states(events: DataFrame, max_retries: int = calls.MAX_RETRIES, keep: s
     use_rocksdb(events.sparkSession)
     rows = events.withWatermark("logged_at", lateness).where("uniqueid IS NOT NULL OR logged_at IS NULL")
     rows = rows.select("uniqueid", "event_id", "step", "error", "logged_at", F.unix_micros("logged_at").alias("at"))
-    return rows.groupBy("uniqueid").transformWithState(_CallState(max_retries, _micros(keep)), CALL_STATE, "Update", "EventTime")
+    step = _CallState(max_retries, _micros(keep))
+    out = CALL_STATE.replace("timestamp", "long")
+    return _stateful(rows, "uniqueid", "logged_at", ["event_id", "step", "error", "at"], step.STATE, out, "update", step).withColumn("updated_at", F.timestamp_micros("updated_at"))

@@ -206,3 +206,15 @@ def test_two_writers_and_bad_keys(spark, tmp_path):
         table.upsert(rows(spark, (None, "c", 1)), "one", 2)
     assert table.upsert(table.read().limit(0), "one", 3)
     assert sorted(r.k for r in table.read().collect()) == [1, 2]
+
+
+def test_a_key_settles_in_one_call_with_its_rows():
+    """State, rows and timer of a key meet in one call; numbers beyond a double's reach stay exact."""
+    number, day = 2**53 + 1, 86_400_000_000
+    step = keyed._Promises(day, 2 * day, None)
+    held, timer, given = step(7, None, [("1", "1000", str(number), None, None), ("1", "5000", None, None, "c")], 0)
+    assert [(r[0], r[5]) for r in given] == [(number, "open")] and timer == 5 and len(held[0]) == 2
+    held, timer, given = step(7, held, [], 5)
+    assert held is None and timer is None and given == [(number, 7, 1, 1000, None, "fulfilled", 5000, "c")]
+    held, timer, given = step(7, None, [("1", "1000", "3", "2000", None)], 3)
+    assert [r[5] for r in given] == ["open", "missed"] and timer is None and held[0][0][4]
