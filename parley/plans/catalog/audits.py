@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import payload as P
 from parley.operators import audits as au
+from parley.operators import scoring as sc
 from parley.operators import calls as ca
 from parley.plans.catalog.base import cte, query
 from parley.plans.catalog.judgement_sql import ITEMS_SQL
@@ -66,7 +67,7 @@ def voucher_state_violations(t):
 def range_violations(t):
     rows = t.parsed.select(
         "interaction_id",
-        F.get(F.filter("items", lambda c: c["criterion"] == "price_objection"), F.lit(0))["value"].alias("price_objection"),
+        F.get(F.filter(sc.stored_items(), lambda c: c["criterion"] == "price_objection"), F.lit(0))["value"].alias("price_objection"),
     )
     return au.range_violations(rows, F.col("interaction_id"), {"price_objection": (0, 25)})
 

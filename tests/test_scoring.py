@@ -4,6 +4,7 @@ import pytest
 
 from parley import rubric
 from parley.operators import scoring as sc
+from parley.sources import payloads
 
 M = list(rubric.WEIGHTS)
 
@@ -143,3 +144,15 @@ def test_scores_are_kept_by_text_and_rubric(spark, tmp_path, monkeypatch):
     before = table.read().count()
     assert table.compact() > 0 and table.compact() == 0 and table.read().count() == before == 10
     assert scores.evaluations(both, table, version=1).count() == 3
+
+
+def test_the_parse_is_planned_once_under_generators(spark):
+    """An inferred filter or an inlined list of items would repeat the parse in the plan."""
+    payloads_ = spark.createDataFrame([(1, '{"id": "a", "messages": [{"message": "hi", "sender": "client"}]}')], "arrival_id long, payload string")
+    rows = payloads.messages_of(payloads.parse_chats(payloads_)).drop("body_hash")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter " not in plan and [r.body for r in rows.collect()] == ["hi"]
+    judged = spark.createDataFrame([("a", '{"modules": {"module1_reception": {"breakdown": {"greeting": 1}}}}', "x")], "interaction_id string, payload string, conversation string")
+    rows = sc.explode_breakdown(sc.parsed(judged)).groupBy("state").count()
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") < 5
+    assert {r.state for r in rows.collect()} >= {"missing"}
