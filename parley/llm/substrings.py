@@ -123,9 +123,13 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _minimizers(block: spans.Block, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Top 52 bits of the minimizer of each window of the flat words, and which windows lie in one row."""
+    """Top 52 bits of the mixed minimizer of each window of the flat words, and which windows lie in one row.
+
+    Minima crowd at the low end of the hash space, so shards that are equal ranges of it take even
+    shares of them only once they are mixed.
+    """
     gram = min(GRAM, window)
-    m = spans.sliding_min(spans.windows(h, gram), window - gram + 1) >> U(12)
+    m = spans.mix(spans.sliding_min(spans.windows(h, gram), window - gram + 1)) >> U(12)
     return m, spans.inside(block.bounds, window, len(m))
 
 

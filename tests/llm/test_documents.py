@@ -62,6 +62,16 @@ def test_substrings(corpus, window):
     assert bag(substrings.remove_repeats(corpus, window).collect()) == bag(want)
 
 
+def test_shards_take_even_shares_of_the_minimizers():
+    rng = np.random.default_rng(1)
+    block = spans.Block(pa.array([" ".join(map(str, rng.integers(0, 50000, 400))) for _ in range(300)]))
+    block.words()
+    for window in (13, 50):
+        m, ok = substrings._minimizers(block, block.hashes(), window)
+        n = np.diff(spans.shard_cuts(np.sort(m[ok]), 64))
+        assert n.max() < 3 * n.mean()
+
+
 def test_substrings_keep_blanks_of_what_stays(spark):
     p = " ".join(f"p{i}" for i in range(14))
     df = spark.createDataFrame([(1, f"a\n{p}"), (2, f" x  y\n{p} \n z"), (3, " b\n c ")], "doc_id long, text string")
