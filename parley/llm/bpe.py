@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from parley.llm import spans
 
 LETTER, NUMBER, BLANK = 1, 2, 3
-BATCH_BYTES = 5 << 20
+BATCH_BYTES, PART_BYTES = 5 << 20, 512 << 10
 SENT = pa.schema([("batch", pa.string()), ("shard", pa.int32()), ("body", pa.binary())])
 SENT_SQL = "batch string, shard int, body binary"
 U = np.uint64
@@ -42,8 +42,21 @@ class Words:
         self.specials = sorted((s.encode() for s in specials), key=len, reverse=True)
 
     def split(self, block: spans.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte starts and ends of the words, and for each row the number of its first word (rows + 1)."""
-        data, edges = block.data, block.offsets
+        """Byte starts and ends of the words, and for each row the number of its first word (rows + 1).
+
+        Rows are split a few at a time: the arrays of a part take some thirty times its bytes.
+        """
+        edges, at, words, found = block.offsets, 0, 0, []
+        while at < block.rows or not found:
+            to = min(block.rows, max(at + 1, int(np.searchsorted(edges, edges[at] + PART_BYTES, "right")) - 1))
+            low = edges[at]
+            begins, closes, bounds = self._part(block.data[low : edges[to]], edges[at : to + 1] - low)
+            found.append((begins + low, closes + low, bounds[:-1] + words))
+            at, words = to, words + len(begins)
+        starts, ends, bounds = (np.concatenate(x) for x in zip(*found))
+        return starts, ends, np.append(bounds, words)
+
+    def _part(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = data.tobytes()
         special = self._special(raw, edges)
         cuts = np.unique(np.concatenate((edges, special.ravel()))).astype(np.int64)
@@ -51,7 +64,7 @@ class Words:
         at = np.flatnonzero((data & 0xC0) != 0x80)
         n = len(points)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(block.rows + 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(edges), np.int64)
         kind = self.classes[points]
         head = np.zeros(n + 1, bool)  # first point of a part; parts are split on their own
         head[np.searchsorted(at, cuts[cuts < len(data)])] = True

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,6 +149,24 @@ def test_winnowing(spark, corpus):
     assert Counter(got) == Counter(want)
 
 
+def test_words_are_split_a_few_rows_at_a_time():
+    classes = bpe.char_classes(BPE)
+    rows = ["<|endoftext|> " + "it's a  test\n\n of 12 words, été 日本 " * 40, "", None, "x" * 3000, "  end "] * 400
+    block = spans.Block(pa.array(rows))
+    words = bpe.Words(classes, {"<|endoftext|>": 0})
+    tracemalloc.start()
+    got = words.split(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(block.data)
+    bounds = got[2]
+    for i in (0, 1, 2, 3, 4, 1003, len(rows) - 1):
+        alone = words.split(spans.Block(pa.array([rows[i]], pa.string())))
+        low, a, b = block.offsets[i], bounds[i], bounds[i + 1]
+        assert (got[0][a:b] - low).tolist() == alone[0].tolist() and (got[1][a:b] - low).tolist() == alone[1].tolist()
+    assert len(bounds) == len(rows) + 1 and [x.tolist() for x in words.split(spans.Block(pa.array([], pa.string())))] == [[], [], [0]]
+
+
 def test_bpe_equals_the_library(spark, corpus):
     extra = ["<|endoftext|>", "a<|endoftext|> 's<|endoftext|>", "it's we'll 'tis ''s \n's", "  two  \n\n x \r\n", "😀 12³ ½x", "\ufeffx\u200b \u2003y", "<|endof"]
     more = spark.createDataFrame([(900 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")
