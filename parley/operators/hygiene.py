@@ -562,29 +562,29 @@ def max_token_run(segments: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> Data
     only the latter can grow over a segment's edge.
     """
     words = T.tokens(F.coalesce("text", F.lit("")))
-    run_kind = "STRUCT<token: STRING, n: INT>"
 
-    def step(acc: Column, w: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.struct(w.alias("token"), F.lit(1).alias("n"))
-        grown = F.struct(last["token"].alias("token"), (last["n"] + 1).alias("n"))
-        # keep the first run, the longest finished one and the current one
-        inner = F.slice(acc, F.lit(2), F.lit(1))
-        best = F.when(
-            (F.size(acc) < 3) | (last["n"] > F.element_at(inner, 1)["n"]), F.array(last)
-        ).otherwise(inner)
-        return (
-            F.when(F.size(acc) == 0, F.array(one))
-            .when(last["token"] == w, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
-            .when(F.size(acc) == 1, F.concat(acc, F.array(one)))
-            .otherwise(F.concat(F.slice(acc, F.lit(1), F.lit(1)), best, F.array(one)))
-        )
-
-    runs = (
-        segments.select("call_id", "seq", F.aggregate(words, _empty(run_kind), step).alias("runs"))
-        .where(F.size("runs") > 0)
+    def run(w: Column, begin: Column, end: Column) -> Column:
+        return F.struct(F.get(w, begin).alias("token"), (end - begin).cast("int").alias("n"))
+
+    def outer(s: Column) -> Column:
+        # places where a run begins, and the end of the last one
+        w, at = s["w"], s["at"]
+        k = F.size(at) - 1
+        first, last = run(w, F.get(at, F.lit(0)), F.get(at, F.lit(1))), run(w, F.get(at, k - 1), F.get(at, k))
+        lengths = F.zip_with(F.slice(at, F.lit(2), k - 2), F.slice(at, F.lit(3), k - 2), lambda x, y: y - x)
+        inner = F.struct(F.lit(None).cast("string").alias("token"), F.array_max(lengths).cast("int").alias("n"))
+        return F.when(k == 1, F.array(first)).when(k == 2, F.array(first, last)).otherwise(F.array(first, inner, last))
+
+    def places(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1)))
+        return F.struct(w.alias("w"), begins.alias("at"))
+
+    walked = T.let(T.let(F.col("words"), places), outer)
+    # a filter before the rows are stored would be pushed down and walk every text twice
+    runs = segments.select("call_id", "seq", words.alias("words")).select(
+        "call_id", "seq", F.when(F.size("words") > 0, walked).alias("runs")
     )
-    runs = session.persist(runs, "segment-runs")
+    runs = session.persist(runs, "segment-runs").where(F.size("runs") > 0)
     inner = runs.where(F.size("runs") == 3).select("call_id", F.get("runs", F.lit(1))["n"].alias("n"))
     edges = F.when(F.size("runs") == 1, F.col("runs")).otherwise(
         F.array(F.element_at("runs", 1), F.element_at("runs", -1))

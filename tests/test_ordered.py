@@ -141,3 +141,15 @@ def test_listing_a_call_again_changes_nothing(spark):
     df = df.withColumn("logged_at", F.timestamp_seconds("s")).withColumn("error", F.lit(None).cast("string"))
     got = {r.uniqueid: r.status for r in ca.job_state_fold(df).collect()}
     assert got == {"a": "evaluated", "b": "dead_letter", "c": "dead_letter", "d": "discovered", "e": "asr_failed"}
+
+
+def test_token_runs_walk_each_text_once(spark, monkeypatch):
+    texts = ["a", "a a", "a b", "b b c c c d", " x\tx  x ", None, "", " \n", "y y z z z z w w", "e e e"]
+    rows = [(f"c{i}", 0, t) for i, t in enumerate(texts)] + [("both", 0, "p q q"), ("both", 1, None), ("both", 2, "q q r r r")]
+    stored, keep = [], hy.session.persist
+    df = keep(spark.createDataFrame(rows, "call_id string, seq int, text string"), "segments")
+    monkeypatch.setattr(hy.session, "persist", lambda d, name: stored.append(d) or keep(d, name))
+    got = {r.call_id: r.max_token_run for r in hy.max_token_run(df).collect()}
+    assert got == {"c0": 1, "c1": 2, "c2": 1, "c3": 3, "c4": 3, "c8": 4, "c9": 3, "both": 4}
+    plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x.split("(")[0] and "lambda" in x]
