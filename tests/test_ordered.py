@@ -152,4 +152,4 @@ def test_token_runs_walk_each_text_once(spark, monkeypatch):
     got = {r.call_id: r.max_token_run for r in hy.max_token_run(df).collect()}
     assert got == {"c0": 1, "c1": 2, "c2": 1, "c3": 3, "c4": 3, "c8": 4, "c9": 3, "both": 4}
     plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
-    assert not [x for x in plan.splitlines() if "Filter" in x.split("(")[0] and "lambda" in x]
+    assert "Filter" not in plan
