@@ -156,3 +156,19 @@ def test_the_parse_is_planned_once_under_generators(spark):
     rows = sc.explode_breakdown(sc.parsed(judged)).groupBy("state").count()
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") < 5
     assert {r.state for r in rows.collect()} >= {"missing"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_quote_is_cleaned_once(spark):
+    cited = [{"module": M[0], "quote": q} for q in ("  said   it ", "never", " ", "الرحله إلي مكه", "a ASR_GAP b")] + [{"module": M[1]}]
+    p = run(spark, judgement(), conversation="well said it [[ASR_GAP]] الرحلة إلى مكة", evidence=cited)
+    found = sc.evidence_problems(p)
+    assert sorted(r.problem for r in found.collect()) == [
+        "evidence[1]: quote not found in conversation: never", "evidence[2]: empty quote",
+        "evidence[4]: quote contains the gap marker", "evidence[5]: empty quote",
+    ]
+    # the spans plain and folded, the quote plain and folded
+    assert plan(found).count("regexp_replace") <= 4
