@@ -172,3 +172,10 @@ def test_a_quote_is_cleaned_once(spark):
     ]
     # the spans plain and folded, the quote plain and folded
     assert plan(found).count("regexp_replace") <= 4
+
+
+def test_an_answer_is_read_once(spark):
+    p = run(spark, judgement(reception__greeting=True, offer__attitude="25", closing__thank_you=2.5))
+    items = {i.criterion: (i.state, i.value) for i in p.first()["items"]}
+    assert items["greeting"] == ("boolean", 1.0) and items["attitude"] == ("other", None) and items["thank_you"] == ("number", 2.5)
+    assert plan(p.select("items")).count("try_variant_get") == len(list(rubric.DEFAULT.criteria()))
