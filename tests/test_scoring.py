@@ -179,3 +179,14 @@ def test_an_answer_is_read_once(spark):
     items = {i.criterion: (i.state, i.value) for i in p.first()["items"]}
     assert items["greeting"] == ("boolean", 1.0) and items["attitude"] == ("other", None) and items["thank_you"] == ("number", 2.5)
     assert plan(p.select("items")).count("try_variant_get") == len(list(rubric.DEFAULT.criteria()))
+
+
+def test_report_reads_a_module_from_its_slice(spark):
+    modules = judgement(reception__greeting=5, offer=nothing(M[1]))
+    del modules[M[0]]["breakdown"]["understanding_confirmation"]
+    report = sc.evaluation_report(run(spark, modules))
+    rows = sorted((r.position, r.module, r.criterion, r["class"]) for r in report.collect() if r.module in M[:2] and r.criterion)
+    assert rows == [
+        (1, M[0], "greeting", "part"), (2, M[0], "missing_info_request", "full"), (3, M[0], "next_step_transition", "full"),
+    ]
+    assert plan(report).count("slice(") >= len(M)
