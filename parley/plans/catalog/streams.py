@@ -15,23 +15,29 @@ from parley.plans.catalog.base import FOLLOW_UPS_SQL, cte, query
 from parley.streaming import jobs
 
 SLICES = 3
+#: rows of a file of arrivals, about
+FILE_ROWS = 1 << 20
+#: rows of a group of keys of a keyed stream, about
+GROUP_ROWS = 1 << 16
 
 
-def _feed(t, rows: DataFrame, at: str, name: str, late: str = "false") -> tuple[DataFrame, str]:
-    """``rows`` as a stream of their arrivals, and a lateness that covers a slice; ``late`` rows come after all slices."""
+def _feed(t, rows: DataFrame, at: str, name: str, late: str = "false") -> tuple[DataFrame, str, int]:
+    """``rows`` as a stream of their arrivals, a lateness that covers a slice, and groups for their keys; ``late`` rows come after all slices."""
     folder, rows = session.shared_folder(t.spark, name), session.persist(rows, f"{name}-rows")
-    low, high = rows.agg(F.min(F.unix_seconds(at)), F.max(F.unix_seconds(at))).first()
+    low, high, n = rows.agg(F.min(F.unix_seconds(at)), F.max(F.unix_seconds(at)), F.count(F.lit(1))).first()
     if low is None:
         low = high = 0
     width = (high - low) // SLICES + 1
     when = F.when(F.expr(late), SLICES).otherwise(F.floor((F.unix_seconds(at) - low) / width))
+    # as many files for each slice as a micro-batch takes, so that larger tables do not come in more micro-batches
+    files = n // (SLICES * FILE_ROWS) + 1
     for i in range(SLICES + 1):
-        rows.where(when == i).write.mode("append").parquet(folder)
+        rows.where(when == i).repartition(files).write.mode("append").parquet(folder)
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != at]
     for after in (0, 1):
         ended = F.timestamp_seconds(F.lit(high + 90 * 86_400 + width + after))
-        t.spark.range(1).select(ended.alias(at), *rest).select(*rows.columns).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), f"{width} seconds"
+        t.spark.range(0, files, 1, files).select(ended.alias(at), *rest).select(*rows.columns).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder), f"{width} seconds", max(64, n // GROUP_ROWS)
 
 
 def _path(t, name: str) -> str:
@@ -50,7 +56,7 @@ LATE = "message_id % 53 = 0"
 def stream_land(t):
     payload = F.concat_ws(" ", "sender", (F.col("message_id") % 1000).cast("string"))
     sent = t.messages.select(payload.alias("payload"), F.col("sent_at").alias("received_at"))
-    arrivals, _ = _feed(t, jobs.hashed(sent, "webhook"), "received_at", "arrivals", "substr(payload_hash, 1, 1) = 'a'")
+    arrivals, _, _ = _feed(t, jobs.hashed(sent, "webhook"), "received_at", "arrivals", "substr(payload_hash, 1, 1) = 'a'")
     # copies come again all through the month, some after the state of the first is gone
     return jobs.run_to_table(jobs.landing("60 days"), arrivals, _path(t, "stream-land"))
 
@@ -65,7 +71,7 @@ def stream_messages_dedup(t):
         "interaction_id", "sender", F.date_trunc("hour", "sent_at").alias("sent_at"), F.sha2("sender", 256).alias("body_hash"), "message_id",
         F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
     )
-    arrivals, _ = _feed(t, sent, "sent_at", "messages", LATE)
+    arrivals, _, _ = _feed(t, sent, "sent_at", "messages", LATE)
     return jobs.run_to_table(jobs.deduplicated(), arrivals, _path(t, "stream-dedup"))
 
 
@@ -80,7 +86,7 @@ _SESSIONS = (
 
 @query("settled_threads_stream", cte("messages") + ", " + _SESSIONS + " SELECT * FROM z")
 def settled_threads_stream(t):
-    arrivals, _ = _feed(t, t.messages.select("interaction_id", "sent_at", "message_id"), "sent_at", "messages", LATE)
+    arrivals, _, _ = _feed(t, t.messages.select("interaction_id", "sent_at", "message_id"), "sent_at", "messages", LATE)
     return jobs.run_to_table(jobs.settled_threads("12 hours"), arrivals, _path(t, "settled-threads"))
 
 
@@ -92,7 +98,7 @@ def settled_threads_stream(t):
 def windowed_counts(t):
     period = F.timestamp_seconds(F.floor(F.unix_seconds("sent_at") / 900) * 900)
     rows = t.messages.select(period.alias("period_start"), "sender", "sent_at", "message_id")
-    arrivals, _ = _feed(t, rows, "sent_at", "messages", LATE)
+    arrivals, _, _ = _feed(t, rows, "sent_at", "messages", LATE)
     return jobs.run_to_table(jobs.windowed_counts(), arrivals, _path(t, "windowed-counts"))
 
 
@@ -105,8 +111,8 @@ def windowed_counts(t):
     "retries, last_error, updated_at FROM l",
 )
 def job_states_stream(t):
-    events, lateness = _feed(t, t.job_events, "logged_at", "job-events")
-    return jobs.call_queue(events, _path(t, "call-queue"), lateness=lateness, keep="60 days").read()
+    events, lateness, groups = _feed(t, t.job_events, "logged_at", "job-events")
+    return jobs.call_queue(events, _path(t, "call-queue"), lateness=lateness, keep="60 days", groups=groups).read()
 
 
 @query(
@@ -118,8 +124,8 @@ def job_states_stream(t):
 )
 def promise_timer(t):
     line = jobs.keyed.promise_line(t.promises, t.interactions)
-    arrivals, lateness = _feed(t, line, "at", "promise-line")
-    return jobs.promise_outcomes(arrivals, _path(t, "promises"), lateness=lateness).read()
+    arrivals, lateness, groups = _feed(t, line, "at", "promise-line")
+    return jobs.promise_outcomes(arrivals, _path(t, "promises"), lateness=lateness, groups=groups).read()
 
 
 @query(
@@ -137,5 +143,5 @@ def thread_debounce(t):
         F.col("body").alias("message"), F.date_format("sent_at", "yyyy-MM-dd").alias("timestamp"),
     )
     landed = session.persist(raw, "landed")
-    arrivals, lateness = _feed(t, landed.select("external_ref", "raw_id", "received_at"), "received_at", "arrivals")
-    return jobs.thread_debounce(arrivals, _path(t, "debounce"), "12 hours", lateness, lambda spark: landed)
+    arrivals, lateness, groups = _feed(t, landed.select("external_ref", "raw_id", "received_at"), "received_at", "arrivals")
+    return jobs.thread_debounce(arrivals, _path(t, "debounce"), "12 hours", lateness, lambda spark: landed, groups)

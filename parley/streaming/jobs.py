@@ -98,13 +98,13 @@ def run_to_keyed_table(changes: DataFrame, table: KeyedTable, state: str, order:
     return table
 
 
-def promise_outcomes(line: DataFrame, path: str, **rule: str) -> KeyedTable:
+def promise_outcomes(line: DataFrame, path: str, **rule: str | int) -> KeyedTable:
     """Status of every promise, kept as it changes."""
     table = KeyedTable(line.sparkSession, f"{path}/table", keyed.OUTCOME, ["follow_up_id"])
     return run_to_keyed_table(keyed.promise_timer(line, **rule), table, f"{path}/state", keyed.SETTLED)
 
 
-def call_queue(events: DataFrame, path: str, **rule: str) -> KeyedTable:
+def call_queue(events: DataFrame, path: str, **rule: str | int) -> KeyedTable:
     """State of every call, kept as its steps arrive; a micro-batch writes the calls it names."""
     table = KeyedTable(events.sparkSession, f"{path}/table", keyed.CALL_STATE, ["uniqueid"])
     return run_to_keyed_table(keyed.call_states(events, **rule), table, f"{path}/state", when=keyed.OPEN_CALL)
@@ -122,14 +122,14 @@ def rebuild_settled(marks: DataFrame, raw: DataFrame) -> DataFrame:
     return conversations.collect_thread(told, keys=("external_ref", "last_id", "settled_at"))
 
 
-def thread_debounce(arrivals: DataFrame, path: str, gap: str = "1 minute", lateness: str = "10 minutes", landed: Callable[[SparkSession], DataFrame] | None = None) -> DataFrame:
+def thread_debounce(arrivals: DataFrame, path: str, gap: str = "1 minute", lateness: str = "10 minutes", landed: Callable[[SparkSession], DataFrame] | None = None, groups: int = keyed.GROUPS) -> DataFrame:
     """Threads that nothing has followed for ``gap``, each rebuilt from its landed arrivals.
 
     A micro-batch names the threads that have settled; only their arrivals are read again.
     ``landed`` reads the table that the arrivals stream from.
     """
     spark = arrivals.sparkSession
-    marks = keyed.settled_arrivals(arrivals.select("external_ref", "raw_id", "received_at"), gap, lateness)
+    marks = keyed.settled_arrivals(arrivals.select("external_ref", "raw_id", "received_at"), gap, lateness, groups)
 
     def keep(rows: DataFrame, number: int) -> None:
         # stored first, since the join below would run the state again

@@ -1,19 +1,22 @@
 """Streams with state and event-time timers of their own, per key.
 
-State is in RocksDB. A key's state travels with its rows in Arrow batches, as a call to the state
-store for each key would cost more than its rows. What a key holds ends with its last timer, so
-that state is bounded by what is still open: bursts not yet settled, promises not yet kept, calls
-not yet done. Times are in microseconds inside the state, timers in milliseconds.
+State is in RocksDB and travels with its rows in Arrow batches. Keys are dealt into groups by
+their hash, and a group's keys share one state and one call to Python, as a call for each key would
+cost far more than its rows. What a key holds ends with its last timer, so that state is bounded by
+what is still open: bursts not yet settled, promises not yet kept, calls not yet done. Times are in
+microseconds inside the state, timers in milliseconds.
 """
 
 from __future__ import annotations
 
 import bisect
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.operators import calls
@@ -48,19 +51,52 @@ def _texts(column: pd.Series) -> list[str | None]:
 Step = Callable[[object, tuple | None, list[tuple], int], tuple[tuple | None, int | None, list[tuple]]]
 
 
-def _stateful(rows: DataFrame, key: str, at: str, columns: list[str], state: str, out: str, mode: str, step: Step) -> DataFrame:
+#: groups that keys are dealt into; fixed for a checkpoint, since a group's number is its key in the state store.
+#: A group's new rows and what its keys hold are in memory at once, so larger streams need more
+GROUPS = 1024
+
+
+class _Group:
+    """``step`` on every key of a group that has rows or whose timer the watermark has reached."""
+
+    def __init__(self, step: Step):
+        self.step = step
+
+    def __call__(self, held: bytes | None, rows: dict[object, list[tuple]], now: int) -> tuple[bytes | None, int | None, list[tuple]]:
+        """What the group holds from now on, its first timer, and the rows given out; ``rows`` are the new ones by key."""
+        # what each key holds, with its timer
+        keys: dict[object, tuple[tuple, int | None]] = pickle.loads(held) if held else {}
+        due = [k for k, (_, timer) in keys.items() if timer is not None and timer <= now and k not in rows]
+        given: list[tuple] = []
+        for key in (*rows, *due):
+            rest, timer, out = self.step(key, keys[key][0] if key in keys else None, rows.get(key, []), now)
+            given += out
+            if rest is not None:
+                keys[key] = rest, timer
+            else:
+                keys.pop(key, None)
+        timers = [timer for _, timer in keys.values() if timer is not None]
+        return pickle.dumps(keys) if keys else None, min(timers, default=None), given
+
+
+def _stateful(rows: DataFrame, key: str, at: str, columns: list[str], out: str, mode: str, step: Step, groups: int = GROUPS) -> DataFrame:
     """``step`` on every key that has rows or whose timer the watermark has reached.
 
-    ``columns`` reach it as texts, since a null would make a number of pandas a double.
+    The key and ``columns`` reach it as texts, since a null would make a number of pandas a double.
     """
     names = [f.split()[0] for f in out.split(", ")]
+    named = str if isinstance(rows.schema[key].dataType, Ty.StringType) else int
+    group_of = _Group(step)
 
-    def run(keys: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.getCurrentWatermarkMs()
-        new = [] if held.hasTimedOut else [r for f in frames for r in zip(*(_texts(f[c]) for c in columns))]
-        rest, timer, given = step(keys[0], held.get if held.exists else None, new, now)
+        new: dict[object, list[tuple]] = {}
+        for f in () if held.hasTimedOut else frames:
+            for k, *r in zip(*(_texts(f[c]) for c in ("__key", *columns))):
+                new.setdefault(named(k), []).append(tuple(r))
+        rest, timer, given = group_of(bytes(held.get[0]) if held.exists else None, new, now)
         if rest is not None:
-            held.update(rest)
+            held.update((rest,))
             if timer is not None:
                 # fires once the watermark is beyond it
                 held.setTimeoutTimestamp(max(timer - 1, now))
@@ -69,15 +105,16 @@ def _stateful(rows: DataFrame, key: str, at: str, columns: list[str], state: str
         if given:
             yield pd.DataFrame(given, columns=names, dtype=object)
 
-    some = rows.select(key, at, *(F.col(c).cast("string").alias(c) for c in columns))
-    return some.groupBy(key).applyInPandasWithState(run, out, state, mode, GroupStateTimeout.EventTimeTimeout)
+    group = F.pmod(F.xxhash64(key), F.lit(groups)).alias("__group")
+    some = rows.select(group, F.col(key).cast("string").alias("__key"), at, *(F.col(c).cast("string").alias(c) for c in columns))
+    return some.groupBy("__group").applyInPandasWithState(run, out, "held binary", mode, GroupStateTimeout.EventTimeTimeout)
 
 
 class _Debounce:
-    """Waits until no arrival has come for the gap, then names the last one."""
+    """Waits until no arrival has come for the gap, then names the last one.
 
-    #: bursts not settled: first and last time, and the last arrival
-    STATE = "open array<struct<first: long, last: long, raw_id: long>>"
+    Holds the bursts not settled: first and last time, and the last arrival.
+    """
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -104,7 +141,7 @@ class _Debounce:
         return ((rest,), self._due(rest[0]), given) if rest else (None, None, given)
 
 
-def settled_arrivals(arrivals: DataFrame, gap: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
+def settled_arrivals(arrivals: DataFrame, gap: str = "1 minute", lateness: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     """(external_ref, raw_id, last_at, settled_at): arrivals that nothing of their thread followed within ``gap``.
 
     ``arrivals`` has external_ref, raw_id and received_at. Each arrival puts the thread's
@@ -116,15 +153,15 @@ def settled_arrivals(arrivals: DataFrame, gap: str = "1 minute", lateness: str =
     named = named.where("external_ref IS NOT NULL OR received_at IS NULL")
     rows = named.select("external_ref", "raw_id", "received_at", F.unix_micros("received_at").alias("at"))
     out = "external_ref string, raw_id long, last_at long, settled_at long"
-    marks = _stateful(rows, "external_ref", "received_at", ["raw_id", "at"], _Debounce.STATE, out, "append", _Debounce(_micros(gap)))
+    marks = _stateful(rows, "external_ref", "received_at", ["raw_id", "at"], out, "append", _Debounce(_micros(gap)), groups)
     return marks.withColumns({c: F.timestamp_micros(c) for c in ("last_at", "settled_at")})
 
 
 class _Promises:
-    """Matches the promises made to a customer with the next contact of the same agent, in event time."""
+    """Matches the promises made to a customer with the next contact of the same agent, in event time.
 
-    #: promises, and contacts (with their id)
-    STATE = "line array<struct<agent_id: long, at: long, follow_up_id: long, due_at: long, missed: boolean, contact_id: string>>"
+    Holds promises and contacts alike: agent, time, follow-up id, due time, whether it was missed, and contact id.
+    """
 
     def __init__(self, grace: int, expiry: int, forget: int | None):
         self.grace, self.expiry, self.forget = grace, expiry, forget
@@ -183,7 +220,7 @@ class _Promises:
 OUTCOME = "follow_up_id long, customer_id long, agent_id long, promised_at timestamp, due_at timestamp, status string, fulfilled_at timestamp, fulfilled_in string"
 
 
-def promise_timer(line: DataFrame, grace: str = "24 hours", expiry: str = "48 hours", lateness: str = "1 day", forget: str | None = None) -> DataFrame:
+def promise_timer(line: DataFrame, grace: str = "24 hours", expiry: str = "48 hours", lateness: str = "1 day", forget: str | None = None, groups: int = GROUPS) -> DataFrame:
     """Changes of status of promises, by the rule of ``promises.close_promises``, in the order they become certain.
 
     ``line`` has promises and contacts in one stream: customer_id, agent_id, at, and either
@@ -198,7 +235,7 @@ def promise_timer(line: DataFrame, grace: str = "24 hours", expiry: str = "48 ho
     rows = rows.select("customer_id", "agent_id", F.col("at").alias("event_at"), F.unix_micros("at").alias("at"), "follow_up_id", F.unix_micros("due_at").alias("due_at"), "contact_id")
     step = _Promises(_micros(grace), _micros(expiry), _micros(forget) if forget else None)
     columns = ["agent_id", "at", "follow_up_id", "due_at", "contact_id"]
-    changes = _stateful(rows, "customer_id", "event_at", columns, step.STATE, OUTCOME.replace("timestamp", "long"), "update", step)
+    changes = _stateful(rows, "customer_id", "event_at", columns, OUTCOME.replace("timestamp", "long"), "update", step, groups)
     return changes.withColumns({c: F.timestamp_micros(c) for c in ("promised_at", "due_at", "fulfilled_at")})
 
 
@@ -214,9 +251,11 @@ def promise_line(promises: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 class _CallState:
-    """The fold of ``calls.job_state_fold``, one call at a time; a call that is over is forgotten after a while."""
+    """The fold of ``calls.job_state_fold``, one call at a time; a call that is over is forgotten after a while.
 
-    STATE = "step string, step_at long, step_id long, done boolean, red boolean, retries int, error string, error_at long, error_id long, updated_at long"
+    Holds the last step with its time and number, whether the call is done or red, its retries, the last error with its
+    time and number, and the time of its last row.
+    """
 
     def __init__(self, max_retries: int, keep: int):
         self.max_retries, self.keep = max_retries, keep
@@ -247,11 +286,11 @@ CALL_STATE = "uniqueid string, status string, retries int, last_error string, up
 OPEN_CALL = f"old.status NOT IN ('{calls.DONE}', '{calls.DEAD}') OR new.status = '{calls.DONE}' OR old.status = new.status"
 
 
-def call_states(events: DataFrame, max_retries: int = calls.MAX_RETRIES, keep: str = "30 days", lateness: str = "1 day") -> DataFrame:
+def call_states(events: DataFrame, max_retries: int = calls.MAX_RETRIES, keep: str = "30 days", lateness: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """New state of each call that a micro-batch names; state is held for open calls, and ``keep`` longer for those that are over."""
     use_rocksdb(events.sparkSession)
     rows = events.withWatermark("logged_at", lateness).where("uniqueid IS NOT NULL OR logged_at IS NULL")
     rows = rows.select("uniqueid", "event_id", "step", "error", "logged_at", F.unix_micros("logged_at").alias("at"))
     step = _CallState(max_retries, _micros(keep))
     out = CALL_STATE.replace("timestamp", "long")
-    return _stateful(rows, "uniqueid", "logged_at", ["event_id", "step", "error", "at"], step.STATE, out, "update", step).withColumn("updated_at", F.timestamp_micros("updated_at"))
+    return _stateful(rows, "uniqueid", "logged_at", ["event_id", "step", "error", "at"], out, "update", step, groups).withColumn("updated_at", F.timestamp_micros("updated_at"))

@@ -218,3 +218,30 @@ def test_a_key_settles_in_one_call_with_its_rows():
     assert held is None and timer is None and given == [(number, 7, 1, 1000, None, "fulfilled", 5000, "c")]
     held, timer, given = step(7, None, [("1", "1000", "3", "2000", None)], 3)
     assert [r[5] for r in given] == ["open", "missed"] and timer is None and held[0][0][4]
+
+
+def test_keys_of_a_group_share_a_state_and_a_call():
+    minute = 60_000_000
+    group = keyed._Group(keyed._Debounce(minute))
+    held, timer, given = group(None, {"a": [("1", "0")], "b": [("2", str(10 * minute))]}, 0)
+    assert given == [] and timer == 60_001
+    # a settles by its timer while only b has rows
+    held, timer, given = group(held, {"b": [("3", str(10 * minute + 1))]}, 60_001)
+    assert given == [("a", 1, 0, minute)] and timer == 660_001
+    # a timer that is not due leaves its key alone
+    held, timer, given = group(held, {}, 660_000)
+    assert given == [] and timer == 660_001
+    assert group(held, {}, timer) == (None, None, [("b", 3, 10 * minute + 1, 11 * minute + 1)])
+
+
+def test_files_of_a_slice_come_in_one_micro_batch(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from parley.plans.catalog import streams
+
+    many = spark.range(0, 5000, 1, 12).selectExpr("timestamp_seconds(id * 60) AS at", "id AS k")
+    arrivals, lateness, groups = streams._feed(SimpleNamespace(spark=spark), many, "at", "many-files", "k % 53 = 0")
+    seen = []
+    query = arrivals.writeStream.foreachBatch(lambda rows, n: seen.append(rows.where("k IS NOT NULL").count()))
+    query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sum(seen) == 5000 and len(seen) <= streams.SLICES + 3 and sum(n > 0 for n in seen) == streams.SLICES + 1
