@@ -258,7 +258,7 @@ def strip_code_fence(t):
     body = T.strip_code_fence(F.col("reply"))
     return t.judgements.select("interaction_id", reply.alias("reply")).select(
         "interaction_id", body.alias("body")
-    ).select("interaction_id", F.when(F.try_parse_json("body").isNotNull(), F.col("body")).alias("body"))
+    ).select("interaction_id", F.when(T.is_json(F.col("body")), F.col("body")).alias("body"))
 
 
 @query(
