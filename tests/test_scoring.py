@@ -190,3 +190,41 @@ def test_report_reads_a_module_from_its_slice(spark):
         (1, M[0], "greeting", "part"), (2, M[0], "missing_info_request", "full"), (3, M[0], "next_step_transition", "full"),
     ]
     assert plan(report).count("slice(") >= len(M)
+
+
+def test_one_decimal_is_rounded_by_the_binary_value(spark):
+    from pyspark.sql import functions as F
+
+    from parley.functions import score as S
+
+    numbers = [36.25, 36.75, 36.45, 36.15, 36.35, 0.0, 100.0, 99.95, 99.96, -36.25, 12.5, 2.675, 8.05]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", S.one_decimal(F.col("x")).alias("t"))
+    assert {r.x: r.t for r in df.collect()} == {x: f"{x:.1f}" for x in numbers}
+
+
+def test_all_warnings_are_told_in_order(spark, tmp_path):
+    from parley.plans import catalog
+
+    modules = judgement(closing=dict(payment_request=20, next_steps_confirmation=9, booking_steps=0, service_review_request=0), offer__value_selling=None)
+    modules[M[4]]["score"] = 90
+    modules[M[1]]["score"] = 98.5
+    p = run(spark, modules, stage_reached="negotiation", evidence=[{"module": M[0], "quote": "never"}])
+    assert sc.merge_warnings(p).first().warnings == [
+        f"{M[1]}: stated 98.5, summed from its criteria 100.0 (kept)", f"{M[4]}: stated 90.0, summed from its criteria 36.2 (kept)",
+        "evidence[0]: quote not found in conversation: never", f"{M[4]}: no quote explains 36.2",
+        f"UNRESOLVED after retry: {M[1]}.value_selling: a number up to 25 is required here, not null",
+    ]
+    spark.range(40).selectExpr(
+        "id AS l_orderkey", "id * 7 AS l_partkey", "id % 5 AS l_suppkey", "CAST(id % 7 AS INT) AS l_linenumber"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.QUERIES["merge_warnings"](spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and all((len(r.told.split("\n")) if r.told else 0) == r.warnings for r in rows)
+    assert any("stated" in r.told and "UNRESOLVED" in r.told for r in rows)
+
+
+def test_scores_and_messages_make_no_items(spark):
+    p = run(spark, judgement(**PARTIAL), evidence=[])
+    # items would carry every answer with its names; lambdas over them run outside generated code
+    for df in (sc.final_scores(p).select("final_score", "rejected"), sc.evaluation_report(p), sc.uncited_deductions(p)):
+        assert "nullable" not in plan(df) and "exists(" not in plan(df) and "lambda" not in plan(df)
+    assert {i.criterion: i.state for i in p.first()["items"]}["timing"] == "null"
