@@ -92,3 +92,32 @@ def test_many_folders_are_listed_by_few_tasks(tmp_path):
     parts = reader.partitions()
     assert len(parts) <= listing.TASKS
     assert sorted(x[1] for p in parts for x in reader.read(p)) == sorted(f"f{i}" for i in range(300))
+
+
+def test_payloads_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from pyspark.sql import DataFrameReader
+
+    from parley.sources import payloads
+
+    root = tmp_path / "in"
+    texts = {"top.json": b'{"a": 1}', "folder=1/x y.json": b'[{"a": 2}, {"a": 9}]', "folder=2/\xc3\xa9.json".encode("latin-1").decode(): b'{"a": "\xd8\xb3"}\n', "folder=2/empty": b"", "deep/er/z.json": b'{"a": 4}'}
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text)
+    (root / "packed.json.gz").write_bytes(gzip.compress(b'{"a": 5}'))
+    (root / "_hidden").write_bytes(b"{}")
+    (root / "_temporary" / "0").mkdir(parents=True)
+    (root / "_temporary" / "0" / "half.json").write_bytes(b"{}")
+    alone = ["top.json", "folder=1/x y.json"]
+    one = [r for name in alone for r in payloads.read_raw_payloads(spark, str(root / name)).select("payload", "file").collect()]
+    # Spark's file readers list every file in the driver
+    monkeypatch.setattr(DataFrameReader, "text", lambda *a, **k: pytest.fail("the driver lists the files"))
+    rows = payloads.read_raw_payloads(spark, str(root)).select("payload", "file", F.try_variant_get("v", "$.a", "string").alias("a")).collect()
+    assert {r.payload for r in rows} == {t.decode() for t in texts.values()} | {'{"a": 5}'} and len(rows) == 6
+    assert {r.a for r in rows} == {"1", "2", "س", "4", "5", None}
+    assert len(one) == 2 and {tuple(r) for r in one} <= {(r.payload, r.file) for r in rows}
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        payloads.read_raw_payloads(spark, str(tmp_path / "none")).collect()
